@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covenant.llm import line_crf, packing, rules, token_output, toxicity
+from covenant.llm import line_crf, packing, rules, substrings, token_output, toxicity
 from covenant.llm.cluster import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score(docs, line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find_repeats(documents(spark, sf_dir)).drop("intervals")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -36,7 +40,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_quality_classifier, op8_toxicity, op9_token_output)}
+    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_quality_classifier, op6_substring_dedup, op8_toxicity, op9_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
