@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covenant.llm import line_crf, packing, rules, substrings, token_output, toxicity
+from covenant.llm import line_crf, near_dedup, packing, rules, substrings, token_output, toxicity
 from covenant.llm.cluster import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_quality_classifier, op6_substring_dedup, op8_toxicity, op9_token_output)}
+    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_quality_classifier, op6_substring_dedup, op8_toxicity, op9_token_output, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

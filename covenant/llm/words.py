@@ -15,14 +15,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 class Words:
-    """The words of a batch of texts: ``codes`` index ``vocab``; row i owns ``codes[starts[i]:starts[i + 1]]``."""
+    """The words of a batch of texts: ``codes`` index ``vocab``; row i owns ``codes[starts[i]:starts[i + 1]]``.
+
+    With ``lower`` the letters A-Z of the vocabulary are lowered, and entries can repeat. (It is lowered after the
+    words are cut: Arrow's ``ascii_lower`` misreads sliced arrays.)
+    """
 
     __slots__ = ("codes", "starts", "vocab")
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:
-            texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
@@ -34,7 +36,7 @@ class Words:
         coded = flat.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.starts = bounds.astype(np.int64)
-        self.vocab = coded.dictionary
+        self.vocab = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
 
     def __len__(self) -> int:
         return len(self.starts) - 1
