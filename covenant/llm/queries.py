@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covenant.llm import line_crf, near_dedup, packing, rules, substrings, token_output, toxicity
+from covenant.llm import chat, decontaminate, language_model, line_crf, near_dedup, packing, rules, substrings, token_output, toxicity
 from covenant.llm.cluster import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+#: A conversation whose texts look like another template's control strings.
+ODD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_records(chat.records_from_turns(rows.unionByName(odd))))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return rules.apply_rules(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -30,6 +44,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find_repeats(documents(spark, sf_dir)).drop("intervals")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -44,7 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op4_quality_rules, op5_quality_classifier, op6_substring_dedup, op8_toxicity, op9_token_output, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_packing, op3_chat_format, op4_quality_rules, op5_quality_classifier, op6_substring_dedup, op7_lm_scoring, op8_toxicity, op9_token_output, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
