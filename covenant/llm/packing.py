@@ -14,12 +14,13 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm.cluster import prepare
-from covenant.llm.tokens import encoder, tokenizer_path, with_end
+from covenant.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 from covenant.llm.words import slices
 
 CAPACITY = 4096
@@ -30,12 +31,8 @@ INSIDE_PRICE = 12.0
 STRIDE = 32
 #: Windows that are planned at once.
 HORIZON = 64
-_STOPS = (b".", b"!", b"?", "…".encode(), "。".encode(), "！".encode(), "？".encode())
-_CLOSERS = b"\"')]}"
-
-
-def ends_sentence(word: bytes) -> bool:
-    return word.rstrip(_CLOSERS).endswith(_STOPS)
+#: How the last word of a sentence ends.
+_STOP = r"""[.!?…。！？]["')\]}]*$"""
 
 
 def plan(cuts: np.ndarray, prices: np.ndarray, capacity: int = CAPACITY) -> list[int]:
@@ -152,19 +149,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
 
     def run(batches):
         packer = _Packer(capacity, TaskContext.get().partitionId() << 32)
-        stops: dict[bytes, bool] = {}
 
         def out(last):
             rows = list(packer.pieces(last))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             flat, starts, words, lengths = encoder(path).encode(batch.column(1))
-            vocab = words.vocab_bytes()
-            if len(stops) > 500_000:
-                stops.clear()
-            stop = np.fromiter((stops[w] if w in stops else stops.setdefault(w, ends_sentence(w)) for w in vocab), bool, len(vocab))
+            stop = pc.match_substring_regex(words.vocab, _STOP).to_numpy(zero_copy_only=False)
             at = np.cumsum(lengths)
             flat, starts = with_end(flat, starts, end)
             rows = words.rows

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from covenant.llm import bitpack
 from covenant.llm.cluster import open_file, prepare, shared_folder, write_file
-from covenant.llm.tokens import encoder, tokenizer_path, with_end
+from covenant.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 from covenant.llm.words import slices
 
 VOCABULARY = 49_408
@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, vocabula
             write_file(name, bitpack.encode(flat, np.concatenate(doc_ids), np.cumsum(np.concatenate(sizes)), vocabulary))
             return pa.RecordBatch.from_pydict({"number": [part << 32 | made], "file": [name], "n_docs": [sum(map(len, doc_ids))], "n_ids": [len(flat)]}, FILES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             flat, starts, _, _ = encoder(path).encode(batch.column(1))
             flat, starts = with_end(flat, starts, end)
             ids.append(flat)

@@ -16,34 +16,79 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Text that is encoded at once; a larger batch repeats fewer words.
+TEXT_BYTES = 6 << 20
+#: Punctuation that ends a word; the tokenizer cuts it off as a unit of its own.
+_TAIL = ".,;:!?"
+_STRETCH = 4096
+
+
 class TextEncoder:
     """Encodes batches of texts.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in
-    order. Each distinct word is encoded once by the tokenizers library and kept; ``keep`` bounds what is
-    kept, and when it is full the store starts anew (a word is then encoded again, with the same ids).
+    order. Each distinct word is encoded by the tokenizers library and kept. What is kept has two halves of
+    ``keep`` words at most: when the new half is full it becomes the old one, and words that come again move over.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _singly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, texts: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: a stretch of them at once, cut where ids end a word."""
+        out: list[bytes] = []
+        for k in range(0, len(texts), _STRETCH):
+            part = texts[k : k + _STRETCH]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                out += [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:  # some word isn't one unit after all
+                out += self._singly(part)
+        return out
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Letters and the punctuation behind them are units of their own, and case doesn't count."""
+        heads, tails, whole, place = {}, {}, {}, []
+        for w in words:
+            text = w.decode()
+            head = text.rstrip(_TAIL)
+            if head.isalpha():
+                if head.isascii():
+                    head = head.lower()
+                place.append((heads, heads.setdefault(head, len(heads)), tails.setdefault(text[len(head) :], len(tails)) if len(text) > len(head) else -1))
+            else:
+                place.append((whole, whole.setdefault(text, len(whole)), -1))
+        of_heads, of_tails, of_whole = self._letters(list(heads)) if heads else [], self._singly(list(tails)), self._singly(list(whole))
+        return [(of_heads if kind is heads else of_whole)[k] + (of_tails[t] if t >= 0 else b"") for kind, k, t in place]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
         """All ids, where each row's ids start (one more at the end), the words and the number of ids of each word."""
         words = Words(texts)
-        vocab, known = words.vocab_bytes(), self.known
+        vocab, known, old = words.vocab_bytes(), self.known, self.old
         missing = [w for w in vocab if w not in known]
         if missing:
             if len(known) + len(missing) > self.keep:
-                known = self.known = {}
+                self.old = old = known
+                self.known = known = {}
                 missing = vocab
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        parts = [known[w] for w in vocab]
+            new = [w for w in missing if w not in old]
+            known.update((w, old[w]) for w in missing if w in old)
+            known.update(zip(new, self._learn(new), strict=True))
+        parts = list(map(known.__getitem__, vocab))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         table = np.frombuffer(b"".join(parts), np.uint32)
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else np.zeros(0, np.int64)
