@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from covenant.llm.words import Words
 
@@ -17,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 #: Text that is encoded at once; a larger batch repeats fewer words.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 4 << 20
 #: Punctuation that ends a word; the tokenizer cuts it off as a unit of its own.
 _TAIL = ".,;:!?"
 _STRETCH = 4096
@@ -28,10 +29,10 @@ class TextEncoder:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in
     order. Each distinct word is encoded by the tokenizers library and kept. What is kept has two halves of
-    ``keep`` words at most: when the new half is full it becomes the old one, and words that come again move over.
+    about ``keep`` words: when the new half is full it becomes the old one, and words that come again move over.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 180_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,44 +61,66 @@ class TextEncoder:
                 out += self._singly(part)
         return out
 
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Letters and the punctuation behind them are units of their own, and case doesn't count."""
-        heads, tails, whole, place = {}, {}, {}, []
-        for w in words:
-            text = w.decode()
-            head = text.rstrip(_TAIL)
-            if head.isalpha():
-                if head.isascii():
-                    head = head.lower()
-                place.append((heads, heads.setdefault(head, len(heads)), tails.setdefault(text[len(head) :], len(tails)) if len(text) > len(head) else -1))
-            else:
-                place.append((whole, whole.setdefault(text, len(whole)), -1))
-        of_heads, of_tails, of_whole = self._letters(list(heads)) if heads else [], self._singly(list(tails)), self._singly(list(whole))
-        return [(of_heads if kind is heads else of_whole)[k] + (of_tails[t] if t >= 0 else b"") for kind, k, t in place]
+    def _ids(self, units: list[bytes], learn) -> list[bytes]:
+        """Ids of each unit, from what is kept or by ``learn``, which is then kept."""
+        known, old = self.known, self.old
+        missing = [u for u in units if u not in known]
+        if missing:
+            if len(known) + len(missing) > self.keep:
+                self.old, self.known = known, {}
+                known, old, missing = self.known, self.old, units
+            new = [u for u in missing if u not in old]
+            known.update((u, old[u]) for u in missing if u in old)
+            known.update(zip(new, learn([u.decode() for u in new]), strict=True))
+        return list(map(known.__getitem__, units))
+
+    def _vocabulary(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the distinct words, and how many each has.
+
+        Letters, and punctuation behind them, are units of their own to the tokenizer, and the case of A-Z
+        doesn't count; so a word is a head and a tail, and other words are a head that is encoded as it stands.
+        """
+        head = pc.utf8_rtrim(pc.ascii_lower(vocab), characters=_TAIL)
+        plain = pc.utf8_is_alpha(head)
+        head = pc.if_else(plain, head, vocab)
+        coded = head.dictionary_encode()
+        heads = coded.dictionary
+        alpha = pc.utf8_is_alpha(heads).to_numpy(zero_copy_only=False)
+        parts: list[bytes] = [b""] * (len(heads) + 1)  # the last is no tail
+        raw = heads.cast(pa.large_binary())
+        for kind, learn in ((alpha, self._letters), (~alpha, self._singly)):
+            at = np.nonzero(kind)[0]
+            for k, ids in zip(at.tolist(), self._ids(raw.take(pa.array(at)).to_pylist(), learn), strict=True):
+                parts[k] = ids
+        seq = np.empty((len(vocab), 2), np.int64)
+        seq[:, 0] = coded.indices.to_numpy(zero_copy_only=False)
+        seq[:, 1] = len(heads)
+        size = pc.binary_length(head).to_numpy(zero_copy_only=False)
+        more = np.nonzero(pc.binary_length(vocab).to_numpy(zero_copy_only=False) > size)[0]
+        tails: dict[bytes, int] = {}
+        for k, w, n in zip(more.tolist(), vocab.take(pa.array(more)).cast(pa.large_binary()).to_pylist(), size[more].tolist(), strict=True):
+            seq[k, 1] = len(heads) + 1 + tails.setdefault(w[n:], len(tails))
+        parts += self._singly([t.decode() for t in tails])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = _gather(np.frombuffer(b"".join(parts), np.uint32), sizes, seq.ravel())
+        return flat, sizes[seq].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
         """All ids, where each row's ids start (one more at the end), the words and the number of ids of each word."""
         words = Words(texts)
-        vocab, known, old = words.vocab_bytes(), self.known, self.old
-        missing = [w for w in vocab if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.keep:
-                self.old = old = known
-                self.known = known = {}
-                missing = vocab
-            new = [w for w in missing if w not in old]
-            known.update((w, old[w]) for w in missing if w in old)
-            known.update(zip(new, self._learn(new), strict=True))
-        parts = list(map(known.__getitem__, vocab))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        table = np.frombuffer(b"".join(parts), np.uint32)
-        first = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else np.zeros(0, np.int64)
+        table, sizes = self._vocabulary(words.vocab)
         lengths = sizes[words.codes]
-        ends = np.cumsum(lengths)
-        n = int(ends[-1]) if len(ends) else 0
-        at = np.arange(n) + np.repeat(first[words.codes] - (ends - lengths), lengths)
-        starts = np.concatenate(([0], ends))[words.starts]
-        return table[at], starts, words, lengths
+        starts = np.concatenate(([0], np.cumsum(lengths)))[words.starts]
+        return _gather(table, sizes, words.codes), starts, words, lengths
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs ``index`` of ``flat``, which holds runs of ``sizes`` one after another."""
+    n = sizes[index]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
