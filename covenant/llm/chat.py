@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import prepare
+from covenant.llm.cluster import prepare, tidy
 
 Turn = tuple[str, str]
 
@@ -198,7 +198,7 @@ def format_records(records: DataFrame) -> DataFrame:
                 masks.append([list(m) for m in mask])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, OUT.field("mask").type)], schema=OUT)
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(run, "conv_id long, layout string, formatted string, mask array<array<long>>")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(tidy(run), "conv_id long, layout string, formatted string, mask array<array<long>>")
 
 
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -217,4 +217,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGEST, strict=True)], schema=DIGEST)
 
-    return formatted.select("conv_id", "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "mask").mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import prepare
+from covenant.llm.cluster import prepare, tidy
 from covenant.llm.textstats import text_bytes
 from covenant.llm.words import slices
 
@@ -258,7 +258,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDI
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=OUT)
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits long")
+        part = texts.mapInArrow(tidy(run), "doc_id long, item_id long, start long, end long, edits long")
         found = part if found is None else found.unionAll(part)
     return spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long") if found is None else found
 
@@ -277,5 +277,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
                 keep[[r for r, *_ in search(batch.column(at), shared.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
-from covenant.llm.cluster import materialised, prepare, remainder
+from covenant.llm.cluster import materialised, prepare, remainder, tidy
 from covenant.llm.words import Words, slices
 
 #: Words in the model's vocabulary, and words whose counts every task has at hand; others are looked up by a join.
@@ -51,7 +51,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_threshold(counts: DataFrame, most: int) -> int:
@@ -127,7 +127,7 @@ def count_pairs(texts: DataFrame, table: Table) -> np.ndarray:
         return pa.table({"row": group["row"][:1], "line": pa.array([total.astype("<i8").tobytes()])})
 
     out = np.zeros((size, size), np.int64)
-    for r in texts.mapInArrow(run, "row int, after binary, n binary").groupBy("row").applyInArrow(add, "row int, line binary").toArrow().to_pylist():
+    for r in texts.mapInArrow(tidy(run), "row int, after binary, n binary").groupBy("row").applyInArrow(add, "row int, line binary").toArrow().to_pylist():
         out[r["row"]] = np.frombuffer(r["line"], "<i8")
     return out
 
@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, at_hand: int
             made += len(words)
 
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, n_other long, log_other double, log_model double, words array<string>, times array<long>"
-    parts = materialised(texts.mapInArrow(run, kinds), "scored")
+    parts = materialised(texts.mapInArrow(tidy(run), kinds), "scored")
     # Words whose counts weren't at hand: looked up by a join, and added to their documents.
     far = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = counts.where((F.col("n") < least) & (F.col("word") != END))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
-from covenant.llm.cluster import prepare, remainder
+from covenant.llm.cluster import prepare, remainder, tidy
 from covenant.llm.learning import SAMPLE, labelled_sample
 from covenant.llm.trees import sigmoid
 from covenant.llm.words import Words, slices
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             cut = lines.starts.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([bits[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([lines.lengths[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)], pa.list_(pa.float64()))], names=["doc_id", "y", "bits", "lengths"])
 
-    rows = labelled_sample(docs, labels, label, sample).mapInArrow(gather, "doc_id long, y double, bits binary, lengths array<double>").toArrow().sort_by("doc_id")
+    rows = labelled_sample(docs, labels, label, sample).mapInArrow(tidy(gather), "doc_id long, y double, bits binary, lengths array<double>").toArrow().sort_by("doc_id")
     y = rows["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), 1.0, float(_logit(np.array((y.sum() + 0.5) / (len(y) + 1)))))
@@ -219,4 +219,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = model.score(line_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 3) == 1).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 3) == 1).alias("held_out")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

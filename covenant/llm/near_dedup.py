@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import materialised, prepare
+from covenant.llm.cluster import materialised, prepare, tidy
 from covenant.llm.components import components
 from covenant.llm.words import Words, mix, rolling, slices, windows
 
@@ -103,7 +103,7 @@ def sign(texts: DataFrame, width: int) -> DataFrame:
                 low = (minima >> np.uint32(24)).astype(np.uint8) ^ (minima >> np.uint32(8)).astype(np.uint8) ^ minima.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), listed, pa.array([r.tobytes() for r in low], pa.binary())], schema=SIGNED)
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def similar(pairs: DataFrame) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return pairs.mapInArrow(run, StructType([*(pairs.schema[c] for c in rest), StructField("estimate", DoubleType())]))
+    return pairs.mapInArrow(tidy(run), StructType([*(pairs.schema[c] for c in rest), StructField("estimate", DoubleType())]))
 
 
 def candidate_links(reps: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, extra: bool) -> Data
 
     first = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
     both = first.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
-    return both.mapInArrow(run, "u long, v long, n_u long, n_v long, common long, only_v array<long>")
+    return both.mapInArrow(tidy(run), "u long, v long, n_u long, n_v long, common long, only_v array<long>")
 
 
 def _alike(n_u: str, n_v: str, common: Column, percent: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import prepare
+from covenant.llm.cluster import prepare, tidy
 from covenant.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 from covenant.llm.words import slices
 
@@ -172,4 +172,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
 from covenant.llm import trees
-from covenant.llm.cluster import prepare
+from covenant.llm.cluster import prepare, tidy
 from covenant.llm.learning import SAMPLE, labelled_sample
 from covenant.llm.words import Words, slices
 
@@ -50,7 +50,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             features = statistics(batch.column(1))[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(features), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = labelled_sample(docs, labels, label, sample).mapInArrow(gather, "doc_id long, y double, x array<double>").toArrow().sort_by("doc_id")
+    rows = labelled_sample(docs, labels, label, sample).mapInArrow(tidy(gather), "doc_id long, y double, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(rows["x"].to_pylist(), float).reshape(len(rows), len(FEATURES))
     return trees.fit(x, rows["y"].to_numpy(), np.array(list(FEATURES.values())))
 
@@ -73,4 +73,4 @@ def apply_rules(docs: DataFrame, forest: trees.Forest, threshold: float = 0.5) -
             failed, score = base_failed(base), forest.predict(features)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, j], pa.int64()) for j in range(len(BASE))), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in BASE), "base_failed boolean, kept boolean, score double"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(["doc_id long", *(f"{n} long" for n in BASE), "base_failed boolean, kept boolean, score double"]))

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import materialised, prepare, read_file, shared_folder, write_file
+from covenant.llm.cluster import materialised, prepare, read_file, release, shared_folder, tidy, write_file
 from covenant.llm.words import Words, rolling, slices, windows
 
 WIDTH = 13
 #: Text bytes in a chunk and distinct hashes that one range of hashes should hold.
-CHUNK_BYTES = 8 << 20
-RANGE_HASHES = 3_000_000
+CHUNK_BYTES = 6 << 20
+RANGE_HASHES = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -135,6 +135,8 @@ def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
         later[sort] = least < owner[sort]
         cut = np.cumsum([0, *counts]).tolist()
         number = table["range"][0].as_py()
+        del sort, first, groups, least, owner
+        release()
         return pa.table({"chunk": [names[i] for i in order], "range": pa.array([number] * len(order), pa.int32()), "bits": [np.packbits(later[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], "n": pa.array(counts, pa.int64())})
 
     def keep(table: pa.Table) -> pa.Table:
@@ -144,7 +146,7 @@ def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
         write_file(f"{folder}/{name}", np.packbits(np.concatenate(flags)).tobytes())
         return pa.table({"chunk": [name]})
 
-    sent = docs.mapInArrow(send, "range int, chunk string, bytes_each int, hashes binary, docs binary, doc_of binary")
+    sent = docs.mapInArrow(tidy(send), "range int, chunk string, bytes_each int, hashes binary, docs binary, doc_of binary")
     compared = sent.groupBy("range").applyInArrow(compare, "chunk string, range int, bits binary, n long")
     compared.groupBy("chunk").applyInArrow(keep, "chunk string").write.format("noop").mode("overwrite").save()
 
@@ -207,7 +209,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cut = np.searchsorted(rows, np.arange(len(words) + 1)).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lost), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([runs[a:b] for a, b in zip(cut, cut[1:], strict=False)], OUT.field("intervals").type)], schema=OUT)
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<array<long>>")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<array<long>>")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -258,4 +260,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     from pyspark.sql.types import StructType
 
     ordered = source.select("doc_id", "text", *rest)
-    return ordered.mapInArrow(run, StructType([fields[c] for c in ordered.columns])).select(*docs.columns)
+    return ordered.mapInArrow(tidy(run), StructType([fields[c] for c in ordered.columns])).select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm import bitpack
-from covenant.llm.cluster import open_file, prepare, shared_folder, write_file
+from covenant.llm.cluster import open_file, prepare, shared_folder, tidy, write_file
 from covenant.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 from covenant.llm.words import slices
 
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, vocabula
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(dealt.mapInArrow(write, "number long, file string, n_docs long, n_ids long").collect())
+    files = sorted(dealt.mapInArrow(tidy(write), "number long, file string, n_docs long, n_ids long").collect())
     rows, start = [], 0
     for number, file, n_docs, n_ids in files:
         rows.append((number, file, n_docs, n_ids, start))
@@ -91,7 +91,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         first = last
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file", "start").repartition(parts).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "start").repartition(parts).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
 from covenant.llm import trees
-from covenant.llm.cluster import prepare
+from covenant.llm.cluster import materialised, prepare, remainder, tidy
 from covenant.llm.learning import SAMPLE, labelled_sample
 from covenant.llm.words import Words, slices
 
@@ -159,7 +159,7 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]
     rest = F.col("docs") - F.col("toxic")
     evidence = F.col("toxic") * F.log(F.col("toxic") / F.col("docs") / rate) + F.when(rest > 0, rest * F.log(rest / F.col("docs") / (1 - rate))).otherwise(0.0)
     found = (
-        part.mapInArrow(count, "term string, docs long, toxic long")
+        part.mapInArrow(tidy(count), "term string, docs long, toxic long")
         .groupBy("term")
         .agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
         .where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > F.col("docs") * (rate + 1) / 2))
@@ -173,7 +173,6 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents whose crc32(doc_id) mod 3 isn't 1 (see ``labelled_sample``)."""
-    from covenant.llm.cluster import materialised
 
     prepare(docs.sparkSession)
     rows = materialised(_parts(labelled_sample(docs, labels, label, sample)), "toxic-sample")
@@ -184,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], names=["doc_id", "y", "part", "x"])
 
-    rest = rows.where("part > 0").select("doc_id", "text", "y", "part").mapInArrow(gather, "doc_id long, y double, part int, x array<double>").toArrow().sort_by("doc_id")
+    rest = rows.where("part > 0").select("doc_id", "text", "y", "part").mapInArrow(tidy(gather), "doc_id long, y double, part int, x array<double>").toArrow().sort_by("doc_id")
     x, y, part = np.array(rest["x"].to_pylist(), float).reshape(len(rest), len(FEATURES)), rest["y"].to_numpy(), rest["part"].to_numpy()
     forest = trees.fit(x[part == 1], y[part == 1], np.array(list(FEATURES.values())), trees=50)
     held = part == 2
@@ -202,7 +201,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     A null or empty text has no words and gets the score of a text without any sign. Rows that repeat an id
     are scored each by itself.
     """
-    from covenant.llm.cluster import remainder
 
     prepare(docs.sparkSession)
 
@@ -212,7 +210,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             s = np.clip(model.score(features(batch.column(1))), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 3) == 1).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 3) == 1).alias("held_out")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -225,4 +223,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         for batch in slices(batches):
             yield batch.filter(pa.array(model.score(features(batch.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
