@@ -1,0 +1,146 @@
+"""Logs, telemetry, catalogues and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from covenant.functions import text
+from covenant.functions.constants import DBMS_NATIONAL_CODES, DBMS_TYPE_CODES
+
+# ---------------------------------------------------------------- audit log
+
+
+def chained(entries: DataFrame) -> DataFrame:
+    """``entries(log_id, seq, content)`` with ``hash`` and ``previous_hash``: each hash covers the one before.
+
+    A chain is sequential by its nature; each log is folded by one task, and logs go side by side.
+    """
+    step = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<seq:bigint,content:string,previous_hash:string,hash:string>>").alias("done"))
+
+    def add(acc: Column, x: Column) -> Column:
+        h = text.sha256_upper(F.concat(acc["last"], x["content"]))
+        row = F.struct(x["seq"].alias("seq"), x["content"].alias("content"), F.nullif(acc["last"], F.lit("")).alias("previous_hash"), h.alias("hash"))
+        return F.struct(h.alias("last"), F.concat(acc["done"], F.array(row)).alias("done"))
+
+    logs = entries.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "content"))).alias("e"))
+    return logs.select("log_id", F.inline(F.aggregate("e", step, add, lambda a: a["done"])))
+
+
+def broken_links(log: DataFrame) -> DataFrame:
+    """Entries of ``log(log_id, seq, content, hash)`` whose hash isn't that of the entry before and their content. Checking, unlike building, needs the neighbour alone."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(""))
+    return log.withColumn("expected", text.sha256_upper(F.concat(before, "content"))).where("hash <> expected").select("log_id", "seq")
+
+
+def cut_logs(log: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Logs whose last hash isn't the checkpoint's."""
+    last = log.groupBy("log_id").agg(F.max_by("hash", "seq").alias("hash"))
+    return checkpoints.join(last, "log_id", "left").where(~F.col("checkpoint").eqNullSafe(F.col("hash"))).select("log_id")
+
+
+# ---------------------------------------------------------------- telemetry
+
+
+def counters(events: DataFrame) -> DataFrame:
+    return events.groupBy("name", "tags").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+
+
+def histograms(events: DataFrame) -> DataFrame:
+    return events.groupBy("name").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.percentile("value", F.lit(0.5)).alias("median"))
+
+
+def windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    return events.groupBy(F.window("ts", width).alias("w"), "name").agg(F.count("*").alias("n")).select(F.col("w.start").cast("string").alias("window_start"), "name", "n")
+
+
+def failures_in_a_row(events: DataFrame, by: str = "source") -> DataFrame:
+    """Each event with how many failures end with it in a row; a success starts anew. ``open`` says three or more."""
+    order = Window.partitionBy(by).orderBy("seq")
+    island = F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy(by, "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("island", island).withColumn("failures", run.cast("long")).withColumn("open", F.col("failures") >= 3).drop("island")
+
+
+# ---------------------------------------------------------------- catalogues
+
+
+def routines(procedures: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Every routine with its parameters, those without any too; lengths beyond 32 bits are unknown."""
+    size = F.when(F.col("max_length") <= 2147483647, F.col("max_length"))
+    joined = procedures.join(parameters, ["schema_name", "specific_name"], "left")
+    return joined.select("schema_name", "specific_name", "parameter_name", text.direction(F.col("mode")).alias("direction"), size.cast("long").alias("max_length"))
+
+
+def overloads(arguments: DataFrame) -> DataFrame:
+    """Arguments by overload (the subprogram id, else the overload number), their names in order of sequence."""
+    key = F.coalesce(F.col("subprogram_id"), F.col("overload").try_cast("int"), F.lit(0))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "argument_name"))), lambda x: x["argument_name"])
+    return arguments.groupBy("object_name", key.cast("long").alias("overload_key")).agg(F.array_join(names, ",").alias("arguments"), F.count("*").alias("n"))
+
+
+NLS = ("NLS_LENGTH_SEMANTICS", "NLS_CHARACTERSET", "NLS_NCHAR_CHARACTERSET", "NLS_DATE_FORMAT", "NLS_TERRITORY")
+
+
+def nls_settings(parameters: DataFrame) -> DataFrame:
+    """One row for each session: a column for each setting, UNKNOWN if it isn't there."""
+    wide = parameters.where(F.col("parameter").isin(*NLS)).groupBy("session_id").pivot("parameter", list(NLS)).agg(F.first("value"))
+    return wide.select("session_id", *(F.coalesce(n, F.lit("UNKNOWN")).alias(n.lower()) for n in NLS))
+
+
+def version_banner(banner: Column) -> tuple[Column, Column]:
+    """Version and edition of a database's banner."""
+    version = F.coalesce(F.nullif(F.regexp_extract(banner, r"Release (\d+\.\d+\.\d+\.\d+\.\d+)", 1), F.lit("")), F.lit("UNKNOWN"))
+    edition = F.when(banner.contains("Enterprise"), "Enterprise").when(banner.contains("Standard"), "Standard").when(banner.contains("Express"), "Express").otherwise("Unknown")
+    return version, edition
+
+
+def dbms_type(code: Column, charset_form: Column) -> Column:
+    table = lambda t: F.create_map(*(F.lit(x) for kv in t.items() for x in kv))
+    national = F.when(charset_form == 2, F.try_element_at(table(DBMS_NATIONAL_CODES), code))
+    return F.coalesce(national, F.try_element_at(table(DBMS_TYPE_CODES), code), F.lit("UNKNOWN"))
+
+
+def naming_vote(sources: DataFrame) -> DataFrame:
+    """The naming convention of a whole corpus: one form must be seen more than twice as often as the other."""
+    seen = sources.agg(F.sum(F.regexp_count("source", F.lit(r"[a-z]+_[a-z]+"))).alias("snake"), F.sum(F.regexp_count("source", F.lit(r"[A-Z][a-z]+[A-Z][a-z]+"))).alias("pascal"))
+    return seen.select("snake", "pascal", F.when(F.col("snake") > 2 * F.col("pascal"), "snake_case").when(F.col("pascal") > 2 * F.col("snake"), "PascalCase").alias("convention"))
+
+
+# ---------------------------------------------------------------- criticality of repositories
+
+
+def eci(dependents: Column, maintainers: Column, stale: Column, days: Column, vulnerabilities: Column, has_mcp: Column) -> Column:
+    """The criticality index, 0 to 100, of two decimals."""
+    reach = F.least(F.log10(F.greatest(dependents, F.lit(1)) + F.lit(1.0)) * 2.5, F.lit(10.0)) * 10
+    decay = F.least(stale / F.greatest(maintainers, F.lit(1)) * 3.0 + days / F.lit(3.0), F.lit(100.0))
+    holes = F.least(vulnerabilities * F.lit(25.0), F.lit(100.0))
+    gap = F.when(has_mcp, 0.0).otherwise(100.0)
+    total = F.least(F.greatest(0.35 * reach + 0.25 * decay + 0.25 * holes + 0.15 * gap, F.lit(0.0)), F.lit(100.0))
+    return F.floor(total * 100 + 0.5) / 100
+
+
+def eci_tier(score: Column) -> Column:
+    return F.when(score >= 70, 1).when(score >= 45, 2).when(score >= 25, 3).otherwise(4)
+
+
+def diagnosis(dependents: Column, maintainers: Column, stale: Column, vulnerabilities: Column, has_mcp: Column) -> Column:
+    parts = F.concat_ws(
+        "; ",
+        F.when(maintainers <= 1, F.concat(F.lit("Single maintainer sustaining "), dependents.cast("string"), F.lit(" downstream packages"))),
+        F.when(stale > 15, F.concat(F.lit("High issue backlog ("), stale.cast("string"), F.lit(" unassigned issues)"))),
+        F.when(~has_mcp, F.lit("Missing Model Context Protocol bridge for AI integration")),
+        F.when(vulnerabilities > 0, F.concat(F.lit("Unpatched security advisories ("), vulnerabilities.cast("string"), F.lit(" CVEs)"))),
+    )
+    return F.when(parts == "", "Healthy baseline state.").otherwise(parts)
+
+
+def ranked(repos: DataFrame, most: int) -> DataFrame:
+    """The ``most`` repositories of greatest score, the first of equals first."""
+    return repos.orderBy(F.desc("score"), "repo").limit(most)
+
+
+def synthetic_repos(spark, needed: int) -> DataFrame:
+    """Rows that fill a category up: i from 1 to ``needed``."""
+    i = F.col("i")
+    return spark.range(1, needed + 1).withColumnRenamed("id", "i").select(F.concat(F.lit("synthetic-"), i.cast("string")).alias("repo"), (650 * i).alias("dependents"), F.lit(1).cast("long").alias("maintainers"), (10 + 3 * i).alias("stale"), (45 + 15 * i).alias("days"), (i % 2 == 0).cast("long").alias("vulnerabilities"), (i == 3).alias("has_mcp"))
