@@ -47,6 +47,7 @@ MAPPINGS = (
     Mapping("instruction", single=(("system", "system"), ("instruction", "user"), ("output", "assistant")), joined=("instruction", "input"), optional=("system", "input")),
     Mapping("question-answer", single=(("system", "system"), ("question", "user"), ("answer", "assistant")), optional=("system",)),
 )
+#: Names of roles in lists whose field is ``from``; ``role`` is taken as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -106,7 +107,8 @@ def canonical(record: str | None) -> tuple[str | None, list[Turn]]:
         out.append((role, text))
     if mapping.turns:
         items, role, text = mapping.turns
-        out += [(ROLES.get(t[role], t[role]) or "", t[text] or "") for t in value[items]]
+        names = ROLES if role == "from" else {}
+        out += [(names.get(t[role], t[role]) or "", t[text] or "") for t in value[items]]
     return mapping.name, out
 
 
