@@ -14,17 +14,27 @@ from covenant.functions.constants import DBMS_NATIONAL_CODES, DBMS_TYPE_CODES
 def chained(entries: DataFrame) -> DataFrame:
     """``entries(log_id, seq, content)`` with ``hash`` and ``previous_hash``: each hash covers the one before.
 
-    A chain is sequential by its nature; each log is folded by one task, and logs go side by side.
+    A chain is sequential by its nature: logs go side by side, and a task passes through its logs in order
+    with one hash in hand. A null content counts as empty.
     """
-    step = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<seq:bigint,content:string,previous_hash:string,hash:string>>").alias("done"))
-
-    def add(acc: Column, x: Column) -> Column:
-        h = text.sha256_upper(F.concat(acc["last"], x["content"]))
-        row = F.struct(x["seq"].alias("seq"), x["content"].alias("content"), F.nullif(acc["last"], F.lit("")).alias("previous_hash"), h.alias("hash"))
-        return F.struct(h.alias("last"), F.concat(acc["done"], F.array(row)).alias("done"))
-
-    logs = entries.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "content"))).alias("e"))
-    return logs.select("log_id", F.inline(F.aggregate("e", step, add, lambda a: a["done"])))
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        log, last = None, None
+        for batch in batches:
+            hashes, before = [], []
+            for log_id, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if log_id != log:
+                    log, last = log_id, None
+                before.append(last)
+                last = hashlib.sha256(((last or "") + (content or "")).encode()).hexdigest().upper()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=["log_id", "seq", "content", "previous_hash", "hash"])
+
+    rows = entries.select(F.col("log_id").cast("long").alias("log_id"), F.col("seq").cast("long").alias("seq"), "content")
+    return rows.repartition("log_id").sortWithinPartitions("log_id", "seq").mapInArrow(run, "log_id long, seq long, content string, previous_hash string, hash string")
 
 
 def broken_links(log: DataFrame) -> DataFrame:
