@@ -21,11 +21,6 @@ def findings(rows: DataFrame, rule: str, message: Column, *more: str) -> DataFra
 # ---------------------------------------------------------------- parameters
 
 
-def call_without_parameters(statements: DataFrame) -> DataFrame:
-    call = F.lower(F.trim("sql_text")).rlike(r"^(exec|execute) ") & (F.regexp_count("sql_text", F.lit(r"@\w+")) == 0)
-    return findings(statements.where(call), "DG101", F.lit("Stored procedure call appears to have no parameters detected"))
-
-
 def _types(table: dict[str, tuple[str, ...]]) -> Column:
     return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*(F.lit(t.upper()) for t in v)))))
 
@@ -137,63 +132,93 @@ def inferred_type(unicode: Column, max_length: Column) -> Column:
 # ---------------------------------------------------------------- dialects
 
 
-def _each(statements: DataFrame, tests: list[tuple[Column, str]], rule: str) -> DataFrame:
+Tests = list[tuple[Column, Column]]
+
+
+def _with_upper(statements: DataFrame) -> DataFrame:
+    """``upper_text``, made once for all tests."""
+    return statements.withColumn("upper_text", F.upper("sql_text"))
+
+
+def _each(statements: DataFrame, tests: Tests, rule: str) -> DataFrame:
     """A finding for every test that holds; one pass over the statements."""
-    found = F.filter(F.array(*(F.when(test, F.lit(message)) for test, message in tests)), lambda m: m.isNotNull())
-    return findings(statements.withColumn("m", F.explode(found)), rule, F.col("m"))
+    found = F.filter(F.array(*(F.when(test, message) for test, message in tests)), lambda m: m.isNotNull())
+    return findings(_with_upper(statements).withColumn("m", F.explode(found)), rule, F.col("m"))
 
 
 def _word(word: str) -> Column:
     """Whether a statement has a word; the pattern is tried where the letters are there at all."""
-    return F.contains(F.upper("sql_text"), F.lit(word)) & F.col("sql_text").rlike(text.word_pattern(word))
+    return F.contains("upper_text", F.lit(word)) & F.col("sql_text").rlike(text.word_pattern(word))
 
 
-def oracle_elsewhere(statements: DataFrame) -> DataFrame:
-    tests = [(_word(k), f"Oracle-specific keyword '{k}' used in non-Oracle context") for k in C.ORACLE_KEYWORDS]
-    tests += [(F.contains(F.upper("sql_text"), F.lit(o)), f"Oracle-specific operator '{o}' used in non-Oracle context") for o in C.ORACLE_OPERATORS]
-    return _each(statements, tests, "DG010")
+def _oracle_elsewhere() -> Tests:
+    words = [(_word(k), F.lit(f"Oracle-specific keyword '{k}' used in non-Oracle context")) for k in C.ORACLE_KEYWORDS]
+    return words + [(F.contains("upper_text", F.lit(o)), F.lit(f"Oracle-specific operator '{o}' used in non-Oracle context")) for o in C.ORACLE_OPERATORS]
 
 
-def others_in_oracle(statements: DataFrame) -> DataFrame:
-    tests = [(_word(k), f"SQL Server-specific keyword '{k}' used in Oracle context") for k in C.SQLSERVER_KEYWORDS]
-    tests += [
-        (F.col("sql_text").rlike(r"(?i)(^|[^A-Za-z0-9_])TOP\s+\d+"), "SQL Server TOP clause used in Oracle context (use FETCH FIRST n ROWS ONLY)"),
-        (F.col("sql_text").rlike(r"(?i)(^|[^A-Za-z0-9_])LIMIT\s+\d+"), "LIMIT clause not supported in Oracle, use FETCH FIRST n ROWS ONLY"),
-        (_word("GROUP_CONCAT"), "Non-Oracle function 'GROUP_CONCAT' used in Oracle context - use LISTAGG"),
+def _others_in_oracle() -> Tests:
+    clause = lambda w: F.contains("upper_text", F.lit(w)) & F.col("sql_text").rlike(rf"(?i)(^|[^A-Za-z0-9_]){w}\s+\d+")
+    return [(_word(k), F.lit(f"SQL Server-specific keyword '{k}' used in Oracle context")) for k in C.SQLSERVER_KEYWORDS] + [
+        (clause("TOP"), F.lit("SQL Server TOP clause used in Oracle context (use FETCH FIRST n ROWS ONLY)")),
+        (clause("LIMIT"), F.lit("LIMIT clause not supported in Oracle, use FETCH FIRST n ROWS ONLY")),
+        (_word("GROUP_CONCAT"), F.lit("Non-Oracle function 'GROUP_CONCAT' used in Oracle context - use LISTAGG")),
     ]
-    return _each(statements, tests, "DG011")
 
 
-def exec_in_oracle(statements: DataFrame) -> DataFrame:
-    wrong = statements.where(F.col("sql_text").rlike(r"(?i)(^|[^A-Za-z0-9_])EXEC\s+\w+\."))
-    return findings(wrong, "DG013", F.lit("SQL Server EXEC dbo.Procedure syntax used in Oracle context. Use BEGIN ... END; block or CALL."))
+def _exec_in_oracle() -> Tests:
+    leak = F.contains("upper_text", F.lit("EXEC")) & F.col("sql_text").rlike(r"(?i)(^|[^A-Za-z0-9_])EXEC\s+\w+\.")
+    return [(leak, F.lit("SQL Server EXEC dbo.Procedure syntax used in Oracle context. Use BEGIN ... END; block or CALL."))]
 
 
-def unmapped_types(statements: DataFrame) -> DataFrame:
-    return _each(statements, [(_word(t), f"Type '{t}' used with Oracle EF Core raw SQL but not mapped by provider") for t in C.UNMAPPED_TYPES], "DG014")
+def _unmapped_types() -> Tests:
+    return [(_word(t), F.lit(f"Type '{t}' used with Oracle EF Core raw SQL but not mapped by provider")) for t in C.UNMAPPED_TYPES]
 
 
-def first_foreign(statements: DataFrame, words: tuple[str, ...], rule: str, message: str) -> DataFrame:
+def _first_foreign(words: tuple[str, ...], message: str) -> Tests:
     """The first of ``words`` that a statement holds; ``message`` has ``{}`` for it."""
     before, after = message.split("{}")
-    found = statements.withColumn("w", text.first_of(F.col("sql_text"), words)).where("w is not null")
-    return findings(found, rule, F.concat(F.lit(before), "w", F.lit(after)))
-
-
-def mysql_elsewhere(statements: DataFrame) -> DataFrame:
-    return first_foreign(statements, C.MYSQL_ONLY, "MY001", "MySQL-specific syntax '{}' used in non-MySQL context")
-
-
-def others_in_mysql(statements: DataFrame) -> DataFrame:
-    return first_foreign(statements, C.NOT_MYSQL, "MY002", "Non-MySQL syntax '{}' used in MySQL context")
-
-
-def postgres_elsewhere(statements: DataFrame) -> DataFrame:
-    return first_foreign(statements, C.POSTGRES_ONLY, "PG001", "PostgreSQL-specific syntax '{}' used in non-PostgreSQL context")
-
-
-def others_in_postgres(statements: DataFrame) -> DataFrame:
-    return first_foreign(statements, C.NOT_POSTGRES, "PG002", "Non-PostgreSQL syntax '{}' used in PostgreSQL context")
+    found = text.first_of(F.col("upper_text"), words)
+    return [(found.isNotNull(), F.concat(F.lit(before), found, F.lit(after)))]
+
+
+#: Rules that look at one statement alone -> their tests.
+STATEMENT_RULES = {
+    "DG010": _oracle_elsewhere,
+    "DG011": _others_in_oracle,
+    "DG013": _exec_in_oracle,
+    "DG014": _unmapped_types,
+    "MY001": lambda: _first_foreign(C.MYSQL_ONLY, "MySQL-specific syntax '{}' used in non-MySQL context"),
+    "MY002": lambda: _first_foreign(C.NOT_MYSQL, "Non-MySQL syntax '{}' used in MySQL context"),
+    "PG001": lambda: _first_foreign(C.POSTGRES_ONLY, "PostgreSQL-specific syntax '{}' used in non-PostgreSQL context"),
+    "PG002": lambda: _first_foreign(C.NOT_POSTGRES, "Non-PostgreSQL syntax '{}' used in PostgreSQL context"),
+    "DG098": lambda: [(F.contains("upper_text", F.lit("SELECT")) & ~F.contains("upper_text", F.lit("FROM")), F.lit("Raw SQL query missing FROM clause"))],
+    "DG099": lambda: [(text.contains_any(F.col("upper_text"), C.INJECTION_PATTERNS), F.lit("Potential SQL injection pattern detected"))],
+    "DG101": lambda: [(F.lower(F.trim("sql_text")).rlike(r"^(exec|execute) ") & (F.regexp_count("sql_text", F.lit(r"@\w+")) == 0), F.lit("Stored procedure call appears to have no parameters detected"))],
+}
+
+
+def statement_rules(statements: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """All findings of rules in ``STATEMENT_RULES``, in one pass over the statements."""
+    tests = [(i, test, message) for i in ids for test, message in STATEMENT_RULES[i]()]
+    made = F.array(*(F.when(test, F.struct(F.lit(i).alias("rule_id"), F.lit(C.RULES[i][0]).alias("severity"), message.alias("message"))) for i, test, message in tests))
+    return _with_upper(statements).select("contract_id", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m")).select("contract_id", "m.*")
+
+
+def _alone(rule: str):
+    return lambda statements: _each(statements, STATEMENT_RULES[rule](), rule)
+
+
+oracle_elsewhere = _alone("DG010")
+others_in_oracle = _alone("DG011")
+exec_in_oracle = _alone("DG013")
+unmapped_types = _alone("DG014")
+mysql_elsewhere = _alone("MY001")
+others_in_mysql = _alone("MY002")
+postgres_elsewhere = _alone("PG001")
+others_in_postgres = _alone("PG002")
+select_without_from = _alone("DG098")
+injection = _alone("DG099")
+call_without_parameters = _alone("DG101")
 
 
 # ---------------------------------------------------------------- phantom names
@@ -231,15 +256,6 @@ def phantom_selected(statements: DataFrame, columns: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- security
 
 
-def select_without_from(statements: DataFrame) -> DataFrame:
-    low = F.lower("sql_text")
-    return findings(statements.where(low.contains("select") & ~low.contains("from")), "DG098", F.lit("Raw SQL query missing FROM clause"))
-
-
-def injection(statements: DataFrame) -> DataFrame:
-    return findings(statements.where(text.contains_any(F.col("sql_text"), C.INJECTION_PATTERNS)), "DG099", F.lit("Potential SQL injection pattern detected"))
-
-
 def audit_sources(sources: DataFrame) -> DataFrame:
     """``sources(target, source)``: how many issues of each kind, the score (100 less the penalties) and whether it is safe to deploy."""
     has = lambda s: F.contains("source", F.lit(s))

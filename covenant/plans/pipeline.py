@@ -22,7 +22,7 @@ def _matched(t: Tables) -> DataFrame:
 
 #: Rule id -> (tables it needs, plan).
 PLANS: dict[str, tuple[tuple[str, ...], Plan]] = {
-    "DG101": (("statements",), lambda t: rules.call_without_parameters(t["statements"])),
+    **{r: (("statements",), lambda t, r=r: rules.statement_rules(t["statements"], (r,))) for r in rules.STATEMENT_RULES},
     "DG002": (("parameters",), lambda t: rules.parameter_types(t["parameters"])),
     "DG003": (("parameters",), lambda t: rules.parameter_directions(t["parameters"])),
     "DG004": (("properties", "statements"), lambda t: engine.united([f(t["properties"], sqltext.shape_columns(t["statements"])) for f in (rules.missing_columns, rules.extra_columns)])),
@@ -31,19 +31,9 @@ PLANS: dict[str, tuple[tuple[str, ...], Plan]] = {
     "DG007": (("properties", "columns"), lambda t: rules.too_long(_matched(t))),
     "DG008": (("properties", "columns"), lambda t: rules.too_many_bytes(_matched(t))),
     "DG009": (("properties", "columns"), lambda t: rules.inferred_length(_matched(t))),
-    "DG010": (("statements",), lambda t: rules.oracle_elsewhere(t["statements"])),
-    "DG011": (("statements",), lambda t: rules.others_in_oracle(t["statements"])),
-    "DG013": (("statements",), lambda t: rules.exec_in_oracle(t["statements"])),
-    "DG014": (("statements",), lambda t: rules.unmapped_types(t["statements"])),
     "DG015": (("statements", "columns"), lambda t: rules.phantom_tables(t["statements"], t["columns"])),
     "DG016": (("statements", "columns"), lambda t: engine.united([rules.phantom_qualified(t["statements"], t["columns"]), rules.phantom_selected(t["statements"], t["columns"])])),
-    "DG098": (("statements",), lambda t: rules.select_without_from(t["statements"])),
-    "DG099": (("statements",), lambda t: rules.injection(t["statements"])),
-    "MY001": (("statements",), lambda t: rules.mysql_elsewhere(t["statements"])),
-    "MY002": (("statements",), lambda t: rules.others_in_mysql(t["statements"])),
     "MY003": (("properties", "columns"), lambda t: rules.too_long(_matched(t), "MY003")),
-    "PG001": (("statements",), lambda t: rules.postgres_elsewhere(t["statements"])),
-    "PG002": (("statements",), lambda t: rules.others_in_postgres(t["statements"])),
     "PG003": (("properties", "columns"), lambda t: rules.too_long(_matched(t), "PG003")),
     "CUSTOM001": (("parameters",), lambda t: rules.legacy_prefix(t["parameters"])),
 }
@@ -98,7 +88,10 @@ class Pipeline:
         """All findings of the chosen rules that have their tables, less the baseline's; one plan, which Spark runs as one job."""
         wanted = self.chosen or tuple(PLANS)
         needs = {r: [d for d in C.RULE_DEPENDENCIES.get(r, ()) if d in wanted] for r in dict.fromkeys(wanted)}
-        plans = [PLANS[r][1](self.tables) for r in graph.order(needs) if all(t in self.tables for t in PLANS[r][0])]
+        able = [r for r in graph.order(needs) if all(t in self.tables for t in PLANS[r][0])]
+        single = tuple(r for r in able if r in rules.STATEMENT_RULES)  # these share one pass
+        plans = [rules.statement_rules(self.tables["statements"], single)] if single else []
+        plans += [PLANS[r][1](self.tables) for r in able if r not in single]
         if not plans:
             raise ValueError("no chosen rule has its tables")
         found = engine.united(plans)
