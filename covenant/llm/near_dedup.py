@@ -7,8 +7,9 @@
    smallest of them. So candidates form groups without any list of pairs.
 3. In a group everything is confirmed on full sets: first each member against the group's hub. What these
    links leave apart goes on only if it can still have a link: a member's shingles that no other member
-   has, and those that it shares with the hub, bound every intersection. The pairs that pass are confirmed
-   on full sets too.
+   has, and those that it shares with the hub, bound every intersection. Two linked members of which one
+   isn't linked with the hub must agree in some shingle by which both differ from the hub; pairs come from
+   an index of such shingles, the rarest of each member (``_meet``), and are confirmed on full sets too.
 4. Components of the confirmed links by alternating large-star and small-star.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.llm.cluster import materialised, prepare, tidy
@@ -146,14 +147,14 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     raise AssertionError
 
 
-COMPARED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_u", pa.int64()), ("n_v", pa.int64()), ("common", pa.int64()), ("only_v", pa.list_(pa.int64()))])
+COMPARED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_u", pa.int64()), ("n_v", pa.int64()), ("common", pa.int64()), ("only_v", pa.list_(pa.int64())), ("only_u", pa.list_(pa.int64()))])
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, extra: bool) -> DataFrame:
-    """(u, v, n_u, n_v, common, only_v) for each of ``pairs(u, v)`` by full sets of ``texts(rep, text)``.
+    """(u, v, n_u, n_v, common, only_v, only_u) for each of ``pairs(u, v)`` by full sets of ``texts(rep, text)``.
 
-    ``only_v`` has v's shingle hashes that u lacks if ``extra``, else null. A text of u that follows itself
-    is cut into shingles once for all its rows in a batch.
+    ``only_v`` has v's shingle hashes that u lacks if ``extra``, else null; ``only_u`` the other way round. A
+    text of u that follows itself is cut into shingles once for all its rows in a batch.
     """
 
     def run(batches):
@@ -165,7 +166,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, extra: bool) -> Data
             hashes, starts = shingles(pa.concat_arrays([once, batch.column(3)]), width)
             base, rows = int(lead.sum()), batch.num_rows
             n = np.diff(starts)
-            common, only = np.zeros(rows, np.int64), []
+            common, only, lost = np.zeros(rows, np.int64), [], []
             for k in range(base):  # all rows of one u at a time
                 a, b = np.searchsorted(of, [k, k + 1])
                 mine = hashes[starts[k] : starts[k + 1]]
@@ -177,11 +178,16 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, extra: bool) -> Data
                 if extra:
                     left, gone = theirs[~same].view(np.int64), cuts - total[cuts]
                     only += [left[x:y] for x, y in zip(gone.tolist(), gone[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[of]), pa.array(n[base:]), pa.array(common), pa.array(only if extra else [None] * rows, pa.list_(pa.int64()))], schema=COMPARED)
+                    for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                        lacks = np.ones(len(mine), bool)
+                        lacks[at[x:y][same[x:y]]] = False
+                        lost.append(mine[lacks].view(np.int64))
+            arrays = [pa.array(a if extra else [None] * rows, pa.list_(pa.int64())) for a in (only, lost)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n[of]), pa.array(n[base:]), pa.array(common), *arrays], schema=COMPARED)
 
     first = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
     both = first.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
-    return both.mapInArrow(tidy(run), "u long, v long, n_u long, n_v long, common long, only_v array<long>")
+    return both.mapInArrow(tidy(run), "u long, v long, n_u long, n_v long, common long, only_v array<long>, only_u array<long>")
 
 
 def _alike(n_u: str, n_v: str, common: Column, percent: int) -> Column:
@@ -189,6 +195,36 @@ def _alike(n_u: str, n_v: str, common: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * (F.col(n_u) + F.col(n_v))
 
 
+def _meet(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
+    """(x_node, y_node, ...) pairs of ``alive(hub, n_hub, node, mark, n, common, others, linked)`` that can be linked, x not linked with its hub.
+
+    ``mark`` tells apart rows of one doc_id with several texts. By the differences D to the hub, (hub, node,
+    mark, h), x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, and
+    linked ones in k (n_x + n_y) at most, k = (100 - percent) / (100 + percent). As x isn't linked with the
+    hub, |Dx| > k (n_x + n_hub), so x and y agree in at least one element, and in the more the larger Dx and Dy
+    are. With a member's elements from the rarest in the group on, two that agree in c of them share one of
+    their first |D| - c + 1: only these are joined.
+    """
+    own, away, n, hub = (100 + percent), (100 - percent), F.col("n"), F.col("n_hub")
+    size = n + hub - 2 * F.col("common")
+    # The least agreement with any partner: of an unlinked member by the partner's size that asks for least, of a linked one by its partner's distance from the hub.
+    partner = F.least(F.greatest(hub.cast("double"), n * percent / 100), n * 100 / F.lit(percent))
+    apart = F.ceil((own * (size + F.abs(partner - hub)) - away * (n + partner)) / (2 * own) - 1e-6)
+    near = F.floor((own * size + away * (hub - n)) / (2 * own) - 1e-6) + 1
+    agree = F.greatest(F.lit(1), F.when(F.col("linked"), near).otherwise(apart))
+    members = alive.withColumn("first", size - agree + 1)
+    listed = members.join(differences, ["hub", "node", "mark"])
+    often = listed.groupBy("hub", "h").agg(F.count("*").alias("held"))
+    placed = listed.join(often, ["hub", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node", "mark").orderBy("held", "h")))
+    placed = placed.where("place <= first and held > 1")
+    x = placed.where("not linked").select("hub", "h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "others")))
+    y = placed.select("hub", "h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "common", "others", "linked")))
+    most = F.least("x_common", "y_common") + F.least("x_others", "y_others")
+    return x.join(y, ["hub", "h"]).where(
+        (F.col("y_linked") | (F.col("y_node") > F.col("x_node"))) & (F.col("x_node") != F.col("y_node")) & _alike("x_n", "y_n", F.least(most, F.col("x_n"), F.col("y_n")), percent)
+    )
+
+
 def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v) for enough pairs of alike classes that each has its whole component."""
     grouped = components(links)
@@ -203,22 +239,18 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     apart = tried.where(~_alike("n_u", "n_v", F.col("common"), percent))
 
     # Members of groups that aren't whole yet: shingles beyond the hub's, and how many of them another member has too.
-    unfinished = tried.join(apart.select("u").distinct(), "u", "left_semi")
+    marked = tried.withColumn("mark", F.xxhash64("n_u", "only_v", "only_u"))
+    unfinished = marked.join(apart.select("u").distinct(), "u", "left_semi")
     beyond = unfinished.select("u", "v", F.explode("only_v").alias("h"))
     shared = beyond.groupBy("u", "h").agg(F.count("*").alias("n")).where("n > 1").select("u", "h")
     with_others = beyond.join(shared, ["u", "h"]).groupBy("u", "v").agg(F.count("*").alias("others"))
-    bound = unfinished.drop("only_v").join(with_others, ["u", "v"], "left").na.fill(0, ["others"]).withColumn("linked", _alike("n_u", "n_v", F.col("common"), percent))
-    bound = materialised(bound.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.col("n_v").alias("n"), "common", "others", "linked"), "bounds")
+    bound = unfinished.drop("only_v", "only_u").join(with_others, ["u", "v"], "left").na.fill(0, ["others"]).withColumn("linked", _alike("n_u", "n_v", F.col("common"), percent))
+    bound = materialised(bound.select(F.col("u").alias("hub"), F.col("n_u").alias("n_hub"), F.col("v").alias("node"), "mark", F.col("n_v").alias("n"), "common", "others", "linked"), "bounds")
     # Alone, a member can't reach more than its own shingles that the hub or another member has.
     alive = bound.where(100 * (F.col("common") + F.col("others")) >= percent * F.col("n"))
-    x = alive.where("not linked").select("hub", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "others")))
-    y = alive.select("hub", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "common", "others", "linked")))
-    most = F.least("x_common", "y_common") + F.least("x_others", "y_others")
-    possible = (
-        x.join(y, "hub")
-        .where((F.col("y_linked") | (F.col("y_node") > F.col("x_node"))) & (F.col("x_node") != F.col("y_node")) & _alike("x_n", "y_n", F.least(most, F.col("x_n"), F.col("y_n")), percent))
-        .select(F.col("x_node").alias("u"), F.col("y_node").alias("v"))
-    )
+    alive = alive.join(alive.where("not linked").select("hub").distinct(), "hub", "left_semi")
+    differences = marked.select(F.col("u").alias("hub"), F.col("v").alias("node"), "mark", F.explode(F.concat("only_v", "only_u")).alias("h"))
+    possible = _meet(alive, differences, percent).select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
     late = compare(possible, wanted, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
     return good.select("u", "v").unionAll(late.select("u", "v"))
 

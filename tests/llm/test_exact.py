@@ -199,6 +199,35 @@ def test_a_group_of_distant_copies(spark):
     assert got == expected
 
 
+def test_groups_of_branches(spark):
+    """Many groups: a hub with many copies, branches at its threshold, and members that meet only within or between branches."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(24):
+        base = [f"g{g}w{k}" for k in range(rng.choice((40, 90, 150)))]
+        width = len(base)
+        rows += [(1000 * g + k, " ".join(base)) for k in range(3)]
+        n = 3
+        for b in range(4):
+            branch = list(base)
+            at = rng.randrange(width // 2)
+            length = rng.choice((width // 14, width // 10, width // 8, width // 7))
+            branch[at : at + length] = [] if b == 0 else [f"g{g}b{b}x{k}" for k in range(length)]
+            for _ in range(6):
+                w = list(branch)
+                for _ in range(rng.choice((0, 0, 1, 2, 3))):
+                    w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+                if rng.random() < 0.3:
+                    w = w[: -rng.randrange(1, width // 12)]
+                rows.append((1000 * g + n, " ".join(w)))
+                n += 1
+    expected = brute_components(rows, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(fx.documents(spark, rows), 3, 85).collect()}
+    assert got == expected
+
+
 def test_keep_one(spark, docs):
     got = near_dedup.keep_one(docs.where("doc_id is not null"))
     assert got.columns == docs.columns
