@@ -65,6 +65,21 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot from this share of all rows on; fewer than ``HOT`` keys can be, so their rows of a table can be broadcast.
+HOT = 10_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows.join(table, key)`` for ``table(key, ..., held)`` of one row to a key that ``held`` of ``rows`` have at most; without ``held``.
+
+    ``total`` is the number of rows, or more. Rows of hot keys, which hold over a ``HOT``-th of it, stay where they
+    are and get the table's rows by broadcast; only the others are shuffled.
+    """
+    hot = F.broadcast(table.where(F.col("held") * HOT > total))
+    rest = table.where(F.col("held") * HOT <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key)).drop("held")
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the text ''."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

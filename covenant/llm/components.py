@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import materialised
+from covenant.llm.cluster import lookup, materialised
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or itself)."""
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("held"))
+    return lookup(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
+    moved = lookup(down, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -30,10 +30,10 @@ def components(links: DataFrame) -> DataFrame:
     two numbers come to the driver; rounds end when the links stand still as stars.
     """
     links = materialised(links.select("u", "v").where("u <> v").distinct(), "links")
-    mark = None
+    mark, total = None, links.count()
     while True:
-        links = materialised(_small_star(_large_star(links)), "links")
+        links = materialised(_small_star(_large_star(links, total), total), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+        mark, total = now, now[0]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import materialised, prepare, tidy
+from covenant.llm.cluster import lookup, materialised, prepare, tidy
 from covenant.llm.components import components
 from covenant.llm.words import Words, mix, rolling, slices, windows
 
@@ -126,11 +126,11 @@ def similar(pairs: DataFrame) -> DataFrame:
 def candidate_links(reps: DataFrame) -> DataFrame:
     """(u, v) links that join all candidates of ``reps(rep, keys, bits)`` into groups."""
     bits = reps.select("rep", "bits")
-    members = reps.select(F.explode("keys").alias("key"), "rep")
+    members, total = reps.select(F.explode("keys").alias("key"), "rep"), BANDS * reps.count()
     found = None
     for meeting in range(MEETINGS + 1):
-        hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-        met = materialised(members.join(hubs, "key").where("rep <> hub"), "met")
+        hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1")
+        met = materialised(lookup(members, hubs, "key", total).where("rep <> hub"), "met")
         pairs = met.select("hub", "rep").distinct()
         if meeting < MEETINGS:
             sized = pairs.join(bits.select("rep", F.col("bits").alias("v_bits")), "rep").join(bits.select(F.col("rep").alias("hub"), F.col("bits").alias("u_bits")), "hub")
@@ -144,6 +144,7 @@ def candidate_links(reps: DataFrame) -> DataFrame:
         split = met.join(judged, ["hub", "rep"])
         open_keys = split.where(F.col("estimate") < STAYS).select("key").distinct()
         members = materialised(split.where(F.col("estimate") < MEETS_AGAIN).join(open_keys, "key", "left_semi").select("key", "rep"), "members")
+        total = members.count()
     raise AssertionError
 
 
@@ -214,9 +215,9 @@ def _meet(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     agree = F.greatest(F.lit(1), F.when(F.col("linked"), near).otherwise(apart))
     members = alive.withColumn("first", size - agree + 1)
     listed = members.join(differences, ["hub", "node", "mark"])
-    often = listed.groupBy("hub", "h").agg(F.count("*").alias("held"))
-    placed = listed.join(often, ["hub", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node", "mark").orderBy("held", "h")))
-    placed = placed.where("place <= first and held > 1")
+    often = listed.groupBy("hub", "h").agg(F.count("*").alias("often"))
+    placed = listed.join(often, ["hub", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node", "mark").orderBy("often", "h")))
+    placed = placed.where("place <= first and often > 1")
     x = placed.where("not linked").select("hub", "h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "others")))
     y = placed.select("hub", "h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "common", "others", "linked")))
     most = F.least("x_common", "y_common") + F.least("x_others", "y_others")
@@ -230,17 +231,18 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     grouped = components(links)
     members = grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct())
     weighed = members.join(reps.select(F.col("rep").alias("node"), "copies"), "node")
-    hubs = weighed.groupBy("root").agg(F.max_by("node", F.struct("copies", -F.col("node"))).alias("hub"))
-    pairs = weighed.join(hubs, "root").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    hubs = weighed.groupBy("root").agg(F.max_by("node", F.struct("copies", -F.col("node"))).alias("hub"), F.count("*").alias("held"))
+    pairs = lookup(weighed, hubs, "root", 2 * reps.count()).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     wanted = texts.join(members.select(F.col("node").alias("rep")), "rep", "left_semi")
     wanted = materialised(wanted, "group-texts")
     tried = materialised(compare(pairs, wanted, width, extra=True), "tried")
-    good = tried.where(_alike("n_u", "n_v", F.col("common"), percent))
-    apart = tried.where(~_alike("n_u", "n_v", F.col("common"), percent))
+    alike = _alike("n_u", "n_v", F.col("common"), percent)
+    good = tried.where(alike)
 
     # Members of groups that aren't whole yet: shingles beyond the hub's, and how many of them another member has too.
     marked = tried.withColumn("mark", F.xxhash64("n_u", "only_v", "only_u"))
-    unfinished = marked.join(apart.select("u").distinct(), "u", "left_semi")
+    unfinished = tried.groupBy("u").agg(F.count("*").alias("held"), F.every(alike).alias("whole")).where("not whole").drop("whole")
+    unfinished = lookup(marked, unfinished, "u", tried.count())
     beyond = unfinished.select("u", "v", F.explode("only_v").alias("h"))
     shared = beyond.groupBy("u", "h").agg(F.count("*").alias("n")).where("n > 1").select("u", "h")
     with_others = beyond.join(shared, ["u", "h"]).groupBy("u", "v").agg(F.count("*").alias("others"))
@@ -248,7 +250,8 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     bound = materialised(bound.select(F.col("u").alias("hub"), F.col("n_u").alias("n_hub"), F.col("v").alias("node"), "mark", F.col("n_v").alias("n"), "common", "others", "linked"), "bounds")
     # Alone, a member can't reach more than its own shingles that the hub or another member has.
     alive = bound.where(100 * (F.col("common") + F.col("others")) >= percent * F.col("n"))
-    alive = alive.join(alive.where("not linked").select("hub").distinct(), "hub", "left_semi")
+    still = alive.groupBy("hub").agg(F.count("*").alias("held"), F.every("linked").alias("whole")).where("not whole").drop("whole")
+    alive = lookup(alive, still, "hub", bound.count())
     differences = marked.select(F.col("u").alias("hub"), F.col("v").alias("node"), "mark", F.explode(F.concat("only_v", "only_u")).alias("h"))
     possible = _meet(alive, differences, percent).select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
     late = compare(possible, wanted, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
