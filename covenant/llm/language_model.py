@@ -1,12 +1,14 @@
 """A log-bilinear language model and its unigram base, learnt from all training documents and applied to all texts.
 
 Tokens are words with A-Z lowered, and one end for each document. Spark counts every token and, for the
-model's vocabulary (the most frequent tokens, the end, and one class for all others), every pair of
-neighbours. A token's score is the product of its predecessor's context vector and its own target vector,
-plus its bias. Noise-contrastive estimation fits them: since the pair counts hold all that the objective
-needs, its expectation over the noise is computed in full by matrix products instead of by drawing noise.
-Batched matrix products normalise the scores into token log-probabilities. A word outside the vocabulary
-has its class's probability times its add-one share among such words.
+model's vocabulary (every word of ``LEAST_COUNT`` occurrences or more, the end, and one class for all
+others), every pair of neighbours. A token's score is the product of its predecessor's context vector and
+its own target vector, plus its bias. Noise-contrastive estimation fits them. Pair counts stay in Spark:
+in each round every task climbs on its pairs with drawn noise, and the tasks' changes of a vector are averaged
+by how often each met it. A vocabulary of up to ``FULL`` has one matrix of pair counts instead, and the
+expectation over the noise is computed in full. Matrix products by blocks normalise the scores into token
+log-probabilities. A word outside the vocabulary has its class's probability times its add-one share among
+such words.
 """
 
 from __future__ import annotations
@@ -20,13 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
-from covenant.llm.cluster import materialised, prepare, remainder, tidy
+from covenant.llm.cluster import BATCH_ROWS, materialised, prepare, remainder, tidy
 from covenant.llm.words import Words, slices
 
-#: Words in the model's vocabulary, and words whose counts every task has at hand; others are looked up by a join.
-VOCABULARY = 1022
+#: Occurrences that put a word into the model's vocabulary.
+LEAST_COUNT = 100
+#: Words whose counts every task has at hand besides the vocabulary's; others are looked up by a join.
 AT_HAND = 150_000
 DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 300, 0.05
+#: Size of a vocabulary up to which the objective is computed in full; beyond it, rounds, draws shared by a
+#: step of pairs, pairs in a row and in a step, and the rate of the rounds.
+FULL, ROUNDS, DRAWS, ROW_PAIRS, STEP_PAIRS, ROUND_RATE = 1024, 3, 64, 8192, 1024, 0.15
+#: Numbers in a block of changes or of contexts to normalise.
+BLOCK = 4096
 END = ""  # no word is empty
 HELD_WORDS = 200_000
 
@@ -76,11 +84,12 @@ class Table:
     OTHER, STOP = 0, 1
 
     @staticmethod
-    def of(rows: list[tuple[str, int]], vocabulary: int) -> Table:
+    def of(rows: list[tuple[str, int]], vocabulary: int | None, least: int = LEAST_COUNT) -> Table:
+        """The vocabulary is the ``vocabulary`` most frequent words, or if None all of ``least`` occurrences or more."""
         import xxhash
 
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        chosen = {w: k + 2 for k, (w, _) in enumerate([r for r in rows if r[0] != END][:vocabulary])} | {END: Table.STOP}
+        chosen = {w: k + 2 for k, (w, _) in enumerate([r for r in rows if r[0] != END and (vocabulary is not None or r[1] >= least)][:vocabulary])} | {END: Table.STOP}
         hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w, _ in rows], np.uint64)
         order = np.argsort(hashes)
         return Table(hashes[order], np.array([n for _, n in rows], np.int64)[order], np.array([chosen.get(w, Table.OTHER) for w, _ in rows], np.int64)[order], len(chosen) + 1)
@@ -104,36 +113,183 @@ def sequence(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return before, tokens, starts
 
 
-def count_pairs(texts: DataFrame, table: Table) -> np.ndarray:
-    """How often each number follows each in ``texts(text)``. Tasks add up whole matrices, and Spark adds the tasks' rows; one matrix comes to the driver."""
-    spark, size = texts.sparkSession, table.size
-    shared = spark.sparkContext.broadcast(table)
+PAIRS = pa.schema([("seed", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())])
+
+
+def count_pairs(texts: DataFrame, table: Table) -> DataFrame:
+    """(seed, pairs, n): how often each number follows each in stretches of ``texts(text)``, as packed arrays.
+
+    A pair is predecessor * size + token. A stretch's pairs are in random order, ``ROW_PAIRS`` to a row. Pairs
+    of several stretches aren't added up: whoever reads them adds.
+    """
+    size = table.size
+    shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
+        task, made = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             words = Words(batch.column(0), lower=True)
             before, tokens, _ = sequence(words, shared.value.look(words.vocab_hashes())[1])
-            total += np.bincount(before * size + tokens, minlength=size * size)
+            pairs, n = np.unique(before * size + tokens, return_counts=True)
+            order = np.random.default_rng((task, made)).permutation(len(pairs))
+            pairs, n = pairs[order].astype("<i8"), n[order].astype("<u4")
+            for k in range(0, len(pairs), ROW_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made]), pa.array([pairs[k : k + ROW_PAIRS].tobytes()]), pa.array([n[k : k + ROW_PAIRS].tobytes()])], schema=PAIRS)
+                made += 1
+
+    return materialised(texts.mapInArrow(tidy(run), "seed long, pairs binary, n binary"), "pairs")
+
+
+def unpacked(batches):
+    """(seed, pairs, n) arrays of each row of ``count_pairs``."""
+    for batch in batches:
+        for seed, pairs, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield seed, np.frombuffer(pairs, "<i8"), np.frombuffer(n, "<u4")
+
+
+def matrix(pairs: DataFrame, size: int) -> np.ndarray:
+    """The pair counts of a vocabulary of ``FULL`` at most as one matrix. Tasks add up whole matrices, and Spark adds the tasks' rows."""
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for _, pair, n in unpacked(batches):
+            total += np.bincount(pair, n, size * size).astype(np.int64)
         for row, line in enumerate(total.reshape(size, size)):
-            after = np.nonzero(line)[0]
-            if len(after):
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "after": pa.array([after.astype("<u4").tobytes()]), "n": pa.array([line[after].astype("<i8").tobytes()])})
+            if line.any():
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "line": pa.array([line.astype("<i8").tobytes()])})
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for after, n in zip(group["after"].to_pylist(), group["n"].to_pylist(), strict=True):
-            np.add.at(total, np.frombuffer(after, "<u4"), np.frombuffer(n, "<i8"))
+        total = np.sum([np.frombuffer(x, "<i8") for x in group["line"].to_pylist()], axis=0)
         return pa.table({"row": group["row"][:1], "line": pa.array([total.astype("<i8").tobytes()])})
 
     out = np.zeros((size, size), np.int64)
-    for r in texts.mapInArrow(tidy(run), "row int, after binary, n binary").groupBy("row").applyInArrow(add, "row int, line binary").toArrow().to_pylist():
+    for r in pairs.mapInArrow(tidy(run), "row int, line binary").groupBy("row").applyInArrow(add, "row int, line binary").toArrow().to_pylist():
         out[r["row"]] = np.frombuffer(r["line"], "<i8")
     return out
 
 
+def _add_rows(theta: np.ndarray, held: np.ndarray, at: np.ndarray, slope: np.ndarray, rate: float) -> None:
+    """Adagrad with one step size to a row of ``theta``; slopes of equal rows are added first."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0]
+    rows, g = at[first], np.add.reduceat(slope[order], first, axis=0)
+    held[rows] += (g * g).mean(1)
+    theta[rows] += rate * g / np.sqrt(held[rows])[:, None]
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_sampled(pairs: DataFrame, unigram: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, rounds: int = ROUNDS, rate: float = ROUND_RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Context vectors, and target vectors with the bias behind, of the model of ``count_pairs``' rows.
+
+    The noise is ``unigram``, ``noise`` draws for each token: the pairs of a step share ``DRAWS`` draws, which count for so many.
+    The biases stay the unigram's logarithms: learnt from few, heavy draws they would drift.
+    """
+    spark, size = pairs.sparkSession, len(unigram)
+    rng = np.random.default_rng(seed)
+    context = (rng.normal(size=(size, dimensions + 1)) * 0.05).astype(np.float32)
+    context[:, -1] = 1
+    target = (rng.normal(size=(size, dimensions + 1)) * 0.05).astype(np.float32)
+    target[:, -1] = np.log(unigram)
+    shift, reach = np.log(noise * unigram).astype(np.float32), np.cumsum(unigram)
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((context, target, shift, reach))
+        step = rate * (1 - turn / rounds)
+
+        def run(batches, shared=shared, step=step, turn=turn):
+            context, target, shift, reach = shared.value
+            mine = [context.copy(), target.copy()]
+            held, met = np.full((2, size), 0.1, np.float32), np.zeros((2, size), np.float32)
+            for key, pair, n in unpacked(batches):
+                rng = np.random.default_rng((seed, turn, key))
+                for k in range(0, len(pair), STEP_PAIRS):
+                    c, t = np.divmod(pair[k : k + STEP_PAIRS], size)
+                    m = n[k : k + STEP_PAIRS].astype(np.float32)
+                    drawn = np.minimum(np.searchsorted(reach, rng.random(DRAWS) * reach[-1]), size - 1)
+                    u, v, w = mine[0][c], mine[1][t], mine[1][drawn]
+                    up = m * (1 - _sigmoid((u * v).sum(1) - shift[t]))
+                    down = _sigmoid(u @ w.T - shift[drawn]) * (-noise / DRAWS * m)[:, None]
+                    slope = up[:, None] * v + down @ w
+                    back = np.concatenate((up[:, None] * u, down.T @ u))
+                    slope[:, -1] = back[:, -1] = 0  # the bias stays the unigram's
+                    _add_rows(mine[0], held[0], c, slope, step)
+                    _add_rows(mine[1], held[1], np.concatenate((t, drawn)), back, step)
+                    np.add.at(met[0], c, m)
+                    np.add.at(met[1], t, m)
+                    np.add.at(met[1], drawn, noise * m.sum() / DRAWS)
+            for side, (old, new) in enumerate(zip((context, target), mine, strict=True)):
+                for k in range(0, size, BLOCK):
+                    at = k + np.nonzero(met[side, k : k + BLOCK])[0]
+                    if len(at):
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "side": pa.array([side], pa.int32()),
+                                "block": pa.array([k], pa.int32()),
+                                "at": pa.array([(at - k).astype("<u2").tobytes()]),
+                                "met": pa.array([met[side, at].astype("<f4").tobytes()]),
+                                "change": pa.array([(new[at] - old[at]).astype("<f2").tobytes()]),
+                            }
+                        )
+
+        def add(group: pa.Table) -> pa.Table:
+            total, weight = np.zeros((BLOCK, dimensions + 1)), np.zeros(BLOCK)
+            for at, met, change in zip(*(group[c].to_pylist() for c in ("at", "met", "change")), strict=True):
+                at, met = np.frombuffer(at, "<u2"), np.frombuffer(met, "<f4").astype(float)
+                total[at] += met[:, None] * np.frombuffer(change, "<f2").reshape(len(at), -1)
+                weight[at] += met
+            mean = total / np.maximum(weight, 1e-9)[:, None]
+            return pa.table({"side": group["side"][:1], "block": group["block"][:1], "change": pa.array([mean.astype("<f4").tobytes()])})
+
+        changes = pairs.mapInArrow(tidy(run), "side int, block int, at binary, met binary, change binary").groupBy("side", "block").applyInArrow(add, "side int, block int, change binary")
+        context, target = context.copy(), target.copy()
+        for r in changes.toArrow().to_pylist():
+            part = (context, target)[r["side"]][r["block"] : r["block"] + BLOCK]
+            part += np.frombuffer(r["change"], "<f4").reshape(BLOCK, -1)[: len(part)]
+        shared.unpersist()
+    return context, target
+
+
+def log_sums(context: np.ndarray, target: np.ndarray, rows: int = 256) -> np.ndarray:
+    """ln of the sum of exp over all targets for each context, by blocks of both."""
+    out = np.empty(len(context))
+    for k in range(0, len(context), rows):
+        top, total = np.full(len(context[k : k + rows]), -np.inf), np.zeros(len(context[k : k + rows]))
+        for j in range(0, len(target), BLOCK):
+            s = context[k : k + rows] @ target[j : j + BLOCK].T
+            new = np.maximum(top, s.max(1))
+            s -= new.astype(np.float32)[:, None]
+            total = total * np.exp(top - new) + np.exp(s, out=s).sum(1, dtype=float) * np.exp(new.astype(np.float32) - new)
+            top = new
+        out[k : k + rows] = top + np.log(total)
+    return out
+
+
+def normalisers(spark, context: np.ndarray, target: np.ndarray, rows: int = 512) -> np.ndarray:
+    """``log_sums`` of all contexts, ``rows`` of them to a row of Spark."""
+    shared = spark.sparkContext.broadcast((context, target))
+
+    def run(batches):
+        context, target = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"id": pa.array([k]), "sums": pa.array([log_sums(context[k * rows : (k + 1) * rows], target).tobytes()])})
+
+    blocks = -(-len(context) // rows)
+    found = spark.range(0, blocks, 1, min(blocks, BATCH_ROWS)).mapInArrow(tidy(run), "id long, sums binary").toArrow().to_pylist()
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["id"])])
+
+
 def fit(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> np.ndarray:
-    """log10 P(token | predecessor), predecessor x token, of a log-bilinear model of the pair counts.
+    """log10 P(token | predecessor), predecessor x token, of a log-bilinear model of the pair counts."""
+    return normalised(*climb(pairs, dimensions, noise, steps, rate, seed))
+
+
+def climb(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> list[np.ndarray]:
+    """Context vectors, target vectors and biases of the model of a matrix of pair counts.
 
     The noise is the tokens' add-one unigram distribution, ``noise`` draws for each token. Adam climbs the
     whole objective. Its start is the noise distribution itself, which is also what no pairs at all give.
@@ -155,7 +311,7 @@ def fit(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, ste
         for k, g in enumerate((slope @ target - 1e-4 * context, slope.T @ context - 1e-4 * target, slope.sum(0))):
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
             theta[k] = theta[k] + rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return normalised(theta[0], theta[1], theta[2])
+    return theta
 
 
 def normalised(context: np.ndarray, target: np.ndarray, bias: np.ndarray, batch: int = 256) -> np.ndarray:
@@ -171,22 +327,33 @@ def normalised(context: np.ndarray, target: np.ndarray, bias: np.ndarray, batch:
 @dataclass
 class Model:
     table: Table
-    log_pairs: np.ndarray
+    context: np.ndarray  # with a last place of 1
+    target: np.ndarray  # with the bias in the last place
+    log_sums: np.ndarray
     tokens: int  # N
     types: int  # V
     other_tokens: int
     other_types: int
 
+    def log_pairs(self, before: np.ndarray, after: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """log10 P(after | before) of numbers."""
+        out = np.empty(len(before))
+        for k in range(0, len(before), step):
+            c = before[k : k + step]
+            out[k : k + step] = np.einsum("ij,ij->i", self.context[c], self.target[after[k : k + step]]) - self.log_sums[c]
+        return out / np.log(10)
+
 
 PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("n_other", pa.int64()), ("log_other", pa.float64()), ("log_model", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
 
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, at_hand: int = AT_HAND) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int | None = None, at_hand: int = AT_HAND, least_count: int = LEAST_COUNT) -> DataFrame:
     """A row for each document of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) mod 7 is 2 are held out of all that is learnt. A null or empty text is
     its end alone. ``base_score`` sums log10((c + 1) / (N + V + 1)); ``score`` is the model's log10
-    probability of all tokens. Without training documents the base is add-one over nothing and the model
+    probability of all tokens. The model's vocabulary is the ``vocabulary`` most frequent words, or if None
+    all of ``least_count`` occurrences or more. Without training documents the base is add-one over nothing and the model
     knows the end and one class. Rows that repeat an id are scored each by itself.
     """
     spark = docs.sparkSession
@@ -196,11 +363,21 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, at_hand: int
     counts = materialised(count_tokens(training), "token-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = count_threshold(counts, at_hand)
+    least = min(least, least_count) if vocabulary is None else least
     near = [(r["word"], r["n"]) for r in counts.where((F.col("n") >= least) | (F.col("word") == END)).collect()]
-    table = Table.of(near, vocabulary)
-    log_pairs = fit(count_pairs(training, table))
+    table = Table.of(near, vocabulary, least_count)
     in_vocabulary = table.numbers != Table.OTHER
-    model = Model(table, log_pairs, tokens, types, int(tokens - table.counts[in_vocabulary].sum()), int(types - in_vocabulary.sum()))
+    other_tokens, other_types = int(tokens - table.counts[in_vocabulary].sum()), int(types - in_vocabulary.sum())
+    pairs = count_pairs(training, table)
+    if table.size <= FULL:
+        context, target, bias = climb(matrix(pairs, table.size))
+        context, target = np.column_stack((context, np.ones_like(bias))), np.column_stack((target, bias))
+    else:
+        unigram = np.ones(table.size)
+        unigram[table.numbers[in_vocabulary]] += table.counts[in_vocabulary]
+        unigram[Table.OTHER] += other_tokens
+        context, target = fit_sampled(pairs, unigram / unigram.sum())
+    model = Model(table, context, target, normalisers(spark, context, target), tokens, types, other_tokens, other_types)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -228,7 +405,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, at_hand: int
                     pa.array(ts.sums(logs, words.starts) + np.log10(stop + 1.0)),
                     pa.array(ts.sums(other.astype(np.int64), words.starts)),
                     pa.array(ts.sums(np.where(other, logs, 0.0), words.starts)),
-                    pa.array(ts.sums(held.log_pairs[before, after], starts)),
+                    pa.array(ts.sums(held.log_pairs(before, after), starts)),
                     pa.ListArray.from_arrays(cut, spelt),
                     pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64))),
                 ],

@@ -123,6 +123,28 @@ def test_language_model(spark):
     assert language_model.score_documents(fx.documents(spark, [(2, "only held"), (None, None)])).count() == 2
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    """Each name has one successor. Names after the 1,022 most frequent words are scored by their own predecessor too."""
+    rng = random.Random(9)
+    names = [f"n{k}" for k in range(1500)]
+    rows = [(i, " ".join(f"{w} {w}s" for w in rng.choices(names, [4] * 600 + [1] * 900, k=150))) for i in range(1500)]
+    rows = [r for r in rows if fx.crc(r[0], 7) != 2]
+    ids = [i for i in range(2000, 2400) if fx.crc(i, 7) == 2]
+    for i, j in zip(ids[::2], ids[1::2], strict=False):  # the same words in the right and in the wrong order
+        chosen = rng.sample(names[600:], 30)
+        rows += [(i, " ".join(f"{w} {w}s" for w in chosen)), (j, " ".join(f"{w} {v}s" for w, v in zip(chosen, chosen[1:] + chosen[:1], strict=True)))]
+    got = {r.doc_id: r.score for r in language_model.score_documents(fx.documents(spark, rows), least_count=5).collect()}
+    right = [got[i] > got[j] + 1 for i, j in zip(ids[::2], ids[1::2], strict=False)]
+    assert len(right) > 20 and np.mean(right) > 0.9
+
+
+def test_sampled_model_is_normalised(spark):
+    rng = np.random.default_rng(3)
+    context, target = (rng.normal(size=(5000, 9)).astype(np.float32) for _ in range(2))
+    sums = language_model.normalisers(spark, context[:700], target)
+    assert np.allclose(np.exp(context[:700] @ target.T - sums[:, None]).sum(1), 1, atol=1e-3)
+
+
 def test_model_is_normalised():
     pairs = np.random.default_rng(0).poisson(2, (20, 20))
     log = language_model.fit(pairs, dimensions=4, steps=50)
