@@ -4,6 +4,7 @@ Texts and benchmark items are lowered, and everything but letters and digits bec
 n bytes with at most k edits shares n + 1 - q - k * q of its q-grams with its occurrence, on diagonals that
 differ by k at most. So q-grams shared with each item are counted in overlapping bands of diagonals; a band
 that reaches the item's bound is aligned with the item (banded edit distance) and reported if k edits do.
+Items of fewer than ``LEAST_BYTES`` are searched as they are, at word boundaries: chance would match them with edits.
 """
 
 from __future__ import annotations
@@ -75,15 +76,20 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    short_ids: list
+    short: list[np.ndarray]  # a space, the item and a space
 
 
 def make_index(rows: list[tuple], edits: float = EDITS, least: int = LEAST_BYTES) -> Index | None:
-    """Of (item_id, text) rows; items that fold to fewer than ``least`` bytes are left out, as chance would match them."""
+    """Of (item_id, text) rows; items that fold to fewer than ``least`` bytes are kept apart, for an exact search."""
     data, starts, _ = folded(pa.array([r[1] for r in rows], pa.large_string()))
     kept = [(r[0], data[a : b - 1].tobytes().strip()) for r, a, b in zip(rows, starts.tolist(), starts[1:].tolist(), strict=False)]
+    short = [(i, t) for i, t in kept if 0 < len(t) < least]
     kept = [(i, t) for i, t in kept if len(t) >= least]
+    apart = ([i for i, _ in short], [np.frombuffer(b" " + t + b" ", np.uint8) for _, t in short])
     if not kept:
-        return None
+        none = np.zeros(0, np.int64)
+        return Index([], [], none, none, none, none.astype(np.uint64), np.zeros(1, np.int64), none, none, np.zeros(1 << _BITS, bool), *apart) if short else None
     n = np.array([len(t) for _, t in kept])
     budget = np.minimum((edits * n).astype(int), (n - Q) // Q)
     codes = [grams(np.frombuffer(t, np.uint8)) for _, t in kept]
@@ -94,7 +100,7 @@ def make_index(rows: list[tuple], edits: float = EDITS, least: int = LEAST_BYTES
     table = np.zeros(1 << _BITS, bool)
     table[_slot(known)] = True
     width = 1 << np.ceil(np.log2(2 * budget + 1)).astype(int)
-    return Index([i for i, _ in kept], [t for _, t in kept], budget, n + 1 - Q - budget * Q, width, known, np.append(first, len(order)), item[order], place[order], table)
+    return Index([i for i, _ in kept], [t for _, t in kept], budget, n + 1 - Q - budget * Q, width, known, np.append(first, len(order)), item[order], place[order], table, *apart)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -108,6 +114,8 @@ def candidates(data: np.ndarray, starts: np.ndarray, index: Index) -> np.ndarray
     A diagonal is the text's place less the item's. Bands of ``width`` diagonals are counted, and each is
     taken with the next, so the pairs overlap by a band and every ``width`` neighbouring diagonals lie in one.
     """
+    if not index.items:
+        return np.zeros((0, 4), np.int64)
     codes = grams(data)
     at = np.nonzero(index.table[_slot(codes)])[0]
     number = np.minimum(np.searchsorted(index.known, codes[at]), len(index.known) - 1)
@@ -180,6 +188,42 @@ def align(patterns: list[bytes], texts: list[bytes], band: int, anchored: bool =
     return best, end
 
 
+def short_hits(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, 0) of every occurrence of the short items between word boundaries of the folded texts. Short items are numbered after the others.
+
+    Stretches of as many words as an item, of its length and its first two bytes, are looked up among the items.
+    """
+    if not index.short:
+        return []
+    space = (data == 32) | (data == 0)
+    first = np.nonzero(~space & np.concatenate(([True], space[:-1])))[0]
+    last = np.nonzero(~space & np.concatenate((space[1:], [True])))[0] + 1
+    if not len(first):
+        return []
+    row = np.searchsorted(starts, first, side="right") - 1
+    whole = data.tobytes()
+    by_words: dict[int, dict[bytes, list[int]]] = {}
+    for k, item in enumerate(index.short):
+        text = item[1:-1].tobytes()
+        by_words.setdefault(text.count(b" ") + 1, {}).setdefault(text, []).append(k)
+    out = []
+    for words, items in by_words.items():
+        begin, end = first[: len(first) - words + 1], last[words - 1 :]
+        near = (row[: len(begin)] == row[words - 1 :]) & np.isin(end - begin, [len(t) for t in items])
+        lead = np.zeros(1 << 16, bool)  # by the first two bytes, or one and what follows it
+        lead[[(t + b" ")[0] << 8 | (t + b" ")[1] for t in items]] = True
+        second = data[begin + 1]
+        near &= lead[data[begin].astype(np.int64) << 8 | np.where(second == 0, 32, second)]
+        at = np.nonzero(near)[0]
+        done: dict[tuple[int, int], int] = {}
+        for r, a, b in zip(row[at].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
+            for k in items.get(whole[a:b], ()):
+                if a >= done.get((r, k), 0):  # occurrences that overlap are one
+                    done[r, k] = b
+                    out.append((r, len(index.items) + k, a, b, 0))
+    return out
+
+
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) of the items' occurrences in whole texts; places are code points of the text."""
     data, starts, raw = folded(texts)
@@ -214,6 +258,7 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
                 best[-1] = row
         else:
             best.append(row)
+    best += short_hits(data, starts, index)
     if not best:
         return []
     lowered, begins = text_bytes(_lowered(texts))  # lowering keeps the number of code points, not of bytes
@@ -240,8 +285,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDI
     """A row for each occurrence of a benchmark item in a document: doc_id, item_id, start, end (code points), edits.
 
     An item of n folded bytes occurs where at most min(n * ``edits``, (n - 8) / 8) edits of folded bytes make
-    it. Occurrences of an item that overlap are one, the earliest of fewest edits. Null or empty texts and
-    items hold and match nothing; items that repeat are reported by each id, rows that repeat an id each by itself.
+    it, or as it is between word boundaries if n < 32. Occurrences of an item that overlap are one, the earliest of fewest edits. Null or empty texts, and
+    items without letters and digits, hold and match nothing; items that repeat are reported by each id, rows that repeat an id each by itself.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -252,9 +297,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDI
 
         def run(batches, shared=shared):
             held = shared.value
+            names = held.item_ids + held.short_ids
             for batch in slices(batches):
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[r], held.item_ids[i], a, b, e) for r, i, a, b, e in search(batch.column(1), held)]
+                rows = [(ids[r], names[i], a, b, e) for r, i, a, b, e in search(batch.column(1), held)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=OUT)
 

@@ -197,6 +197,16 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Too short!"), (2, "x"), (3, "one two one"), (4, "..."), (5, "too SHORT"), (6, fx.sentence(random.Random(1), 12))]
+    rows = [(1, "It is too, short."), (2, "it is too shorter, or xx"), (3, "one two one two one two one"), (4, "x"), (5, "too"), (6, "short"), (7, None), (8, "é X")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for held in (benchmark, benchmark.where("item_id < 6")):
+        got = {tuple(r) for r in decontaminate.find_contamination(fx.documents(spark, rows), held).collect()}
+        assert got == {(1, 1, 6, 16, 0), (1, 5, 6, 16, 0), (3, 3, 0, 11, 0), (3, 3, 16, 27, 0), (4, 2, 0, 1, 0), (8, 2, 2, 3, 0)}
+        assert {r.doc_id for r in decontaminate.drop_contaminated(fx.documents(spark, rows), held).collect()} == {2, 5, 6, 7}
+
+
 def test_benchmark_in_blocks(spark):
     items = [(k, t) for k, t in enumerate(fx.sentence(random.Random(k), 12) for k in range(30))]
     df = spark.createDataFrame(items, "item_id long, text string")
