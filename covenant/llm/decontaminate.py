@@ -109,10 +109,11 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 
 def candidates(data: np.ndarray, starts: np.ndarray, index: Index) -> np.ndarray:
-    """(row, item, first diagonal, last diagonal) of every run of band pairs whose shared q-grams reach the item's bound.
+    """(row, item, first diagonal, last diagonal) of every band pair whose shared q-grams reach the item's bound.
 
     A diagonal is the text's place less the item's. Bands of ``width`` diagonals are counted, and each is
-    taken with the next, so the pairs overlap by a band and every ``width`` neighbouring diagonals lie in one.
+    taken with the next, so the pairs overlap by a band and every ``width`` neighbouring diagonals lie in one. A
+    pair has fewer diagonals than two occurrences side by side are apart, so it holds one of them at most.
     """
     if not index.items:
         return np.zeros((0, 4), np.int64)
@@ -146,18 +147,16 @@ def candidates(data: np.ndarray, starts: np.ndarray, index: Index) -> np.ndarray
     if not len(key):
         return np.zeros((0, 4), np.int64)
     key = np.unique(np.concatenate((held[ahead >= bound], held[(behind >= bound)] - 1)))
-    new = np.concatenate(([True], key[1:] > key[:-1] + 1))[: len(key)]
-    end = np.concatenate((new[1:], [True]))[: len(key)]
-    low, high, owner = key[new] & ((1 << 28) - 1), key[end] & ((1 << 28) - 1), key[new] >> 28
+    low, owner = key & ((1 << 28) - 1), key >> 28
     item = owner % len(index.items)
     width = index.width[item]
-    return np.stack((owner // len(index.items), item, (low - (1 << 27)) * width, (high + 2 - (1 << 27)) * width), axis=1)
+    return np.stack((owner // len(index.items), item, (low - (1 << 27)) * width, (low + 2 - (1 << 27)) * width), axis=1)
 
 
-def align(patterns: list[bytes], texts: list[bytes], band: int, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def align(patterns: list[bytes], texts: list[bytes], band: int, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each pattern against a part of its text, and where that part ends.
 
-    The part starts anywhere in the first ``band`` bytes, or at the first byte if ``anchored``; only
+    The part starts anywhere in the first ``band`` bytes, or at byte ``anchor``; only
     alignments whose diagonal stays within ``band`` of the text's start are seen. All pairs go row by row together.
     """
     n = np.array([len(p) for p in patterns])
@@ -171,8 +170,8 @@ def align(patterns: list[bytes], texts: list[bytes], band: int, anchored: bool =
     far = 1 << 20
     step = np.arange(band, dtype=np.int32)
     cost = np.zeros((len(patterns), band), np.int32)
-    if anchored:
-        cost[:] = step
+    if anchor is not None:
+        cost[:] = np.where(step < anchor, far, step - anchor)
     cost[step[None, :] > limit[:, None]] = far
     best, end = np.full(len(patterns), far), np.zeros(len(patterns), np.int64)
     for i in range(rows):
@@ -231,13 +230,13 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
     out, unsure = [], []
     for row, item, low, high in found.tolist():
         k, pattern = int(index.budget[item]), index.items[item]
-        begin, end = max(low - k, int(starts[row])), min(high + len(pattern) + k, int(starts[row + 1]) - 1)
-        if end - begin < len(pattern) - k:
+        begin, own, end = low, max(low, int(starts[row])), min(high + len(pattern) - 1, int(starts[row + 1]) - 1)
+        if end - own < len(pattern) - k:
             continue
-        piece = data[begin:end].tobytes()
+        piece = b"\1" * (own - begin) + data[own:end].tobytes()  # diagonals from before the text count too: a copy at its start can lack letters
         at = piece.find(pattern)
         if at < 0:
-            unsure.append((row, item, begin, piece, high - low + 2 * k + 1))
+            unsure.append((row, item, begin, piece, high - low))
         while at >= 0:  # the item as it is
             out.append((row, item, begin + at, begin + at + len(pattern), 0))
             at = piece.find(pattern, at + len(pattern))
@@ -248,9 +247,10 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
         edits, end = align(patterns, [x[3] for x in part], part[-1][4])
         good = [j for j, x in enumerate(part) if edits[j] <= index.budget[x[1]]]
         if good:
-            turned = [part[j][3][: end[j]][::-1] for j in good]
-            back = align([patterns[j][::-1] for j in good], turned, 2 * max(int(index.budget[part[j][1]]) for j in good) + 2, anchored=True)[1]
-            out += [(*part[j][:2], part[j][2] + int(end[j] - b), part[j][2] + int(end[j]), int(edits[j])) for j, b in zip(good, back, strict=True)]
+            most = max(int(index.budget[part[j][1]]) for j in good)
+            turned = [b"\1" * most + part[j][3][: end[j]][::-1] for j in good]
+            back = align([patterns[j][::-1] for j in good], turned, 2 * most + 2, anchor=most)[1] - most
+            out += [(*part[j][:2], max(part[j][2] + int(end[j] - b), int(starts[part[j][0]])), part[j][2] + int(end[j]), int(edits[j])) for j, b in zip(good, back, strict=True)]
     best: list[tuple] = []
     for row in sorted(set(out)):
         if best and best[-1][:2] == row[:2] and row[2] < best[-1][3]:  # the same occurrence, from another band

@@ -197,6 +197,16 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_copies_side_by_side_are_rows_of_their_own(spark):
+    rng = random.Random(6)
+    for size in (84, 90, 94, 165, 180, 340):
+        item = fx.sentence(rng, size)[:size].rstrip(" .") + "z"
+        edited, other = (f"{item[:k]}#{item[k + 1 :]}" if item[k] != " " else f"{item[:k]}9{item[k + 1 :]}" for k in (size // 2, size // 3))
+        rows = [(1, f"{edited} {item}"), (2, f"{item} {edited}"), (3, f"{edited} {other}"), (4, f"{item} {item}"), (5, f"{edited} {item} {other}")]
+        got = Counter(r[0] for r in decontaminate.search(pa.array([t for _, t in rows]), decontaminate.make_index([(1, item)])))
+        assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}, (size, got)
+
+
 def test_short_items_are_found_exactly(spark):
     items = [(1, "Too short!"), (2, "x"), (3, "one two one"), (4, "..."), (5, "too SHORT"), (6, fx.sentence(random.Random(1), 12))]
     rows = [(1, "It is too, short."), (2, "it is too shorter, or xx"), (3, "one two one two one two one"), (4, "x"), (5, "too"), (6, "short"), (7, None), (8, "é X")]
