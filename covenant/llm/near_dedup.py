@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,14 +162,16 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, extra: bool) -> Data
     def run(batches):
         for batch in slices(slices(batches, 2 << 20, "u_text"), 2 << 20, "v_text"):
             u = batch.column(0).to_numpy()
-            lead = np.concatenate(([True], u[1:] != u[:-1]))
+            text = pc.fill_null(batch.column(2), "")
+            other = pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
+            lead = np.concatenate(([True], (u[1:] != u[:-1]) | other))
             of = np.cumsum(lead) - 1
             once = batch.column(2).take(pa.array(np.nonzero(lead)[0]))
             hashes, starts = shingles(pa.concat_arrays([once, batch.column(3)]), width)
             base, rows = int(lead.sum()), batch.num_rows
             n = np.diff(starts)
             common, only, lost = np.zeros(rows, np.int64), [], []
-            for k in range(base):  # all rows of one u at a time
+            for k in range(base):  # all rows of one text of u at a time
                 a, b = np.searchsorted(of, [k, k + 1])
                 mine = hashes[starts[k] : starts[k + 1]]
                 theirs, cuts = hashes[starts[base + a] : starts[base + b]], starts[base + a : base + b + 1] - starts[base + a]

@@ -286,3 +286,10 @@ def test_layouts():
     assert chat.canonical('{"instruction":"q","input":"i","output":"a","system":"s"}')[1] == [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]
     for record in (None, "", "[1]", '{"other":1}', '{"messages":3}'):
         assert chat.canonical(record) == (None, [])
+
+
+def test_each_text_of_a_repeated_id_is_compared(spark):
+    texts = spark.createDataFrame([(1, "a b c d"), (1, "e f g h i"), (2, "e f g h i"), (3, "a b c d")], "rep long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long").coalesce(1)
+    got = {(r.v, r.n_u, r.common) for r in near_dedup.compare(pairs, texts, 1, extra=True).collect()}
+    assert got == {(2, 4, 0), (2, 5, 5), (3, 4, 4), (3, 5, 0)}
