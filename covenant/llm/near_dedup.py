@@ -1,7 +1,7 @@
 """MinHash near-deduplication: documents whose sets of shingles are alike enough are one group.
 
 1. A shingle is ``width`` words in a row. Documents of equal sets are a class; its smallest doc_id stands for it.
-2. Many universal hash functions give each class a signature of minima. Bands of ``ROWS`` minima are keys;
+2. Many universal hash functions give each class a signature of minima. Bands of some minima (``banding``) are keys;
    classes that share a key are candidates. Within a key all are compared with its smallest member alone,
    by their signatures. Where some are far from it, those that aren't close to it meet again under the
    smallest of them. So candidates form groups without any list of pairs.
@@ -25,8 +25,8 @@ from covenant.llm.cluster import lookup, materialised, prepare, tidy
 from covenant.llm.components import components
 from covenant.llm.words import Words, mix, rolling, slices, windows
 
-#: A pair at similarity 0.85 shares no band once in 300,000 times; one at 0.8 once in 4,000.
-BANDS, ROWS = 40, 8
+#: A pair at the threshold shares no band once in ``MISS`` times at most. That takes 40 bands of 8 rows at 0.85, and 54 of 7 at 0.8.
+MISS, MOST_BANDS, MOST_ROWS = 330_000, 54, 8
 #: Signature similarity from which a member stays with a key's smallest, and below which it also meets the
 #: others of its key again if some member doesn't stay. Their distance exceeds what two linked members can
 #: differ by towards a third (1 - threshold), plus three standard errors of either estimate.
@@ -35,8 +35,18 @@ STAYS, MEETS_AGAIN = 0.45, 0.80
 MEETINGS = 3
 
 _SEEDS = np.random.Generator(np.random.PCG64(20_240_001))
-_A = (_SEEDS.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
-_B = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_FACTORS, _SHIFTS = zip(*((_SEEDS.integers(0, 1 << 31, n, dtype=np.uint64), _SEEDS.integers(0, 1 << 32, n, dtype=np.uint64)) for n in (320, 112)), strict=True)
+_A, _B = (np.concatenate(_FACTORS) * 2 + 1).astype(np.uint32), np.concatenate(_SHIFTS).astype(np.uint32)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: as many rows to a band as ``MOST_BANDS`` allow. Below 21 percent pairs are missed more often than ``MISS`` says."""
+    for rows in range(MOST_ROWS, 0, -1):
+        share = min(percent / 100, 0.999) ** rows
+        bands = int(np.ceil(np.log(MISS) / -np.log1p(-share)))
+        if bands <= MOST_BANDS:
+            return bands, rows
+    return MOST_BANDS, 1
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +72,10 @@ def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return found[new], np.searchsorted(owner[new], np.arange(len(words) + 1))
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """Rows x (bands * rows) minima of a * x + b modulo 2**32 over each row's hashes; rows without hashes have zeros."""
+def signatures(hashes: np.ndarray, starts: np.ndarray, minima: int, step: int = 1 << 16) -> np.ndarray:
+    """Rows x ``minima`` minima of a * x + b modulo 2**32 over each row's hashes; rows without hashes have zeros."""
     n = len(starts) - 1
-    out = np.zeros((BANDS * ROWS, n), np.uint32)
+    out = np.zeros((minima, n), np.uint32)
     x = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     full = np.nonzero(np.diff(starts))[0]
     first = 0
@@ -75,7 +85,7 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> n
             rows = full[first:last]
             part, cuts = x[starts[rows[0]] : starts[rows[-1] + 1]], starts[rows] - starts[rows[0]]
             held = np.empty_like(part)
-            for j in range(BANDS * ROWS):
+            for j in range(minima):
                 np.multiply(part, _A[j], out=held)
                 np.add(held, _B[j], out=held)
                 out[j, rows] = np.minimum.reduceat(held, cuts)
@@ -86,12 +96,12 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> n
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
-def sign(texts: DataFrame, width: int) -> DataFrame:
+def sign(texts: DataFrame, width: int, bands: int, per_band: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, keys, bits) of ``texts(doc_id, text)``: a 128-bit hash of the set, the bands' keys, a byte of each minimum."""
 
     def run(batches):
         with np.errstate(over="ignore"):
-            base = np.uint64(0x100000001B3) ** np.arange(ROWS, dtype=np.uint64)
+            base = np.uint64(0x100000001B3) ** np.arange(per_band, dtype=np.uint64)
             for batch in slices(batches, 1 << 20):
                 hashes, starts = shingles(batch.column(1), width)
                 n = np.diff(starts)
@@ -99,9 +109,9 @@ def sign(texts: DataFrame, width: int) -> DataFrame:
                 np.cumsum(mix(hashes), out=total[0, 1:])
                 np.cumsum(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)), out=total[1, 1:])
                 whole = (total[:, starts[1:]] - total[:, starts[:-1]]).view(np.int64)
-                minima = signatures(hashes, starts)
-                keys = mix((mix(minima.astype(np.uint64).reshape(len(n), BANDS, ROWS)) * base).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+                minima = signatures(hashes, starts, bands * per_band)
+                keys = mix((mix(minima.astype(np.uint64).reshape(len(n), bands, per_band)) * base).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
                 low = (minima >> np.uint32(24)).astype(np.uint8) ^ (minima >> np.uint32(8)).astype(np.uint8) ^ minima.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), listed, pa.array([r.tobytes() for r in low], pa.binary())], schema=SIGNED)
 
@@ -124,10 +134,10 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(tidy(run), StructType([*(pairs.schema[c] for c in rest), StructField("estimate", DoubleType())]))
 
 
-def candidate_links(reps: DataFrame) -> DataFrame:
+def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
     """(u, v) links that join all candidates of ``reps(rep, keys, bits)`` into groups."""
     bits = reps.select("rep", "bits")
-    members, total = reps.select(F.explode("keys").alias("key"), "rep"), BANDS * reps.count()
+    members, total = reps.select(F.explode("keys").alias("key"), "rep"), bands * reps.count()
     found = None
     for meeting in range(MEETINGS + 1):
         hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1")
@@ -273,14 +283,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialised(sign(texts, width), "signed")
+    signed = materialised(sign(texts, width, *banding(percent)), "signed")
     sets = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialised(classes, "classes")
     named = classes.where("rep is not null")
     chosen = signed.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", *sets])
     reps = materialised(chosen.dropDuplicates(["doc_id", *sets]).select(F.col("doc_id").alias("rep"), "keys", "bits", "copies"), "reps")
-    links = confirmed_links(candidate_links(reps), reps, texts.withColumnRenamed("doc_id", "rep"), width, percent)
+    links = confirmed_links(candidate_links(reps, banding(percent)[0]), reps, texts.withColumnRenamed("doc_id", "rep"), width, percent)
     rooted = components(links)
     roots = named.join(rooted, named["rep"] == rooted["node"], "left").select(*sets, F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", *sets).join(roots, sets, "left")

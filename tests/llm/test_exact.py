@@ -293,3 +293,10 @@ def test_each_text_of_a_repeated_id_is_compared(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long").coalesce(1)
     got = {(r.v, r.n_u, r.common) for r in near_dedup.compare(pairs, texts, 1, extra=True).collect()}
     assert got == {(2, 4, 0), (2, 5, 5), (3, 4, 4), (3, 5, 0)}
+
+
+def test_bands_follow_the_threshold():
+    for percent in (60, 70, 80, 85, 95, 100):
+        bands, rows = near_dedup.banding(percent)
+        assert bands * rows <= len(near_dedup._A) and (1 - (percent / 100) ** rows) ** bands < 1 / 300_000
+    assert near_dedup.banding(85) == (40, 8)
