@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from covenant.llm.textstats import text_bytes
 from covenant.llm.words import Words
 
 
@@ -20,7 +22,7 @@ def tokenizer_path() -> str:
 #: Text that is encoded at once; a larger batch repeats fewer words.
 TEXT_BYTES = 4 << 20
 #: Punctuation that ends a word; the tokenizer cuts it off as a unit of its own.
-_TAIL = ".,;:!?"
+_TAIL = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 _STRETCH = 4096
 
 
@@ -28,51 +30,79 @@ class TextEncoder:
     """Encodes batches of texts.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in
-    order. Each distinct word is encoded by the tokenizers library and kept. What is kept has two halves of
-    about ``keep`` words: when the new half is full it becomes the old one, and words that come again move over.
+    order. Each distinct unit is encoded by the tokenizers library and kept in Arrow and numpy arrays; when more
+    than ``keep`` would be held, those that were used least lately go.
     """
 
-    def __init__(self, path: str, keep: int = 180_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.keep, self.turn = keep, 0
+        self.units = pa.array([], pa.large_string())
+        self.flat, self.sizes, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _singly(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _singly(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, texts: list[str]) -> list[bytes]:
+    def _letters(self, texts: list[str]) -> list[list[int]]:
         """Ids of words of letters alone: a stretch of them at once, cut where ids end a word."""
-        out: list[bytes] = []
+        out: list[list[int]] = []
         for k in range(0, len(texts), _STRETCH):
             part = texts[k : k + _STRETCH]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = (np.nonzero(self.ends_word[ids])[0] + 1).tolist()
+            ids = self._singly([" ".join(part)])[0]
+            ends = (np.nonzero(self.ends_word[np.array(ids, np.int64)])[0] + 1).tolist()
             if len(ends) == len(part) and ends[-1] == len(ids):
-                data = ids.tobytes()
-                out += [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+                out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             else:  # some word isn't one unit after all
                 out += self._singly(part)
         return out
 
-    def _ids(self, units: list[bytes], learn) -> list[bytes]:
-        """Ids of each unit, from what is kept or by ``learn``, which is then kept."""
-        known, old = self.known, self.old
-        missing = [u for u in units if u not in known]
-        if missing:
-            if len(known) + len(missing) > self.keep:
-                self.old, self.known = known, {}
-                known, old, missing = self.known, self.old, units
-            new = [u for u in missing if u not in old]
-            known.update((u, old[u]) for u in missing if u in old)
-            known.update(zip(new, learn([u.decode() for u in new]), strict=True))
-        return list(map(known.__getitem__, units))
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        """Ids of words of a-z alone, which neither the normaliser nor the byte map changes: the model itself takes them."""
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in texts]
+
+    def _forget(self, coming: int) -> None:
+        """Makes room for ``coming`` units: the half used last stays, or as many as fit."""
+        room = max(0, min(self.keep // 2, self.keep - coming))
+        stay = np.sort(np.argsort(-self.used, kind="stable")[:room])
+        self.flat = _gather(self.flat, self.sizes, stay)
+        self.units, self.sizes, self.used = self.units.take(pa.array(stay)), self.sizes[stay], self.used[stay]
+
+    def _look(self, units: pa.Array) -> np.ndarray:
+        """The number of each of some distinct units among those kept; the tokenizer encodes new ones."""
+        self.turn += 1
+        find = lambda: pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = find()
+        missing = np.nonzero(at < 0)[0]
+        if len(self.units) and len(self.units) + len(missing) > self.keep:
+            self._forget(len(missing))
+            at = find()
+            missing = np.nonzero(at < 0)[0]
+        if len(missing):
+            new = units.take(pa.array(missing))
+            letters = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+            plain = letters & pc.string_is_ascii(new).to_numpy(zero_copy_only=False) & pc.equal(pc.ascii_lower(new), new).to_numpy(zero_copy_only=False)
+            order, ids = [], []
+            for kind, learn in ((plain, self._plain), (letters & ~plain, self._letters), (~letters, self._singly)):
+                which = np.nonzero(kind)[0]
+                if len(which):
+                    order.append(which)
+                    ids += learn(new.take(pa.array(which)).to_pylist())
+            order = np.concatenate(order)
+            at[missing[order]] = len(self.units) + np.arange(len(order))
+            self.units = pa.concat_arrays([self.units, new.take(pa.array(order))])
+            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)))
+            self.used = np.concatenate((self.used, np.zeros(len(ids), np.int32)))
+        self.used[at] = self.turn
+        return at
 
     def _vocabulary(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the distinct words, and how many each has.
@@ -81,29 +111,19 @@ class TextEncoder:
         doesn't count; so a word is a head and a tail, and other words are a head that is encoded as it stands.
         """
         head = pc.utf8_rtrim(pc.ascii_lower(vocab), characters=_TAIL)
-        plain = pc.utf8_is_alpha(head)
-        head = pc.if_else(plain, head, vocab)
-        coded = head.dictionary_encode()
-        heads = coded.dictionary
-        alpha = pc.utf8_is_alpha(heads).to_numpy(zero_copy_only=False)
-        parts: list[bytes] = [b""] * (len(heads) + 1)  # the last is no tail
-        raw = heads.cast(pa.large_binary())
-        for kind, learn in ((alpha, self._letters), (~alpha, self._singly)):
-            at = np.nonzero(kind)[0]
-            for k, ids in zip(at.tolist(), self._ids(raw.take(pa.array(at)).to_pylist(), learn), strict=True):
-                parts[k] = ids
-        seq = np.empty((len(vocab), 2), np.int64)
-        seq[:, 0] = coded.indices.to_numpy(zero_copy_only=False)
-        seq[:, 1] = len(heads)
-        size = pc.binary_length(head).to_numpy(zero_copy_only=False)
-        more = np.nonzero(pc.binary_length(vocab).to_numpy(zero_copy_only=False) > size)[0]
-        tails: dict[bytes, int] = {}
-        for k, w, n in zip(more.tolist(), vocab.take(pa.array(more)).cast(pa.large_binary()).to_pylist(), size[more].tolist(), strict=True):
-            seq[k, 1] = len(heads) + 1 + tails.setdefault(w[n:], len(tails))
-        parts += self._singly([t.decode() for t in tails])
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = _gather(np.frombuffer(b"".join(parts), np.uint32), sizes, seq.ravel())
-        return flat, sizes[seq].sum(1)
+        head = pc.if_else(pc.utf8_is_alpha(head), head, vocab)
+        size = pc.binary_length(head).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = pc.binary_length(vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+        more = np.nonzero(whole > size)[0]
+        tail = _ends(vocab, size, whole)
+        coded = pa.concat_arrays([head, tail]).dictionary_encode()
+        at = self._look(coded.dictionary)
+        number = at[coded.indices.to_numpy(zero_copy_only=False)]
+        none = len(self.sizes)
+        seq = np.full((len(vocab), 2), none)
+        seq[:, 0], seq[more, 1] = number[: len(vocab)], number[len(vocab) :]
+        sizes = np.append(self.sizes, 0)
+        return _gather(self.flat, sizes, seq.ravel()), sizes[seq].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
         """All ids, where each row's ids start (one more at the end), the words and the number of ids of each word."""
@@ -114,6 +134,15 @@ class TextEncoder:
         return _gather(table, sizes, words.codes), starts, words, lengths
 
 
+def _ends(texts: pa.Array, size: np.ndarray, whole: np.ndarray) -> pa.Array:
+    """What follows the first ``size`` bytes of each text of ``whole`` bytes, where anything does."""
+    data, starts = text_bytes(texts)
+    n = (whole - size)[whole > size]
+    cut = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat((starts[:-1] + size)[whole > size] - cut[:-1], n) + np.arange(cut[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 def _gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The runs ``index`` of ``flat``, which holds runs of ``sizes`` one after another."""
     n = sizes[index]
