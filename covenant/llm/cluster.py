@@ -7,6 +7,7 @@ import functools
 import os
 import tempfile
 import uuid
+import weakref
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,24 +46,46 @@ def tidy(run):
     return tidied
 
 
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='covenant-')}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    A folder of this machine is set only where the session has none, as in tests.
+    Where the session has none, a local master gets a folder of this machine; on a cluster that is an error,
+    since other machines wouldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='covenant-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialised`` wrote, where nothing that is still to be computed reads it."""
+    for df in tables:
+        uri = _WRITTEN.pop(df, None)
+        if uri:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A key is hot from this share of all rows on; fewer than ``HOT`` keys can be, so their rows of a table can be broadcast.

@@ -1,10 +1,14 @@
 """Order-preserving packing of documents into fixed windows by dynamic programming.
 
-Documents go one after another by doc_id. Windows are cut at the ends of documents or sentences (or inside
-a sentence, at a price), so that padding plus the prices of truncating documents is least. A window that
-starts at cut i and ends at cut j costs ``capacity - (p[j] - p[i])`` for padding plus the price of cut j;
-since only p[i] + best[i] depends on i, the best start is the least value of a sliding window, which a
+Documents go one after another by doc_id. Windows are cut at the ends of documents or sentences (inside a
+sentence only if it exceeds a window), so that padding plus the prices of truncating documents is least. A
+window that starts at cut i and ends at cut j costs ``capacity - (p[j] - p[i])`` for padding plus the price of
+cut j; since only p[i] + best[i] depends on i, the best start is the least value of a sliding window, which a
 monotone queue gives in constant time for each cut.
+
+Tasks pack ranges of doc_id. What a range's last window holds isn't padded: it goes on, as ids, to a task
+that packs the rests of ``FAN`` neighbouring ranges in their order, whose rest goes on likewise, until one
+rest is left. So one sequence of the whole table is short, however the table is dealt.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import prepare, tidy
+from covenant.llm.cluster import materialised, prepare, tidy
 from covenant.llm.tokens import TEXT_BYTES, encoder, tokenizer_path, with_end
 from covenant.llm.words import slices
 
@@ -27,10 +31,12 @@ CAPACITY = 4096
 END = 2
 SENTENCE_PRICE = 4.0
 INSIDE_PRICE = 12.0
-#: A sentence longer than this can be cut inside, every so many ids.
+#: Ids between the cut points inside a sentence that exceeds a window.
 STRIDE = 32
-#: Windows that are planned at once.
-HORIZON = 64
+#: Windows that are planned at once; the last of them is planned again with the next ones.
+HORIZON = 256
+#: Ranges whose rests are packed together.
+FAN = 256
 #: How the last word of a sentence ends.
 _STOP = r"""[.!?…。！？]["')\]}]*$"""
 
@@ -39,8 +45,8 @@ def plan(cuts: np.ndarray, prices: np.ndarray, capacity: int = CAPACITY) -> list
     """Indices into ``cuts`` (ascending positions, the first is where packing starts) where windows end.
 
     Neighbouring cuts must be at most ``capacity`` apart. Least sum of padding and prices; the last cut is
-    always an end, and what the last window lacks costs nothing: it is planned again with what follows, or
-    cut into lengths that need no padding. Of equal costs the earliest start wins.
+    always an end, and what the last window lacks costs nothing: it is planned again with what follows. Of
+    equal costs the earliest start wins.
     """
     p, price = cuts.tolist(), prices.tolist()
     n = len(p)
@@ -70,11 +76,6 @@ def plan(cuts: np.ndarray, prices: np.ndarray, capacity: int = CAPACITY) -> list
     return ends[::-1]
 
 
-def powers_of_two(n: int) -> list[int]:
-    """The powers of two that sum to n, large ones first."""
-    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
-
-
 class _Packer:
     """Takes documents in order and gives their pieces, a horizon at a time."""
 
@@ -83,8 +84,8 @@ class _Packer:
         self.docs: list[tuple] = []  # (doc_id, ids not yet packed, ids packed before, doc_tokens, cuts from the first id of the rest)
         self.held = 0
 
-    def add(self, doc_id, ids: np.ndarray, cuts: np.ndarray):
-        self.docs.append((doc_id, ids, 0, len(ids), cuts))
+    def add(self, doc_id, ids: np.ndarray, cuts: np.ndarray, before: int = 0, total: int | None = None):
+        self.docs.append((doc_id, ids, before, len(ids) if total is None else total, cuts))
         self.held += len(ids)
 
     def pieces(self, last: bool):
@@ -97,9 +98,10 @@ class _Packer:
             gaps = np.diff(np.concatenate(([0], ends)))
             price = np.full(len(ends), SENTENCE_PRICE)
             price[-1] = 0.0
-            stride = min(STRIDE, self.capacity)
-            if gaps.max() > stride:  # cut points inside long sentences
-                extra = np.concatenate([np.arange(e - g + stride, e, stride) for e, g in zip(ends[gaps > stride].tolist(), gaps[gaps > stride].tolist(), strict=True)])
+            if gaps.max() > self.capacity:  # cut points inside sentences that no window holds
+                stride = min(STRIDE, self.capacity)
+                long = gaps > self.capacity
+                extra = np.concatenate([np.arange(e - g + stride, e, stride) for e, g in zip(ends[long].tolist(), gaps[long].tolist(), strict=True)])
                 ends, price = np.concatenate((ends, extra)), np.concatenate((price, np.full(len(extra), INSIDE_PRICE)))
                 order = np.argsort(ends, kind="stable")
                 ends, price = ends[order], price[order]
@@ -108,10 +110,7 @@ class _Packer:
             base += len(ids)
         cuts, prices = np.concatenate(cuts), np.concatenate(prices)
         ends = cuts[plan(cuts, prices, self.capacity)].tolist()
-        if last:  # what the last window holds is cut into powers of two, which need no padding
-            at = ends[-2] if len(ends) > 1 else 0
-            ends[-1:] = (at + np.cumsum(powers_of_two(ends[-1] - at))).tolist()
-        else:
+        if not last:
             ends.pop()
         k, used, start = 0, 0, 0
         for end in ends:
@@ -132,29 +131,41 @@ class _Packer:
         self.held -= start
 
 
-PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+#: A packed piece, or (with ``ids``, its cut points, its range and its place in that range's rest) what is still to be packed.
+PIECES = pa.schema([*((n, pa.int64()) for n in _COLUMNS), ("range", pa.int64()), ("place", pa.int64()), ("ids", pa.binary()), ("cuts", pa.binary())])
+_DDL = ", ".join(f"{n} long" for n in _COLUMNS) + ", range long, place long, ids binary, cuts binary"
+
+
+def _packed(packer: _Packer, last: bool) -> pa.RecordBatch | None:
+    rows = list(packer.pieces(last))
+    if rows:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), *(pa.nulls(len(rows), t) for t in PIECES.types[7:])], schema=PIECES)
+    return None
+
+
+def _rest(packer: _Packer, part: int) -> pa.RecordBatch:
+    """What is left of a range, to be packed with the rests of others."""
+    rows = [(d, before, len(ids), 0, total, None, None, part, k, ids.astype("<u4").tobytes(), cuts.astype("<i8").tobytes()) for k, (d, ids, before, total, cuts) in enumerate(packer.docs)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = END) -> DataFrame:
     """A row for each piece of ``docs(doc_id, text)``: doc_id, start (its document's ids before), length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id lies in one piece; pieces of a document keep their order, and documents follow each other by
-    doc_id (nulls first; equal ids by text) inside each range of ids that a task packs. A null or empty
-    text is the end id alone. Sequences hold ``capacity`` ids at most; a shorter one is padded unless its
-    length is a power of two. A range's last window is cut into powers of two. Sequence ids are
-    ``range << 32 | number in the range``. A task holds one horizon of windows and one batch of texts.
+    doc_id (nulls first; equal ids by text) inside each range of ids that a task packs, and so do the rests of
+    ranges. A null or empty text is the end id alone; an empty table gives no rows. Sequences hold ``capacity``
+    ids at most, and a shorter one is padded. Sequence ids are unique, not gapless. A task holds one horizon of
+    windows and one batch of texts, or ``FAN`` rests of less than a window each. The pieces are written to the
+    shared folder.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
     prepare(spark)
 
     def run(batches):
-        packer = _Packer(capacity, TaskContext.get().partitionId() << 32)
-
-        def out(last):
-            rows = list(packer.pieces(last))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
-
+        part = TaskContext.get().partitionId()
+        packer = _Packer(capacity, part << 32)
         for batch in slices(batches, TEXT_BYTES):
             flat, starts, words, lengths = encoder(path).encode(batch.column(1))
             stop = pc.match_substring_regex(words.vocab, _STOP).to_numpy(zero_copy_only=False)
@@ -166,10 +177,34 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
             bounds = np.searchsorted(cut_row, np.arange(len(words) + 1))
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc_id, flat[starts[k] : starts[k + 1]], cut_at[bounds[k] : bounds[k + 1]])
-                if packer.held >= HORIZON * capacity:
-                    yield from out(False)
-        yield from out(True)
+                if packer.held >= HORIZON * capacity and (out := _packed(packer, False)):
+                    yield out
+        if out := _packed(packer, False):
+            yield out
+        if packer.docs:
+            yield _rest(packer, part)
+
+    def join_rests(level: int, last: bool):
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("range", "ascending"), ("place", "ascending")])
+            part = group["range"][0].as_py() // FAN
+            packer = _Packer(capacity, level << 56 | part << 32)
+            for doc_id, start, total, ids, cuts in zip(*(group[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "cuts")), strict=True):
+                packer.add(doc_id, np.frombuffer(ids, "<u4"), np.frombuffer(cuts, "<i8"), start, total)
+            out = [b for b in (_packed(packer, last),) if b]
+            if packer.docs:
+                out.append(_rest(packer, part))
+            return pa.Table.from_batches(out, PIECES)
+
+        return run
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = materialised(dealt.mapInArrow(tidy(run), _DDL), "pieces")
+    done, level = pieces.where("ids is null"), 0
+    while (most := pieces.where("ids is not null").agg(F.max("range")).first()[0]) is not None:
+        level += 1
+        rests = pieces.where("ids is not null").groupBy(F.floor(F.col("range") / FAN)).applyInArrow(join_rests(level, most < FAN), _DDL)
+        pieces = materialised(rests, "pieces")
+        done = done.unionAll(pieces.where("ids is null"))
+    return done.select(*_COLUMNS)

@@ -81,20 +81,40 @@ def test_token_output(spark, docs):
 
 
 def test_packing(spark, docs):
-    got = packing.pack(docs).toPandas()
-    room = got.groupby("sequence_id").length.sum()
-    assert room.max() <= 4096
-    assert all(room[s] == 4096 or bin(room[s]).count("1") == 1 or room[s] > 3900 for s in room.index)
-    for _, g in got.sort_values("offset").groupby("sequence_id"):
-        assert (g.offset == g.length.cumsum() - g.length).all()
     by_id = {i: [*encoded(t), 2] for i, t in UNIQUE}
-    for r in got[got.doc_id.notna() & (got.doc_id != ROWS[3][0])].itertuples():
-        ids = by_id[int(r.doc_id)]
-        assert r.doc_tokens == len(ids) and r.ids_crc32 == crc_of(ids[r.start : r.start + r.length])
-    assert got.length.sum() == sum(len(encoded(t)) + 1 for _, t in ROWS)
+    total = sum(len(encoded(t)) + 1 for _, t in ROWS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = []
+    for parts in (before, "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = packing.pack(docs, capacity=512).toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        room = got.groupby("sequence_id").length.sum()
+        assert room.max() <= 512 and got.length.sum() == total
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert (g.offset == g.length.cumsum() - g.length).all()
+        for doc_id, g in got[got.doc_id.notna()].groupby("doc_id"):
+            if doc_id != ROWS[3][0]:
+                at = g.sort_values("start")
+                assert (at.start == at.length.cumsum() - at.length).all() and at.length.sum() == at.doc_tokens.iloc[0]
+        for r in got[got.doc_id.notna() & (got.doc_id != ROWS[3][0])].itertuples():
+            ids = by_id[int(r.doc_id)]
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == crc_of(ids[r.start : r.start + r.length])
+        counts.append(len(room))
+    assert max(counts) <= total / 512 * 1.05 + 1 and abs(counts[0] - counts[1]) <= 2  # however the table is dealt
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_cuts_inside_sentences_only_beyond_a_window():
+    packer = packing._Packer(64, 0)
+    packer.add(1, np.arange(50, dtype=np.uint32), np.array([20, 40]))
+    packer.add(2, np.arange(200, dtype=np.uint32), np.zeros(0, np.int64))
+    packer.add(3, np.arange(60, dtype=np.uint32), np.array([30]))
+    ends = {(d, start + n) for d, start, n, *_ in packer.pieces(True)}
+    assert {e for d, e in ends if d == 1} <= {20, 40, 50} and {e for d, e in ends if d == 3} <= {30, 60}
+    assert {e for d, e in ends if d == 2} <= {*range(32, 200, 32), 200}
+
+
 def test_plan_is_least():
     rng = np.random.default_rng(3)
     for _ in range(30):
