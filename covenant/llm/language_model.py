@@ -1,14 +1,17 @@
 """A log-bilinear language model and its unigram base, learnt from all training documents and applied to all texts.
 
 Tokens are words with A-Z lowered, and one end for each document. Spark counts every token and, for the
-model's vocabulary (every word of ``LEAST_COUNT`` occurrences or more, the end, and one class for all
-others), every pair of neighbours. A token's score is the product of its predecessor's context vector and
-its own target vector, plus its bias. Noise-contrastive estimation fits them. Pair counts stay in Spark:
-in each round every task climbs on its pairs with drawn noise, and the tasks' changes of a vector are averaged
-by how often each met it. A vocabulary of up to ``FULL`` has one matrix of pair counts instead, and the
-expectation over the noise is computed in full. Matrix products by blocks normalise the scores into token
-log-probabilities. A word outside the vocabulary has its class's probability times its add-one share among
-such words.
+model's vocabulary, every pair of neighbours. The vocabulary follows the corpus: the most frequent words, as
+many as ``BREADTH`` times the square root of the training tokens, the end, and one class for all other words.
+So the table of all scores, which normalising takes, grows in proportion to the corpus and no faster.
+
+A token's score is the product of its predecessor's context vector and its own target vector, whose last place
+is a bias. Noise-contrastive estimation fits them by turns: the pairs are kept once by context and once by
+target, and with one side given, each vector of the other is a logistic regression of the pairs that were seen
+against noise drawn from the unigram distribution, climbed by Newton steps. A task owns the vectors that it
+fits, so what comes back from all tasks together is each vector once. Matrix products by blocks normalise the
+scores into token log-probabilities. A word outside the vocabulary has its class's probability times its
+add-one share among such words.
 """
 
 from __future__ import annotations
@@ -18,23 +21,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
-from covenant.llm.cluster import BATCH_ROWS, materialised, prepare, remainder, tidy
+from covenant.llm.cluster import BATCH_ROWS, discard, materialised, prepare, remainder, tidy
 from covenant.llm.words import Words, slices
 
-#: Occurrences that put a word into the model's vocabulary.
-LEAST_COUNT = 100
+#: Words in the model's vocabulary for each square root of a training token.
+BREADTH = 2.0
 #: Words whose counts every task has at hand besides the vocabulary's; others are looked up by a join.
 AT_HAND = 150_000
-DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 300, 0.05
-#: Size of a vocabulary up to which the objective is computed in full; beyond it, rounds, draws shared by a
-#: step of pairs, pairs in a row and in a step, and the rate of the rounds.
-FULL, ROUNDS, DRAWS, ROW_PAIRS, STEP_PAIRS, ROUND_RATE = 1024, 3, 64, 8192, 1024, 0.15
-#: Numbers in a block of changes or of contexts to normalise.
-BLOCK = 4096
+#: Numbers in a vector, noise draws for each token, draws that count for those of some vectors, how many vectors share them, rounds, Newton steps in each, and the pull of vectors towards 0.
+DIMENSIONS, NOISE, DRAWS, SHARING, ROUNDS, STEPS, PULL = 32, 10, 1024, 64, 3, 1, 4.0
+#: Pairs in a row of the two tables, and targets that are normalised over at once.
+ROW_PAIRS, BLOCK = 1 << 18, 4096
+#: Distinct pairs that a task adds up before it sends them.
+HELD_PAIRS = 3_000_000
 END = ""  # no word is empty
 HELD_WORDS = 200_000
 
@@ -62,14 +65,21 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_threshold(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` words reach. Only the numbers of words of each count come to the driver, less than the square root of twice the tokens."""
-    left, least = most, None
-    for n, words in sorted(((r["n"], r["w"]) for r in counts.groupBy("n").agg(F.count("*").alias("w")).collect()), reverse=True):
+def most_frequent(counts: DataFrame, most: int) -> Column:
+    """A condition on ``counts(word, n)`` that about ``most`` of the most frequent words meet.
+
+    Counts are put into steps of a 64th of an octave, so some 4,000 rows come to the driver at most. Of the step
+    that holds the limit, words are taken by their hash.
+    """
+    step = F.floor(F.log2("n") * 64)
+    left, least, last, share = most, 1 << 62, 1 << 62, 0
+    for n, words in sorted(((r["n"], r["w"]) for r in counts.groupBy(step).agg(F.min("n").alias("n"), F.count("*").alias("w")).collect()), reverse=True):
+        last = n
         if words > left:
+            share = (left << 20) // words
             break
         left, least = left - words, n
-    return (1 << 62) if least is None else least
+    return (F.col("n") >= least) | ((F.col("n") >= last) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)) | (F.col("word") == END)
 
 
 @dataclass
@@ -84,12 +94,12 @@ class Table:
     OTHER, STOP = 0, 1
 
     @staticmethod
-    def of(rows: list[tuple[str, int]], vocabulary: int | None, least: int = LEAST_COUNT) -> Table:
-        """The vocabulary is the ``vocabulary`` most frequent words, or if None all of ``least`` occurrences or more."""
+    def of(rows: list[tuple[str, int]], vocabulary: int) -> Table:
+        """The vocabulary is the ``vocabulary`` most frequent words."""
         import xxhash
 
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        chosen = {w: k + 2 for k, (w, _) in enumerate([r for r in rows if r[0] != END and (vocabulary is not None or r[1] >= least)][:vocabulary])} | {END: Table.STOP}
+        chosen = {w: k + 2 for k, (w, _) in enumerate([r for r in rows if r[0] != END][:vocabulary])} | {END: Table.STOP}
         hashes = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w, _ in rows], np.uint64)
         order = np.argsort(hashes)
         return Table(hashes[order], np.array([n for _, n in rows], np.int64)[order], np.array([chosen.get(w, Table.OTHER) for w, _ in rows], np.int64)[order], len(chosen) + 1)
@@ -113,142 +123,148 @@ def sequence(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return before, tokens, starts
 
 
-PAIRS = pa.schema([("seed", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())])
-
-
 def count_pairs(texts: DataFrame, table: Table) -> DataFrame:
-    """(seed, pairs, n): how often each number follows each in stretches of ``texts(text)``, as packed arrays.
-
-    A pair is predecessor * size + token. A stretch's pairs are in random order, ``ROW_PAIRS`` to a row. Pairs
-    of several stretches aren't added up: whoever reads them adds.
-    """
+    """(before, token, n): how often each number follows each in ``texts(text)``. Tasks add up what they can hold before the shuffle."""
     size = table.size
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        task, made = TaskContext.get().partitionId(), 0
+        held, waiting = [], 0
+
+        def out():
+            pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            held.clear()
+            for k in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16)]), pa.array(n[k : k + (1 << 16)])], names=["pair", "n"])
+
         for batch in slices(batches):
             words = Words(batch.column(0), lower=True)
             before, tokens, _ = sequence(words, shared.value.look(words.vocab_hashes())[1])
-            pairs, n = np.unique(before * size + tokens, return_counts=True)
-            order = np.random.default_rng((task, made)).permutation(len(pairs))
-            pairs, n = pairs[order].astype("<i8"), n[order].astype("<u4")
-            for k in range(0, len(pairs), ROW_PAIRS):
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made]), pa.array([pairs[k : k + ROW_PAIRS].tobytes()]), pa.array([n[k : k + ROW_PAIRS].tobytes()])], schema=PAIRS)
-                made += 1
-
-    return materialised(texts.mapInArrow(tidy(run), "seed long, pairs binary, n binary"), "pairs")
+            held.append(np.unique(before * size + tokens, return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting > HELD_PAIRS:
+                yield from out()
+                waiting = 0
+        if held:
+            yield from out()
 
+    added = texts.mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return materialised(added.select(F.expr(f"pair div {size}").cast("int").alias("before"), (F.col("pair") % size).cast("int").alias("token"), "n"), "pairs")
 
-def unpacked(batches):
-    """(seed, pairs, n) arrays of each row of ``count_pairs``."""
-    for batch in batches:
-        for seed, pairs, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield seed, np.frombuffer(pairs, "<i8"), np.frombuffer(n, "<u4")
 
+def rows_by(pairs: DataFrame, own: str, other: str) -> DataFrame:
+    """``pairs`` as rows of packed arrays (seed, ids, cuts, others, n): the ``other`` sides of some ``own`` sides, each of which lies whole in one row.
 
-def matrix(pairs: DataFrame, size: int) -> np.ndarray:
-    """The pair counts of a vocabulary of ``FULL`` at most as one matrix. Tasks add up whole matrices, and Spark adds the tasks' rows."""
+    An ``own`` side has the vocabulary's size of pairs at most.
+    """
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
-        for _, pair, n in unpacked(batches):
-            total += np.bincount(pair, n, size * size).astype(np.int64)
-        for row, line in enumerate(total.reshape(size, size)):
-            if line.any():
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "line": pa.array([line.astype("<i8").tobytes()])})
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i8") for x in group["line"].to_pylist()], axis=0)
-        return pa.table({"row": group["row"][:1], "line": pa.array([total.astype("<i8").tobytes()])})
-
-    out = np.zeros((size, size), np.int64)
-    for r in pairs.mapInArrow(tidy(run), "row int, line binary").groupBy("row").applyInArrow(add, "row int, line binary").toArrow().to_pylist():
-        out[r["row"]] = np.frombuffer(r["line"], "<i8")
-    return out
+        held, waiting, made, task = [], 0, 0, TaskContext.get().partitionId()
+
+        def out(last: bool):
+            nonlocal held, waiting, made
+            mine, others, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            end = len(mine) if last else int(np.searchsorted(mine, mine[-1]))  # the last one may go on
+            held, waiting = [(mine[end:], others[end:], n[end:])], len(mine) - end
+            if end:
+                ids, first = np.unique(mine[:end], return_index=True)
+                made += 1
+                packed = (ids.astype("<i4"), np.append(first, end).astype("<i8"), others[:end].astype("<i4"), n[:end].astype("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made]), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["seed", "ids", "cuts", "others", "n"])
 
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            waiting += batch.num_rows
+            if waiting >= ROW_PAIRS:
+                yield from out(False)
+        if waiting:
+            yield from out(True)
 
-def _add_rows(theta: np.ndarray, held: np.ndarray, at: np.ndarray, slope: np.ndarray, rate: float) -> None:
-    """Adagrad with one step size to a row of ``theta``; slopes of equal rows are added first."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0]
-    rows, g = at[first], np.add.reduceat(slope[order], first, axis=0)
-    held[rows] += (g * g).mean(1)
-    theta[rows] += rate * g / np.sqrt(held[rows])[:, None]
+    dealt = pairs.select(own, other, "n").repartition(own).sortWithinPartitions(own, other)
+    return materialised(dealt.mapInArrow(tidy(run), "seed long, ids binary, cuts binary, others binary, n binary"), f"by-{own}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_sampled(pairs: DataFrame, unigram: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, rounds: int = ROUNDS, rate: float = ROUND_RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Context vectors, and target vectors with the bias behind, of the model of ``count_pairs``' rows.
+def climb(x: np.ndarray, given: np.ndarray, offset: np.ndarray, up: np.ndarray, down: np.ndarray, steps: int = STEPS, pull: float = PULL) -> np.ndarray:
+    """The vector that ``steps`` Newton steps from ``x`` on reach in sum(up * log s + down * log(1 - s)) - pull / 2 * |x|^2, s the sigmoid of ``given @ x + offset``.
+
+    The objective is concave; a step that doesn't climb is halved.
+    """
 
-    The noise is ``unigram``, ``noise`` draws for each token: the pairs of a step share ``DRAWS`` draws, which count for so many.
-    The biases stay the unigram's logarithms: learnt from few, heavy draws they would drift.
+    def value(x):
+        z = given @ x + offset
+        return float(up @ -np.logaddexp(0, -z) + down @ -np.logaddexp(0, z)) - pull / 2 * float(x @ x)
+
+    best = None
+    for _ in range(steps):
+        s = _sigmoid(given @ x + offset)
+        slope = given.T @ (up * (1 - s) - down * s) - pull * x
+        bend = (given * ((up + down) * s * (1 - s))[:, None]).T @ given + pull * np.eye(len(x), dtype=x.dtype)
+        step = np.linalg.solve(bend, slope)
+        best = value(x) if best is None else best
+        for _ in range(4):
+            new = value(x + step)
+            if new >= best:
+                x, best = x + step, new
+                break
+            step = step / 2
+    return x
+
+
+def fit_sampled(by_context: DataFrame, by_target: DataFrame, unigram: np.ndarray, contexts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Context vectors with a 1 behind, and target vectors with the bias behind, of the model of ``rows_by``' two tables.
+
+    The noise is ``unigram``, ``noise`` draws for each token: ``SHARING`` vectors share ``DRAWS`` draws, which
+    count for so many and are drawn one from each of as many equal parts of the distribution. For a target the draws are of contexts, by how often each was seen (``contexts``), since
+    noise of this target comes beside each context in that proportion. Start and pull are the unigram itself.
     """
-    spark, size = pairs.sparkSession, len(unigram)
+    spark, size = by_context.sparkSession, len(unigram)
     rng = np.random.default_rng(seed)
-    context = (rng.normal(size=(size, dimensions + 1)) * 0.05).astype(np.float32)
+    context = (rng.normal(size=(size, dimensions + 1)) * 0.1).astype(np.float32)
     context[:, -1] = 1
-    target = (rng.normal(size=(size, dimensions + 1)) * 0.05).astype(np.float32)
-    target[:, -1] = np.log(unigram)
-    shift, reach = np.log(noise * unigram).astype(np.float32), np.cumsum(unigram)
+    target = np.zeros((size, dimensions + 1), np.float32)
+    base = np.log(unigram).astype(np.float32)
+    total = float(contexts.sum())
+    reach = {"context": np.cumsum(unigram), "target": np.cumsum(contexts + 1e-12)}
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((context, target, shift, reach))
-        step = rate * (1 - turn / rounds)
-
-        def run(batches, shared=shared, step=step, turn=turn):
-            context, target, shift, reach = shared.value
-            mine = [context.copy(), target.copy()]
-            held, met = np.full((2, size), 0.1, np.float32), np.zeros((2, size), np.float32)
-            for key, pair, n in unpacked(batches):
-                rng = np.random.default_rng((seed, turn, key))
-                for k in range(0, len(pair), STEP_PAIRS):
-                    c, t = np.divmod(pair[k : k + STEP_PAIRS], size)
-                    m = n[k : k + STEP_PAIRS].astype(np.float32)
-                    drawn = np.minimum(np.searchsorted(reach, rng.random(DRAWS) * reach[-1]), size - 1)
-                    u, v, w = mine[0][c], mine[1][t], mine[1][drawn]
-                    up = m * (1 - _sigmoid((u * v).sum(1) - shift[t]))
-                    down = _sigmoid(u @ w.T - shift[drawn]) * (-noise / DRAWS * m)[:, None]
-                    slope = up[:, None] * v + down @ w
-                    back = np.concatenate((up[:, None] * u, down.T @ u))
-                    slope[:, -1] = back[:, -1] = 0  # the bias stays the unigram's
-                    _add_rows(mine[0], held[0], c, slope, step)
-                    _add_rows(mine[1], held[1], np.concatenate((t, drawn)), back, step)
-                    np.add.at(met[0], c, m)
-                    np.add.at(met[1], t, m)
-                    np.add.at(met[1], drawn, noise * m.sum() / DRAWS)
-            for side, (old, new) in enumerate(zip((context, target), mine, strict=True)):
-                for k in range(0, size, BLOCK):
-                    at = k + np.nonzero(met[side, k : k + BLOCK])[0]
-                    if len(at):
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "side": pa.array([side], pa.int32()),
-                                "block": pa.array([k], pa.int32()),
-                                "at": pa.array([(at - k).astype("<u2").tobytes()]),
-                                "met": pa.array([met[side, at].astype("<f4").tobytes()]),
-                                "change": pa.array([(new[at] - old[at]).astype("<f2").tobytes()]),
-                            }
-                        )
-
-        def add(group: pa.Table) -> pa.Table:
-            total, weight = np.zeros((BLOCK, dimensions + 1)), np.zeros(BLOCK)
-            for at, met, change in zip(*(group[c].to_pylist() for c in ("at", "met", "change")), strict=True):
-                at, met = np.frombuffer(at, "<u2"), np.frombuffer(met, "<f4").astype(float)
-                total[at] += met[:, None] * np.frombuffer(change, "<f2").reshape(len(at), -1)
-                weight[at] += met
-            mean = total / np.maximum(weight, 1e-9)[:, None]
-            return pa.table({"side": group["side"][:1], "block": group["block"][:1], "change": pa.array([mean.astype("<f4").tobytes()])})
-
-        changes = pairs.mapInArrow(tidy(run), "side int, block int, at binary, met binary, change binary").groupBy("side", "block").applyInArrow(add, "side int, block int, change binary")
-        context, target = context.copy(), target.copy()
-        for r in changes.toArrow().to_pylist():
-            part = (context, target)[r["side"]][r["block"] : r["block"] + BLOCK]
-            part += np.frombuffer(r["change"], "<f4").reshape(BLOCK, -1)[: len(part)]
-        shared.unpersist()
+        for side, rows in (("target", by_target), ("context", by_context)):
+            shared = spark.sparkContext.broadcast((context, target, base, reach[side]))
+
+            def run(batches, shared=shared, side=side, turn=turn):
+                context, target, base, reach = shared.value
+                for batch in batches:
+                    for key, ids, cuts, others, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        ids, cuts, others, n = np.frombuffer(ids, "<i4"), np.frombuffer(cuts, "<i8").tolist(), np.frombuffer(others, "<i4"), np.frombuffer(n, "<i8").astype(np.float32)
+                        rng = np.random.default_rng((seed, turn, key))
+                        seen_zero, drawn_zero = np.zeros(len(others), np.float32), np.zeros(DRAWS, np.float32)
+                        out = []
+                        for j, (i, a, b) in enumerate(zip(ids.tolist(), cuts, cuts[1:], strict=False)):
+                            if j % SHARING == 0:
+                                drawn = np.minimum(np.searchsorted(reach, (np.arange(DRAWS) + rng.random(DRAWS)) / DRAWS * reach[-1]), len(base) - 1)
+                            at = np.concatenate((others[a:b], drawn))
+                            up = np.concatenate((n[a:b], drawn_zero))
+                            down = np.concatenate((seen_zero[a:b], drawn_zero))
+                            if side == "context":  # the target's bias without its unigram's logarithm is the offset
+                                down[b - a :] = noise / DRAWS * n[a:b].sum()
+                                given, offset = target[at, :-1], target[at, -1] - np.float32(np.log(noise))
+                                out.append(climb(context[i, :-1], given, offset, up, down))
+                            else:
+                                down[b - a :] = noise / DRAWS * total * np.exp(base[i])
+                                out.append(climb(target[i], context[at], np.float32(-np.log(noise)), up, down))
+                        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([np.array(out, "<f4").tobytes()], pa.binary())], names=["ids", "vectors"])
+
+            found = rows.mapInArrow(tidy(run), "ids binary, vectors binary").toArrow().to_pylist()
+            context, target = context.copy(), target.copy()
+            for r in found:
+                ids, vectors = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["vectors"], "<f4")
+                into = context[:, :-1] if side == "context" else target
+                into[ids] = vectors.reshape(len(ids), -1)
+            shared.unpersist()
+    target[:, -1] += base
     return context, target
 
 
@@ -283,47 +299,6 @@ def normalisers(spark, context: np.ndarray, target: np.ndarray, rows: int = 512)
     return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["id"])])
 
 
-def fit(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> np.ndarray:
-    """log10 P(token | predecessor), predecessor x token, of a log-bilinear model of the pair counts."""
-    return normalised(*climb(pairs, dimensions, noise, steps, rate, seed))
-
-
-def climb(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> list[np.ndarray]:
-    """Context vectors, target vectors and biases of the model of a matrix of pair counts.
-
-    The noise is the tokens' add-one unigram distribution, ``noise`` draws for each token. Adam climbs the
-    whole objective. Its start is the noise distribution itself, which is also what no pairs at all give.
-    """
-    size = len(pairs)
-    rng = np.random.default_rng(seed)
-    total = max(int(pairs.sum()), 1)
-    unigram = (pairs.sum(0) + 1.0) / (pairs.sum() + size)
-    seen = (pairs / total).astype(np.float32)
-    weight = (seen.sum(1, keepdims=True) * noise * unigram[None, :]).astype(np.float32)
-    shift = np.log(noise * unigram).astype(np.float32)
-    theta = [(rng.normal(size=(size, dimensions)) * 0.05).astype(np.float32), (rng.normal(size=(size, dimensions)) * 0.05).astype(np.float32), np.log(unigram).astype(np.float32)]
-    m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    scale = np.float32(size)
-    for step in range(1, steps + 1):
-        context, target, bias = theta
-        posterior = 1 / (1 + np.exp(-np.clip(context @ target.T + bias - shift, -30, 30)))
-        slope = (seen * (1 - posterior) - weight * posterior) * scale
-        for k, g in enumerate((slope @ target - 1e-4 * context, slope.T @ context - 1e-4 * target, slope.sum(0))):
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            theta[k] = theta[k] + rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return theta
-
-
-def normalised(context: np.ndarray, target: np.ndarray, bias: np.ndarray, batch: int = 256) -> np.ndarray:
-    """log10 of the softmax of each context's scores, a batch of contexts at a time."""
-    out = np.empty((len(context), len(target)))
-    for k in range(0, len(context), batch):
-        s = context[k : k + batch].astype(float) @ target.T.astype(float) + bias
-        top = s.max(1, keepdims=True)
-        out[k : k + batch] = (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))) / np.log(10)
-    return out
-
-
 @dataclass
 class Model:
     table: Table
@@ -347,38 +322,50 @@ class Model:
 PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("n_other", pa.int64()), ("log_other", pa.float64()), ("log_model", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
 
-def score_documents(docs: DataFrame, vocabulary: int | None = None, at_hand: int = AT_HAND, least_count: int = LEAST_COUNT) -> DataFrame:
-    """A row for each document of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def _prepared(docs: DataFrame) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 7) == 2).alias("held_out"))
 
-    Documents whose crc32(doc_id) mod 7 is 2 are held out of all that is learnt. A null or empty text is
-    its end alone. ``base_score`` sums log10((c + 1) / (N + V + 1)); ``score`` is the model's log10
-    probability of all tokens. The model's vocabulary is the ``vocabulary`` most frequent words, or if None
-    all of ``least_count`` occurrences or more. Without training documents the base is add-one over nothing and the model
-    knows the end and one class. Rows that repeat an id are scored each by itself.
-    """
+
+def train(docs: DataFrame, breadth: float = BREADTH, at_hand: int = AT_HAND) -> tuple[Model, DataFrame]:
+    """The model of ``docs(doc_id, text)`` whose crc32(doc_id) mod 7 isn't 2, and the counts (word, n) of those tokens that its table doesn't hold."""
     spark = docs.sparkSession
-    prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id").cast("long"), 7) == 2).alias("held_out"))
-    training = texts.where("not held_out").select("text")
+    training = _prepared(docs).where("not held_out").select("text")
     counts = materialised(count_tokens(training), "token-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = count_threshold(counts, at_hand)
-    least = min(least, least_count) if vocabulary is None else least
-    near = [(r["word"], r["n"]) for r in counts.where((F.col("n") >= least) | (F.col("word") == END)).collect()]
-    table = Table.of(near, vocabulary, least_count)
+    vocabulary = int(np.ceil(breadth * np.sqrt(tokens)))
+    frequent = most_frequent(counts, vocabulary + 1 + at_hand)
+    near = [(r["word"], r["n"]) for r in counts.where(frequent).collect()]
+    table = Table.of(near, vocabulary)
     in_vocabulary = table.numbers != Table.OTHER
     other_tokens, other_types = int(tokens - table.counts[in_vocabulary].sum()), int(types - in_vocabulary.sum())
+    unigram = np.ones(table.size)
+    unigram[table.numbers[in_vocabulary]] += table.counts[in_vocabulary]
+    unigram[Table.OTHER] += other_tokens
     pairs = count_pairs(training, table)
-    if table.size <= FULL:
-        context, target, bias = climb(matrix(pairs, table.size))
-        context, target = np.column_stack((context, np.ones_like(bias))), np.column_stack((target, bias))
-    else:
-        unigram = np.ones(table.size)
-        unigram[table.numbers[in_vocabulary]] += table.counts[in_vocabulary]
-        unigram[Table.OTHER] += other_tokens
-        context, target = fit_sampled(pairs, unigram / unigram.sum())
+    by_context, by_target = rows_by(pairs, "before", "token"), rows_by(pairs, "token", "before")
+    discard(pairs)
+    context, target = fit_sampled(by_context, by_target, unigram / unigram.sum(), unigram - 1)
+    discard(by_context, by_target)
     model = Model(table, context, target, normalisers(spark, context, target), tokens, types, other_tokens, other_types)
-    shared = spark.sparkContext.broadcast(model)
+    return model, counts.where(~frequent)
+
+
+def score_documents(docs: DataFrame, breadth: float = BREADTH, at_hand: int = AT_HAND) -> DataFrame:
+    """A row for each document of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Documents whose crc32(doc_id) mod 7 is 2 are held out of all that is learnt. A null or empty text is
+    its end alone. ``base_score`` sums log10((c + 1) / (N + V + 1)); ``score`` is the model's log10
+    probability of all tokens. Without training documents the base is add-one over nothing and the model
+    knows the end and one class. Rows that repeat an id are scored each by itself.
+    """
+    return score(docs, *train(docs, breadth, at_hand))
+
+
+def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    """``score_documents`` by a model that ``train`` has made, and the counts that came with it."""
+    texts, tokens, types = _prepared(docs), model.tokens, model.types
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         held, task, made = shared.value, TaskContext.get().partitionId(), 0
@@ -417,7 +404,6 @@ def score_documents(docs: DataFrame, vocabulary: int | None = None, at_hand: int
     parts = materialised(texts.mapInArrow(tidy(run), kinds), "scored")
     # Words whose counts weren't at hand: looked up by a join, and added to their documents.
     far = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rest = counts.where((F.col("n") < least) & (F.col("word") != END))
     found = far.join(rest, "word").groupBy("row").agg(F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("far_logs"))
     whole = parts.drop("words", "times").join(found, "row", "left").na.fill(0, ["far_known", "far_logs"])
     base = F.col("log_counts") + F.col("far_logs") - F.col("n_tokens") * F.lit(float(np.log10(tokens + types + 1)))

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from covenant.llm import decontaminate, language_model, line_crf, rules, toxicity, trees
 from tests.llm import fixtures as fx
@@ -107,19 +108,35 @@ def test_forward_backward_is_exact():
 
 def test_language_model(spark):
     rows = [r for k, r in enumerate(ROWS) if r not in ROWS[:k] and r[0] is not None]
-    got = {r.doc_id: r for r in language_model.score_documents(fx.documents(spark, rows), vocabulary=30, at_hand=50).collect()}
+    docs = fx.documents(spark, rows)
+    model, rest = language_model.train(docs, breadth=0.5, at_hand=50)
+    got = {r.doc_id: r for r in language_model.score(docs, model, rest).collect()}
     tokens = {i: [*fx.words((t or "").translate(fx.LOWER)), ""] for i, t in rows}
     c = Counter()
     for i, w in tokens.items():
         if fx.crc(i, 7) != 2:
             c.update(w)
     total, types = sum(c.values()), len(c)
+    number = dict(zip(c, model.table.look(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in c], np.uint64))[1].tolist(), strict=True))
+    assert 0 < model.table.size - 2 <= math.ceil(0.5 * math.sqrt(total)) and number[""] == model.table.STOP
+    raw = np.exp(model.context.astype(float) @ model.target.astype(float).T)
+    chance = raw / raw.sum(1, keepdims=True)
+    others = [w for w in c if number[w] == model.table.OTHER]
+    assert (model.other_types, model.other_tokens) == (len(others), sum(c[w] for w in others)) and rest.count() > 0
     for i, w in tokens.items():
         r = got[i]
         base = sum(math.log10((c[x] + 1) / (total + types + 1)) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), total, fx.crc(i, 7) == 2)
-        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
-    assert language_model.score_documents(fx.documents(spark, rows).where("false")).count() == 0
+        assert abs(r.base_score - base) < 1e-6 * abs(base)
+        direct, before = 0.0, model.table.STOP
+        for x in w:
+            now = number.get(x, model.table.OTHER)
+            direct += math.log10(chance[before, now])
+            if now == model.table.OTHER:
+                direct += math.log10((c[x] + 1) / (model.other_tokens + model.other_types + 1))
+            before = now
+        assert abs(r.score - direct) < 1e-4 * abs(direct)
+    assert language_model.score_documents(docs.where("false")).count() == 0
     assert language_model.score_documents(fx.documents(spark, [(2, "only held"), (None, None)])).count() == 2
 
 
@@ -133,7 +150,7 @@ def test_vocabulary_follows_the_corpus(spark):
     for i, j in zip(ids[::2], ids[1::2], strict=False):  # the same words in the right and in the wrong order
         chosen = rng.sample(names[600:], 30)
         rows += [(i, " ".join(f"{w} {w}s" for w in chosen)), (j, " ".join(f"{w} {v}s" for w, v in zip(chosen, chosen[1:] + chosen[:1], strict=True)))]
-    got = {r.doc_id: r.score for r in language_model.score_documents(fx.documents(spark, rows), least_count=5).collect()}
+    got = {r.doc_id: r.score for r in language_model.score_documents(fx.documents(spark, rows), breadth=8).collect()}
     right = [got[i] > got[j] + 1 for i, j in zip(ids[::2], ids[1::2], strict=False)]
     assert len(right) > 20 and np.mean(right) > 0.9
 
@@ -145,15 +162,31 @@ def test_sampled_model_is_normalised(spark):
     assert np.allclose(np.exp(context[:700] @ target.T - sums[:, None]).sum(1), 1, atol=1e-3)
 
 
-def test_model_is_normalised():
-    pairs = np.random.default_rng(0).poisson(2, (20, 20))
-    log = language_model.fit(pairs, dimensions=4, steps=50)
-    assert np.allclose((10**log).sum(1), 1)
-    unigram = np.log10((pairs.sum(0) + 1) / (pairs.sum() + 20))
-    skewed = np.full((20, 20), 1)
-    skewed[np.arange(20), (np.arange(20) + 1) % 20] = 200
-    better = language_model.fit(skewed, dimensions=20)
-    assert (skewed * better).sum() > (skewed * unigram).sum()
+def test_climb_finds_the_greatest_value():
+    rng = np.random.default_rng(1)
+    given, up, down = rng.normal(size=(200, 3)), rng.random(200) * 9, rng.random(200) * 9
+    x = language_model.climb(np.zeros(3), given, np.float64(-0.5), up, down, steps=12)
+    s = 1 / (1 + np.exp(-(given @ x - 0.5)))
+    assert np.abs(given.T @ (up * (1 - s) - down * s) - language_model.PULL * x).max() < 1e-5
+
+
+def test_pairs_are_whole(spark):
+    """Every neighbour is counted, and each side's pairs lie in one row of its table."""
+    rows = [r for r in ROWS if r[0] is not None]
+    texts = fx.documents(spark, rows).select("text")
+    table = language_model.Table.of([("", 1), *((w, 2) for w in "abcdefghij")], 5)
+    pairs = language_model.count_pairs(texts, table)
+    assert pairs.agg({"n": "sum"}).first()[0] == sum(len(fx.words(t)) + 1 for _, t in rows)
+    every = {(r.before, r.token): r.n for r in pairs.collect()}
+    for own, other in (("before", "token"), ("token", "before")):
+        met, found = set(), {}
+        for r in language_model.rows_by(pairs, own, other).collect():
+            ids, cuts, others, n = (np.frombuffer(x, t) for x, t in ((r.ids, "<i4"), (r.cuts, "<i8"), (r.others, "<i4"), (r.n, "<i8")))
+            assert not met & set(ids.tolist())
+            met |= set(ids.tolist())
+            for k, i in enumerate(ids.tolist()):
+                found |= {((i, o) if own == "before" else (o, i)): m for o, m in zip(others[cuts[k] : cuts[k + 1]].tolist(), n[cuts[k] : cuts[k + 1]].tolist(), strict=True)}
+        assert found == every
 
 
 def edits_inside(pattern, text):
