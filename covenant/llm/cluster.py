@@ -13,12 +13,13 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: keeps a batch of ordinary documents at a few MB.
-BATCH_ROWS = 1024
+#: Rows and bytes in an Arrow batch, at most: one more row than fits, however long, ends a batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a Python worker holds few documents at a time."""
+    """Small Arrow batches, so that a Python worker holds few documents at a time. The session keeps these settings: plans are run after operators return."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
