@@ -1,7 +1,8 @@
 """Chat formatting: records of many layouts become canonical turns, and turns one marked text with a loss mask.
 
-A record is a JSON object. Its nested field paths, with the kinds of values that stand there, are hashed to
-a fingerprint, and the fingerprint selects a declarative mapping. The template marks turns with control
+A record is a JSON object. Of its nested field paths, with the kinds of values that stand there, those that a
+mapping knows are hashed to a fingerprint, and the fingerprint selects the declarative mapping; other fields are
+passed over. A record that no mapping fits stays as a row with the reason. The template marks turns with control
 strings; what looks like one inside a text is escaped, so the turns can be read back exactly.
 """
 
@@ -65,38 +66,48 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def _layouts() -> dict[str, Mapping]:
-    """The fingerprint of every form that the mappings allow."""
-    found = {}
-    for m in MAPPINGS:
-        fields = [f for f, _ in m.single] + ([m.joined[1]] if m.joined else [])
-        needed = [f for f in fields if f not in m.optional]
-        for size in range(len(m.optional) + 1):
-            for extra in combinations(m.optional, size):
-                paths = {f"$.{f}:text" for f in (*needed, *extra)}
-                if m.turns:
-                    items, role, text = m.turns
-                    found[fingerprint(paths | {f"$.{items}[]:list"})] = m  # no turns
-                    paths |= {f"$.{items}[]:list", f"$.{items}[].{role}:text", f"$.{items}[].{text}:text"}
-                found[fingerprint(paths)] = m
-    return found
+def _forms(m: Mapping) -> tuple[frozenset[str], frozenset[str]]:
+    """The paths, without kinds, that a mapping knows, and the fingerprint of every form that it allows."""
+    fields = [f for f, _ in m.single] + ([m.joined[1]] if m.joined else [])
+    needed = [f for f in fields if f not in m.optional]
+    known, found = {f"$.{f}" for f in fields}, set()
+    for size in range(len(m.optional) + 1):
+        for extra in combinations(m.optional, size):
+            paths = {f"$.{f}:text" for f in (*needed, *extra)}
+            if m.turns:
+                items, role, text = m.turns
+                known |= {f"$.{items}", f"$.{items}[]", f"$.{items}[].{role}", f"$.{items}[].{text}"}
+                found.add(fingerprint(paths | {f"$.{items}[]:list"}))  # no turns
+                paths |= {f"$.{items}[]:list", f"$.{items}[].{role}:text", f"$.{items}[].{text}:text"}
+            found.add(fingerprint(paths))
+    return frozenset(known), frozenset(found)
 
 
-LAYOUTS = _layouts()
+#: In the order in which they are tried: a record with the fields of several goes by the first.
+FORMS = tuple((m, *_forms(m)) for m in MAPPINGS)
 
 
-def canonical(record: str | None) -> tuple[str | None, list[Turn]]:
-    """The mapping's name and the turns of a record. Fields that begin with an underscore are passed over; an unknown layout or what isn't a JSON object has no name and no turns. Null texts and roles are empty."""
+def select(value: dict) -> Mapping | None:
+    """The first mapping that has the fingerprint of those of the record's paths that it knows; each item of a list of messages must have both its fields."""
+    paths = field_paths(value)
+    for m, known, forms in FORMS:
+        if fingerprint({p for p in paths if p.rpartition(":")[0] in known}) in forms:
+            if not m.turns or all(isinstance(t, dict) and m.turns[1] in t and m.turns[2] in t for t in value[m.turns[0]]):
+                return m
+    return None
+
+
+def canonical(record: str | None) -> tuple[str | None, list[Turn], str | None]:
+    """The mapping's name, the turns and, of a record that no mapping fits, the reason. Fields that no mapping knows are passed over; null texts and roles are empty."""
     try:
         value = json.loads(record) if record is not None else None
     except ValueError:
-        return None, []
+        return None, [], "not JSON"
     if not isinstance(value, dict):
-        return None, []
-    value = {k: v for k, v in value.items() if not k.startswith("_")}
-    mapping = LAYOUTS.get(fingerprint(field_paths(value)))
+        return None, [], "no record" if value is None else "not an object"
+    mapping = select(value)
     if mapping is None:
-        return None, []
+        return None, [], f"unknown layout {fingerprint(field_paths(value))}"
     out = []
     for name, role in mapping.single:
         if name in mapping.optional and value.get(name) is None:
@@ -109,7 +120,7 @@ def canonical(record: str | None) -> tuple[str | None, list[Turn]]:
         items, role, text = mapping.turns
         names = ROLES if role == "from" else {}
         out += [(names.get(t[role], t[role]) or "", t[text] or "") for t in value[items]]
-    return mapping.name, out
+    return mapping.name, out, None
 
 
 # ---------------------------------------------------------------- template
@@ -167,11 +178,13 @@ def records_from_turns(rows: DataFrame) -> DataFrame:
 
     Turns go by number (nulls first), equal numbers by role and text, and rows that repeat all stay. A
     null role or text is empty. Conversations of one prompt and one answer, with or without a system
-    text before, become prompt and response; all others are lists of messages. Rows with a null conv_id
-    are one conversation.
+    text before, become prompt and response; all others are lists of messages. A row with a null conv_id
+    is a conversation by itself, so rows without an id don't come together in one task. An empty table gives no
+    rows, and other columns play no part. A conversation is one record, however long: its rows come together.
     """
-    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.select("conv_id", alone.alias("__alone"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = turns.groupBy("conv_id", "__alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     roles = F.transform("t", lambda t: t["role"])
     text = lambda k: F.col("t")[k]["text"]
     two = roles == F.array(F.lit("user"), F.lit("assistant"))
@@ -182,37 +195,41 @@ def records_from_turns(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.when(two, short).when(three, headed).otherwise(listed).alias("record"))
 
 
-OUT = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(pa.list_(pa.int64())))])
+OUT = pa.schema([("conv_id", pa.int64()), ("layout", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(pa.list_(pa.int64()))), ("reason", pa.string()), ("record", pa.string())])
 
 
 def format_records(records: DataFrame) -> DataFrame:
-    """(conv_id, layout, formatted, mask) for each of ``records(conv_id, record)``; see ``canonical`` for records of no known layout, whose text is empty."""
+    """(conv_id, layout, formatted, mask, reason, record) for each of ``records(conv_id, record)``.
+
+    A record that no mapping fits (null, no JSON, no object, or an unknown layout) has null layout, an empty text, the reason
+    and the record as it came; else both are null. Rows that repeat stay.
+    """
     prepare(records.sparkSession)
 
     def run(batches):
         for batch in batches:
-            names, texts, masks = [], [], []
+            rows = []
             for record in batch.column(1).to_pylist():
-                name, turns = canonical(record)
+                name, turns, reason = canonical(record)
                 text, mask = format_turns(turns)
-                names.append(name)
-                texts.append(text)
-                masks.append([list(m) for m in mask])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, OUT.field("mask").type)], schema=OUT)
+                rows.append((name, text, [list(m) for m in mask], reason, record if reason else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types[1:], strict=True))], schema=OUT)
 
-    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(tidy(run), "conv_id long, layout string, formatted string, mask array<array<long>>")
+    return records.select(F.col("conv_id").cast("long").alias("conv_id"), "record").mapInArrow(tidy(run), "conv_id long, layout string, formatted string, mask array<array<long>>, reason string, record string")
 
 
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the marked texts of ``formatted(conv_id, formatted, mask)`` say: turns and trained text, counted and hashed."""
+    """What the marked texts of ``formatted(conv_id, formatted, mask)`` say: turns and trained text, counted and hashed. A null text has no turns."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for conv_id, text, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                text, mask = text or "", mask or []
                 turns, loss = parse_turns(text), loss_text(text, mask)
                 whole = "".join(f"{role}\n{body}\n" for role, body in turns)
                 rows.append((conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
