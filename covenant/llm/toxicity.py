@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of whole texts, with isotonic calibration.
 
-Three disjoint parts of the labelled sample serve three fits: words and beginnings of words that mark toxic
-documents (the lexicon), the trees, and the calibration. So the trees see the lexicon at work on texts it
-wasn't drawn from, and the calibration sees the trees likewise.
+The lexicon, words and beginnings of words that mark toxic documents, is learnt from the whole labelled sample.
+The trees are fitted on features by lexicons of the other half of the sample each, so they see a lexicon at work
+on texts it wasn't drawn from; the calibration on margins that each fifth gets from trees fitted on the other four.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from covenant.llm import textstats as ts
 from covenant.llm import trees
-from covenant.llm.cluster import materialised, prepare, remainder, tidy
+from covenant.llm.cluster import discard, materialised, prepare, remainder, tidy
 from covenant.llm.learning import SAMPLE, labelled_sample
 from covenant.llm.words import Words, slices
 
@@ -26,8 +26,10 @@ SEEDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scu
 SECOND_PERSON = ("you", "your", "yours", "yourself", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "euer", "tu", "toi", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "vosotros")
 NEAR = 5
 PREFIXES = (4, 5)
-#: Documents that a lexicon entry was seen in at least, evidence it needs (twice the log-likelihood ratio's half), and entries kept.
-LEAST_DOCS, LEAST_EVIDENCE, ENTRIES = 3, 6.5, 4000
+#: Documents that a lexicon entry was seen in at least, and evidence it needs (twice the log-likelihood ratio's half). The sample bounds the entries.
+LEAST_DOCS, LEAST_EVIDENCE = 3, 6.5
+#: Parts of the sample for the calibration.
+FOLDS = 5
 
 _STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»„“”’…¡¿"
 _UNMASK = str.maketrans("0134578@$!|+", "oieastbasilt")
@@ -127,13 +129,12 @@ class Features:
 
 
 def _parts(sample: DataFrame) -> DataFrame:
-    """Adds ``part``: 0 for the lexicon (half), 1 for the trees, 2 for the calibration (a seventh)."""
-    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(14))
-    return sample.withColumn("part", F.when(h < 7, 0).when(h < 12, 1).otherwise(2))
+    """Adds ``part``, 0 to 2 * ``FOLDS`` - 1: its remainder by two is the half, its half the fold."""
+    return sample.withColumn("part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(2 * FOLDS)).cast("int"))
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Terms of ``sample(text, y)`` that toxic documents have much more often; at most ``entries`` of them come to the driver."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms of ``sample(text, y)`` that toxic documents have much more often; they alone come to the driver."""
 
     def count(batches):
         for batch in slices(batches):
@@ -165,8 +166,6 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]
         .where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > F.col("docs") * (rate + 1) / 2))
         .withColumn("evidence", evidence)
         .where(F.col("evidence") >= LEAST_EVIDENCE)
-        .orderBy(F.desc("evidence"), "term")
-        .limit(entries)
     )
     return {r["term"]: r["evidence"] for r in found.collect()}
 
@@ -176,20 +175,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     prepare(docs.sparkSession)
     rows = materialised(_parts(labelled_sample(docs, labels, label, sample)), "toxic-sample")
-    lexicon = learn_lexicon(rows.where("part = 0"))
+    halves = [learn_lexicon(rows.where(f"part % 2 = {1 - half}")) for half in (0, 1)]  # each of the other half
 
     def gather(batches):
-        features = Features(lexicon)
+        features = [Features(lexicon) for lexicon in halves]
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], names=["doc_id", "y", "part", "x"])
-
-    rest = rows.where("part > 0").select("doc_id", "text", "y", "part").mapInArrow(tidy(gather), "doc_id long, y double, part int, x array<double>").toArrow().sort_by("doc_id")
-    x, y, part = np.array(rest["x"].to_pylist(), float).reshape(len(rest), len(FEATURES)), rest["y"].to_numpy(), rest["part"].to_numpy()
-    forest = trees.fit(x[part == 1], y[part == 1], np.array(list(FEATURES.values())), trees=50)
-    held = part == 2
-    if held.sum() < 200:  # too few to calibrate by themselves
-        held = part >= 1
-    return Model(lexicon, forest, *trees.isotonic(forest.margin(x[held]), y[held]))
+            half = batch.column(3).to_numpy() % 2
+            x = np.where(half[:, None] == 0, features[0](batch.column(1)), features[1](batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "part", "x"])
+
+    gathered = rows.select("doc_id", "text", "y", "part").mapInArrow(tidy(gather), "doc_id long, y double, part int, x array<double>").toArrow().sort_by("doc_id")
+    x, y, part = np.array(gathered["x"].to_pylist(), float).reshape(len(gathered), len(FEATURES)), gathered["y"].to_numpy(), gathered["part"].to_numpy()
+    lexicon = learn_lexicon(rows)
+    discard(rows)
+    monotone = np.array(list(FEATURES.values()))
+    margin = np.zeros(len(x))
+    for fold in range(FOLDS):
+        mine = part // 2 == fold
+        margin[mine] = trees.fit(x[~mine], y[~mine], monotone, trees=50).margin(x[mine])
+    return Model(lexicon, trees.fit(x, y, monotone, trees=50), *trees.isotonic(margin, y))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -199,7 +203,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """A row for each document: doc_id, held_out (crc32(doc_id) mod 3 is 1), score (0 to 1, higher: likelier toxic), predicted.
 
     A null or empty text has no words and gets the score of a text without any sign. Rows that repeat an id
-    are scored each by itself.
+    are scored each by itself; an empty table gives no rows, and other columns play no part.
     """
 
     prepare(docs.sparkSession)
@@ -214,7 +218,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``.
+
+    A null or empty text is judged as one without words; its score is the model's for no sign at all, so it
+    stays wherever clean texts do. Rows with a null or a repeated id are judged each by itself. An empty table
+    stays empty, and columns of any name but ``text`` pass through as they are.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
