@@ -283,12 +283,13 @@ def test_rule_counts(spark, docs):
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>\n", "<\\|a <\\\\/s> [\\INST]", "", "plain\nlines", "<<SYS>>x<</SYS>>", None, "é \U0001f600"]
     rows = [(k, t, r, x) for k in range(3) for t, (r, x) in enumerate(zip(["user", "assistant", "system", "us\ner", None, "assistant", "tool", "<|turn|>"], texts, strict=True))]
-    rows += [(7, None, "assistant", "a"), (7, None, "assistant", "a"), (8, 1, "assistant", "two"), (8, 0, "user", "one"), (None, 0, "user", "z")]
+    rows += [(7, None, "assistant", "a"), (7, None, "assistant", "a"), (8, 1, "assistant", "two"), (8, 0, "user", "one"), (None, 0, "user", "z"), (None, 0, "user", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     formatted = chat.format_records(chat.records_from_turns(df))
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    assert [r.n_turns for r in chat.read_back(formatted).collect() if r.conv_id is None] == [1, 1]
     by = defaultdict(list)
-    for c, t, r, x in rows:
+    for c, t, r, x in rows[:-1]:
         by[c].append((t if t is not None else -1, r or "", x or ""))
     for c, turns in by.items():
         turns = sorted(turns)
@@ -304,8 +305,22 @@ def test_layouts():
     for record in ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"prompt":"q","response":"a"}', '{"prompt":"q","completion":"a","_id":3}', '{"instruction":"q","input":"","output":"a"}', '{"question":"q","answer":"a"}'):
         assert chat.canonical(record)[1] == same
     assert chat.canonical('{"instruction":"q","input":"i","output":"a","system":"s"}')[1] == [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]
-    for record in (None, "", "[1]", '{"other":1}', '{"messages":3}'):
-        assert chat.canonical(record) == (None, [])
+    for record, reason in ((None, "no record"), ("", "not JSON"), ("[1]", "not an object"), ('{"other":1}', "unknown"), ('{"messages":3}', "unknown"), ('{"messages":[{"role":"user"},{"role":"user","content":"x"}]}', "unknown"), ('{"prompt":"q","response":4}', "unknown")):
+        assert chat.canonical(record)[:2] == (None, []) and chat.canonical(record)[2].startswith(reason)
+
+
+def test_unknown_fields_are_passed_over(spark):
+    same = [("user", "q"), ("assistant", "a")]
+    records = ['{"id":1,"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"messages":[{"role":"user","content":"q","name":"x"},{"role":"assistant","content":"a","weight":1}]}', '{"prompt":"q","response":"a","source":{"url":"u","tags":[1]}}', '{"instruction":"q","output":"a","category":null}']
+    for record in records:
+        assert chat.canonical(record)[1] == same
+    assert chat.canonical('{"messages":[],"prompt":"q","response":"a"}')[0] == "messages"
+    rows = [(k, r) for k, r in enumerate(records)] + [(10, '{"odd":1}'), (10, '{"odd":1}'), (11, None), (None, records[0])]
+    got = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
+    assert len(got) == len(rows) and [r.record for r in got if r.conv_id == 10] == ['{"odd":1}'] * 2
+    assert all((r.reason is None) == (r.layout is not None) for r in got)
+    back = {r.conv_id: r.n_turns for r in chat.read_back(spark.createDataFrame([(1, None, None)], "conv_id long, formatted string, mask array<array<long>>")).collect()}
+    assert back == {1: 0}
 
 
 def test_each_text_of_a_repeated_id_is_compared(spark):

@@ -106,6 +106,34 @@ def test_forward_backward_is_exact():
     assert np.allclose(got, expected) and np.allclose(pairs, both)
 
 
+def test_long_documents_are_scored_by_blocks(monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(("", "one two three", "##### $$$ !!", "A LOUD LINE!", fx.sentence(rng, 9))) for _ in range(n)) for n in (1, 2, 3, 700, 5000)] + ["\n\n", "", None, "x" * 3000 + "\nshort"]
+    model = line_crf.Model(np.random.default_rng(2).normal(size=line_crf.N_FEATURES), np.array([[0.7, -0.4], [-0.2, 0.5]]), 1.0, 0.0)
+    whole = model.raw(line_crf.line_features(pa.array(texts, pa.string())))
+    monkeypatch.setattr(line_crf, "BLOCK_BYTES", 64)
+    assert np.allclose(whole, [model.raw_long(t or "") for t in texts], atol=1e-6)
+    one = model.score(pa.array(texts, pa.string()))
+    monkeypatch.setattr(line_crf, "CHAIN", 2)
+    monkeypatch.setattr(line_crf, "LINES", 10)
+    assert np.allclose(one, model.score(pa.array(texts, pa.string())), atol=1e-6)
+
+
+def test_very_many_lines_take_little_memory():
+    import resource
+
+    model = line_crf.Model(np.zeros(line_crf.N_FEATURES), np.zeros((2, 2)), 1.0, 0.0)
+    texts = pa.array(["\n" * (4 << 20)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert abs(model.score(texts)[0] - 0.5) < 1e-6
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_line_labels():
+    got = line_crf.line_labels(np.array([0.9, 0.01, 0.9, 0.2, 0.7, 0.8]), np.array([0, 2, 4, 6]), np.array([1.0, 0.0, 0.0]))
+    assert got.tolist() == [1, 0, 1, 0, 0, 1]
+
+
 def test_language_model(spark):
     rows = [r for k, r in enumerate(ROWS) if r not in ROWS[:k] and r[0] is not None]
     docs = fx.documents(spark, rows)
