@@ -1,15 +1,17 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and benchmark items are lowered, and everything but letters and digits becomes one space. An item of
-n bytes with at most k edits shares n + 1 - q - k * q of its q-grams with its occurrence, on diagonals that
-differ by k at most. So q-grams shared with each item are counted in overlapping bands of diagonals; a band
+Texts and benchmark items are lowered, and every run of characters that are neither letters nor digits in Unicode becomes one
+space. An item of n characters with at most k edits shares n + 1 - q - k * q of its character q-grams with its
+occurrence, on diagonals that differ by k at most. So q-grams shared with each item are counted in overlapping bands of diagonals; a band
 that reaches the item's bound is aligned with the item (banded edit distance) and reported if k edits do.
-Items of fewer than ``LEAST_BYTES`` are searched as they are, at word boundaries: chance would match them with edits.
+Items of fewer than ``LEAST`` characters are searched as they are, at word boundaries: chance would match them with edits.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +25,19 @@ from covenant.llm.words import slices
 
 Q = 8
 EDITS = 0.1
-LEAST_BYTES = 32
+#: Characters of a folded item from which edits are allowed.
+LEAST = 32
 #: Bytes of benchmark text whose index goes to every task at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 4 << 20
 _BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-_FOLD = np.full(256, 32, np.uint8)
-for _c in [*range(48, 58), *range(97, 123), *range(128, 256)]:
-    _FOLD[_c] = _c
+
+@cache
+def _in_words() -> np.ndarray:
+    """For each code point whether it is a letter, a digit or a mark on one."""
+    kept = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x30000)])
+    return np.concatenate((kept, np.zeros(0x110000 - len(kept), bool)))
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -40,23 +46,54 @@ def _lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.binary_join_element_wise(pc.fill_null(whole, ""), pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())))
 
 
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The folded bytes of all texts, each followed by a zero byte; where each starts (one more at the end); each byte's place in the raw bytes."""
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes (as bytes where all are ASCII), and how many start before each byte."""
+    lead = data & 0xC0 != 0x80
+    total = np.concatenate(([0], np.cumsum(lead)))
+    at = np.nonzero(lead)[0]
+    if len(at) == len(data) and not (data & 0x80).any():
+        return data, total
+    points = data[at].astype(np.uint32)
+    for least, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        long = np.nonzero((points >= least) & (points < (least >> 1 | 0x80)) & (data[at] >= least))[0]
+        x = data[at[long]].astype(np.uint32) & mask
+        for k in range(1, more + 1):
+            x = x << 6 | data[at[long] + k].astype(np.uint32) & 0x3F
+        points[long] = x
+    return points, total
+
+
+@dataclass
+class Folded:
+    """Folded texts one after another, each followed by a zero: their code points, a byte for each (equal points have equal bytes), where each text starts (one more at the end), each point's place among the code points of all texts, and where each text starts there."""
+
+    points: np.ndarray
+    letters: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    begins: np.ndarray
+
+
+def folded(texts: pa.Array) -> Folded:
     data, starts = text_bytes(_lowered(texts))
-    out = _FOLD[data]
-    ends = starts[1:] - 1
-    out[ends] = 0
+    points, total = _points(data)
+    begins = total[starts]
+    known = _in_words()
+    out = np.where(known[points], points, points.dtype.type(32))
+    out[begins[1:] - 1] = 0
     keep = np.ones(len(out), bool)
     space = out == 32
     keep[1:] = ~(space[1:] & (space[:-1] | (out[:-1] == 0)))
     if len(out):
         keep[0] = not space[0]
-    total = np.concatenate(([0], np.cumsum(keep)))
-    return out[keep], total[starts], np.nonzero(keep)[0]
+    places = np.nonzero(keep)[0]
+    out = out[keep]
+    letters = out if out.dtype == np.uint8 else np.where(out < 128, out, 128 | (out * np.uint32(2654435761)) >> np.uint32(25)).astype(np.uint8)
+    return Folded(out, letters, np.concatenate(([0], np.cumsum(keep)))[begins], places, begins)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """Every 8 neighbouring bytes as one uint64."""
+    """Every 8 neighbouring letters as one uint64."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
     return np.ndarray((len(data) - Q + 1,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
@@ -67,7 +104,8 @@ class Index:
     """The q-grams of some items: sorted distinct grams, and for each its (item, place) postings."""
 
     item_ids: list
-    items: list[bytes]
+    items: list[np.ndarray]  # code points
+    letters: list[bytes]
     budget: np.ndarray
     bound: np.ndarray
     width: np.ndarray
@@ -77,30 +115,32 @@ class Index:
     place: np.ndarray
     table: np.ndarray
     short_ids: list
-    short: list[np.ndarray]  # a space, the item and a space
-
-
-def make_index(rows: list[tuple], edits: float = EDITS, least: int = LEAST_BYTES) -> Index | None:
-    """Of (item_id, text) rows; items that fold to fewer than ``least`` bytes are kept apart, for an exact search."""
-    data, starts, _ = folded(pa.array([r[1] for r in rows], pa.large_string()))
-    kept = [(r[0], data[a : b - 1].tobytes().strip()) for r, a, b in zip(rows, starts.tolist(), starts[1:].tolist(), strict=False)]
-    short = [(i, t) for i, t in kept if 0 < len(t) < least]
-    kept = [(i, t) for i, t in kept if len(t) >= least]
-    apart = ([i for i, _ in short], [np.frombuffer(b" " + t + b" ", np.uint8) for _, t in short])
+    short: list[np.ndarray]  # code points
+    short_letters: list[bytes]
+
+
+def make_index(rows: list[tuple], edits: float = EDITS, least: int = LEAST) -> Index | None:
+    """Of (item_id, text) rows; items that fold to fewer than ``least`` characters are kept apart, for an exact search."""
+    text = folded(pa.array([r[1] for r in rows], pa.large_string()))
+    spans = [(r[0], a, b - 1 - int(b - 1 > a and text.points[b - 2] == 32)) for r, a, b in zip(rows, text.starts.tolist(), text.starts[1:].tolist(), strict=False)]
+    item = lambda a, b: (text.points[a:b].astype(np.uint32), text.letters[a:b].tobytes())
+    short = [(i, *item(a, b)) for i, a, b in spans if 0 < b - a < least]
+    kept = [(i, *item(a, b)) for i, a, b in spans if b - a >= least]
+    apart = [[x[k] for x in short] for k in range(3)]
     if not kept:
         none = np.zeros(0, np.int64)
-        return Index([], [], none, none, none, none.astype(np.uint64), np.zeros(1, np.int64), none, none, np.zeros(1 << _BITS, bool), *apart) if short else None
-    n = np.array([len(t) for _, t in kept])
+        return Index([], [], [], none, none, none, none.astype(np.uint64), np.zeros(1, np.int64), none, none, np.zeros(1 << _BITS, bool), *apart) if short else None
+    n = np.array([len(t) for _, t, _ in kept])
     budget = np.minimum((edits * n).astype(int), (n - Q) // Q)
-    codes = [grams(np.frombuffer(t, np.uint8)) for _, t in kept]
-    every, item = np.concatenate(codes), np.repeat(np.arange(len(kept)), [len(c) for c in codes])
+    codes = [grams(np.frombuffer(x, np.uint8)) for _, _, x in kept]
+    every, owner = np.concatenate(codes), np.repeat(np.arange(len(kept)), [len(c) for c in codes])
     place = np.concatenate([np.arange(len(c)) for c in codes])
     order = np.argsort(every, kind="stable")
     known, first = np.unique(every[order], return_index=True)
     table = np.zeros(1 << _BITS, bool)
     table[_slot(known)] = True
     width = 1 << np.ceil(np.log2(2 * budget + 1)).astype(int)
-    return Index([i for i, _ in kept], [t for _, t in kept], budget, n + 1 - Q - budget * Q, width, known, np.append(first, len(order)), item[order], place[order], table, *apart)
+    return Index([i for i, _, _ in kept], [t for _, t, _ in kept], [x for _, _, x in kept], budget, n + 1 - Q - budget * Q, width, known, np.append(first, len(order)), owner[order], place[order], table, *apart)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -153,19 +193,19 @@ def candidates(data: np.ndarray, starts: np.ndarray, index: Index) -> np.ndarray
     return np.stack((owner // len(index.items), item, (low - (1 << 27)) * width, (low + 2 - (1 << 27)) * width), axis=1)
 
 
-def align(patterns: list[bytes], texts: list[bytes], band: int, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def align(patterns: list[np.ndarray], texts: list[np.ndarray], band: int, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each pattern against a part of its text, and where that part ends.
 
-    The part starts anywhere in the first ``band`` bytes, or at byte ``anchor``; only
+    The part starts anywhere in the first ``band`` characters, or at character ``anchor``; only
     alignments whose diagonal stays within ``band`` of the text's start are seen. All pairs go row by row together.
     """
     n = np.array([len(p) for p in patterns])
     rows = int(n.max())
-    p = np.zeros((len(patterns), rows), np.uint8)
-    t = np.full((len(patterns), rows + band), 1, np.uint8)  # 1 never is in a folded text
+    p = np.zeros((len(patterns), rows), np.uint32)
+    t = np.full((len(patterns), rows + band), 1, np.uint32)  # 1 never is in a folded text
     for k, (a, b) in enumerate(zip(patterns, texts, strict=True)):
-        p[k, : len(a)] = np.frombuffer(a, np.uint8)
-        t[k, : min(len(b), rows + band)] = np.frombuffer(b, np.uint8)[: rows + band]
+        p[k, : len(a)] = a
+        t[k, : min(len(b), rows + band)] = b[: rows + band]
     limit = np.array([len(b) for b in texts])
     far = 1 << 20
     step = np.arange(band, dtype=np.int32)
@@ -187,11 +227,12 @@ def align(patterns: list[bytes], texts: list[bytes], band: int, anchor: int | No
     return best, end
 
 
-def short_hits(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+def short_hits(text: Folded, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, 0) of every occurrence of the short items between word boundaries of the folded texts. Short items are numbered after the others.
 
-    Stretches of as many words as an item, of its length and its first two bytes, are looked up among the items.
+    Stretches of as many words as an item, of its length and its first two letters, are looked up among the items.
     """
+    data, starts = text.letters, text.starts
     if not index.short:
         return []
     space = (data == 32) | (data == 0)
@@ -202,14 +243,13 @@ def short_hits(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple
     row = np.searchsorted(starts, first, side="right") - 1
     whole = data.tobytes()
     by_words: dict[int, dict[bytes, list[int]]] = {}
-    for k, item in enumerate(index.short):
-        text = item[1:-1].tobytes()
-        by_words.setdefault(text.count(b" ") + 1, {}).setdefault(text, []).append(k)
+    for k, item in enumerate(index.short_letters):
+        by_words.setdefault(item.count(b" ") + 1, {}).setdefault(item, []).append(k)
     out = []
     for words, items in by_words.items():
         begin, end = first[: len(first) - words + 1], last[words - 1 :]
         near = (row[: len(begin)] == row[words - 1 :]) & np.isin(end - begin, [len(t) for t in items])
-        lead = np.zeros(1 << 16, bool)  # by the first two bytes, or one and what follows it
+        lead = np.zeros(1 << 16, bool)  # by the first two letters, or one and what follows it
         lead[[(t + b" ")[0] << 8 | (t + b" ")[1] for t in items]] = True
         second = data[begin + 1]
         near &= lead[data[begin].astype(np.int64) << 8 | np.where(second == 0, 32, second)]
@@ -217,7 +257,7 @@ def short_hits(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple
         done: dict[tuple[int, int], int] = {}
         for r, a, b in zip(row[at].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
             for k in items.get(whole[a:b], ()):
-                if a >= done.get((r, k), 0):  # occurrences that overlap are one
+                if a >= done.get((r, k), 0) and np.array_equal(text.points[a:b], index.short[k]):  # occurrences that overlap are one
                     done[r, k] = b
                     out.append((r, len(index.items) + k, a, b, 0))
     return out
@@ -225,21 +265,26 @@ def short_hits(data: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple
 
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) of the items' occurrences in whole texts; places are code points of the text."""
-    data, starts, raw = folded(texts)
-    found = candidates(data, starts, index)
+    text = folded(texts)
+    starts = text.starts
+    found = candidates(text.letters, starts, index)
     out, unsure = [], []
     for row, item, low, high in found.tolist():
-        k, pattern = int(index.budget[item]), index.items[item]
+        k, pattern, letters = int(index.budget[item]), index.items[item], index.letters[item]
         begin, own, end = low, max(low, int(starts[row])), min(high + len(pattern) - 1, int(starts[row + 1]) - 1)
         if end - own < len(pattern) - k:
             continue
-        piece = b"\1" * (own - begin) + data[own:end].tobytes()  # diagonals from before the text count too: a copy at its start can lack letters
-        at = piece.find(pattern)
-        if at < 0:
-            unsure.append((row, item, begin, piece, high - low))
+        piece, hit = text.letters[own:end].tobytes(), False
+        at = piece.find(letters)
         while at >= 0:  # the item as it is
-            out.append((row, item, begin + at, begin + at + len(pattern), 0))
-            at = piece.find(pattern, at + len(pattern))
+            if np.array_equal(text.points[own + at : own + at + len(pattern)], pattern):
+                hit = True
+                out.append((row, item, own + at, own + at + len(pattern), 0))
+                at = piece.find(letters, at + len(pattern))
+            else:
+                at = piece.find(letters, at + 1)
+        if not hit:  # diagonals from before the text count too: a copy at its start can lack letters
+            unsure.append((row, item, begin, np.concatenate((np.ones(own - begin, np.uint32), text.points[own:end])), high - low))
     unsure.sort(key=lambda x: x[4])
     for first in range(0, len(unsure), 256):
         part = unsure[first : first + 256]
@@ -248,7 +293,7 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
         good = [j for j, x in enumerate(part) if edits[j] <= index.budget[x[1]]]
         if good:
             most = max(int(index.budget[part[j][1]]) for j in good)
-            turned = [b"\1" * most + part[j][3][: end[j]][::-1] for j in good]
+            turned = [np.concatenate((np.ones(most, np.uint32), part[j][3][: end[j]][::-1])) for j in good]
             back = align([patterns[j][::-1] for j in good], turned, 2 * most + 2, anchor=most)[1] - most
             out += [(*part[j][:2], max(part[j][2] + int(end[j] - b), int(starts[part[j][0]])), part[j][2] + int(end[j]), int(edits[j])) for j, b in zip(good, back, strict=True)]
     best: list[tuple] = []
@@ -258,12 +303,8 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
                 best[-1] = row
         else:
             best.append(row)
-    best += short_hits(data, starts, index)
-    if not best:
-        return []
-    lowered, begins = text_bytes(_lowered(texts))  # lowering keeps the number of code points, not of bytes
-    points = np.concatenate(([0], np.cumsum(lowered & 0xC0 != 0x80)))
-    return [(r, i, int(points[raw[a]] - points[begins[r]]), int(points[raw[b - 1] + 1] - points[begins[r]]), e) for r, i, a, b, e in best]
+    best += short_hits(text, index)
+    return [(r, i, int(text.places[a] - text.begins[r]), int(text.places[b - 1] + 1 - text.begins[r]), e) for r, i, a, b, e in best]
 
 
 def indexes(benchmark: DataFrame, edits: float = EDITS, block_bytes: int = BLOCK_BYTES):
@@ -284,7 +325,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.i
 def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """A row for each occurrence of a benchmark item in a document: doc_id, item_id, start, end (code points), edits.
 
-    An item of n folded bytes occurs where at most min(n * ``edits``, (n - 8) / 8) edits of folded bytes make
+    An item of n folded characters occurs where at most min(n * ``edits``, (n - 8) / 8) edits of characters make
     it, or as it is between word boundaries if n < 32. Occurrences of an item that overlap are one, the earliest of fewest edits. Null or empty texts, and
     items without letters and digits, hold and match nothing; items that repeat are reported by each id, rows that repeat an id each by itself.
     """
@@ -310,7 +351,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDI
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose texts no benchmark item occurs (see ``find_contamination``)."""
+    """The rows of ``docs``, all columns, in whose texts no benchmark item occurs (see ``find_contamination``).
+
+    Rows with a null or empty text, or a null id, hold nothing or are judged by their text; rows that repeat are judged each by itself.
+    An empty table of either kind leaves ``docs`` as it is, and columns of any name but ``text`` pass through.
+    """
     spark = docs.sparkSession
     prepare(spark)
     at = docs.columns.index("text")

@@ -244,11 +244,11 @@ def test_decontamination(spark):
         rows.append((i, text))
     rows += [(200, None), (201, ""), (202, " ".join(["the"] * 5000)), (203, rows[1][1])]
     got = decontaminate.find_contamination(fx.documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    fold = lambda t: decontaminate.folded(pa.array([t]))[0].tobytes().rstrip(b"\0").strip()
+    fold = lambda t: "".join(map(chr, decontaminate.folded(pa.array([t])).points.tolist())).rstrip("\0").strip()
     expected = set()
     for k, t in items:
         p = fold(t or "")
-        if len(p) >= decontaminate.LEAST_BYTES:
+        if len(p) >= decontaminate.LEAST:
             budget = min(int(0.1 * len(p)), (len(p) - 8) // 8)
             expected |= {(i, k) for i, x in rows if i != 202 and edits_inside(p, fold(x or "")) <= budget}
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(expected) > 20
@@ -278,6 +278,27 @@ def test_short_items_are_found_exactly(spark):
         assert {r.doc_id for r in decontaminate.drop_contaminated(fx.documents(spark, rows), held).collect()} == {2, 5, 6, 7}
 
 
+def test_typographic_punctuation_and_letters_of_many_bytes():
+    item = "“Don’t panic” — said the guide… überall wörtlich, 東京都 строка"
+    index = decontaminate.make_index([(1, item)])
+    plain = "\"Don't panic\" - said the guide... überall wörtlich, 東京都 строка"
+    assert [(a, b, e) for _, _, a, b, e in decontaminate.search(pa.array([f"x {plain}!"]), index)] == [(3, 2 + len(plain), 0)]
+    budget = int(index.budget[0])
+    changed = plain.replace("東京都", "京東府").replace("ü", "u")  # four characters, not twelve bytes
+    assert budget >= 4 and [e for *_, e in decontaminate.search(pa.array([changed]), index)] == [4]
+    assert decontaminate.folded(pa.array(["a\u0301 \U0001f600b\u00a0c"])).points.tolist() == [*map(ord, "a\u0301 b c"), 0]
+
+
+def test_letters_that_share_a_byte_stay_apart():
+    same = {}
+    for c in range(0x4E00, 0x5200):
+        same.setdefault(decontaminate.folded(pa.array([chr(c)])).letters[0], []).append(chr(c))
+    one, other = next(x for x in same.values() if len(x) > 1)[:2]
+    index = decontaminate.make_index([(1, one * 20), (2, one * 40)])
+    assert decontaminate.search(pa.array([other * 20, other * 40]), index) == []
+    assert [x[:2] for x in decontaminate.search(pa.array([one * 20, one * 40]), index)] == [(1, 0), (0, 1)]
+
+
 def test_benchmark_in_blocks(spark):
     items = [(k, t) for k, t in enumerate(fx.sentence(random.Random(k), 12) for k in range(30))]
     df = spark.createDataFrame(items, "item_id long, text string")
