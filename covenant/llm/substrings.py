@@ -1,6 +1,7 @@
 """Substring deduplication: passages that an earlier document has are taken out of later ones.
 
-Every window of ``width`` words has a Rabin-Karp hash. Which hashes start in a document of smaller id is
+Every window of ``width`` words has a Rabin-Karp hash of 96 bits: 64 that sort it, and 32 of another base that
+tell windows of equal 64 apart. Which hashes start in a document of smaller id is
 found without moving texts: each task cuts its documents into chunks and sends, for each range of hashes, a
 chunk's distinct hashes (sorted, as packed differences) with the smallest document that has each. The range's
 task finds each hash's smallest document among all chunks and answers with a bit for each hash of a chunk.
@@ -29,6 +30,7 @@ WIDTH = 13
 CHUNK_BYTES = 6 << 20
 RANGE_HASHES = 2_000_000
 NO_ID = np.iinfo(np.int64).max
+OTHER_BASE = 0xD1342543DE82EF95
 
 
 @dataclass
@@ -40,6 +42,7 @@ class Chunk:
     at: np.ndarray
     rows: np.ndarray
     distinct: np.ndarray
+    check: np.ndarray  # the other 32 bits of each distinct hash
     number: np.ndarray
     smallest: np.ndarray  # document of smallest id for each distinct hash
 
@@ -47,11 +50,32 @@ class Chunk:
 def make_chunk(texts: pa.Array, ids: np.ndarray, width: int) -> Chunk:
     words = Words(texts)
     at, rows = windows(words.starts, width)
-    hashes = rolling(words.vocab_hashes()[words.codes], at, width) if len(at) else np.zeros(0, np.uint64)
-    distinct, number = np.unique(hashes, return_inverse=True)
-    smallest = np.full(len(distinct), NO_ID)
-    np.minimum.at(smallest, number, ids[rows])
-    return Chunk(words, ids, at, rows, distinct, number, smallest)
+    hashes, check = window_hashes(words.vocab_hashes()[words.codes], at, width)
+    order, first = in_order(hashes, check)
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(first) - 1
+    smallest = np.minimum.reduceat(ids[rows][order], np.nonzero(first)[0]) if len(hashes) else np.zeros(0, np.int64)
+    return Chunk(words, ids, at, rows, hashes[order][first], check[order][first], number, smallest)
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the window that starts at each of ``at``."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return rolling(hashes, at, width), (rolling(hashes, at, width, OTHER_BASE) >> np.uint64(32)).astype(np.uint32)
+
+
+def in_order(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash, then check, and where in it a new one begins. Equal hashes of unequal checks are all but unknown, so the second key is sorted only where there are any."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    other = np.zeros(len(order), bool)
+    other[1:] = check[order[1:]] != check[order[:-1]]
+    if (other & ~new).any():
+        order = np.lexsort((check, hashes))
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return order, new
 
 
 def pack_sorted(values: np.ndarray) -> tuple[bytes, int]:
@@ -98,7 +122,7 @@ def _bounds(ranges: int) -> np.ndarray:
     return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
 
-SENT = pa.schema([("range", pa.int32()), ("chunk", pa.string()), ("bytes_each", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("doc_of", pa.binary())])
+SENT = pa.schema([("range", pa.int32()), ("chunk", pa.string()), ("bytes_each", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("doc_of", pa.binary())])
 
 
 def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
@@ -115,7 +139,7 @@ def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
             for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if a < b:
                     hashes, each = pack_sorted(chunk.distinct[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k, name, each, hashes, *pack_documents(chunk.smallest[a:b])), SENT, strict=True)], schema=SENT)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k, name, each, hashes, chunk.check[a:b].astype("<u4").tobytes(), *pack_documents(chunk.smallest[a:b])), SENT, strict=True)], schema=SENT)
 
     def compare(table: pa.Table) -> pa.Table:
         names, each = table["chunk"].to_pylist(), table["bytes_each"].to_pylist()
@@ -125,9 +149,7 @@ def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
         counts = [len(h) for h in hashes]
         every, owner = np.concatenate(hashes), np.concatenate(owner)
         del hashes
-        sort = np.argsort(every, kind="stable")
-        every = every[sort]
-        first = np.concatenate(([True], every[1:] != every[:-1]))
+        sort, first = in_order(every, np.concatenate([np.frombuffer(table["checks"][i].as_py(), "<u4") for i in order]))
         del every
         groups = np.cumsum(first) - 1
         least = np.minimum.reduceat(owner[sort], np.nonzero(first)[0])[groups]
@@ -146,7 +168,7 @@ def mark(docs: DataFrame, folder: str, width: int = WIDTH) -> None:
         write_file(f"{folder}/{name}", np.packbits(np.concatenate(flags)).tobytes())
         return pa.table({"chunk": [name]})
 
-    sent = docs.mapInArrow(tidy(send), "range int, chunk string, bytes_each int, hashes binary, docs binary, doc_of binary")
+    sent = docs.mapInArrow(tidy(send), "range int, chunk string, bytes_each int, hashes binary, checks binary, docs binary, doc_of binary")
     compared = sent.groupBy("range").applyInArrow(compare, "chunk string, range int, bits binary, n long")
     compared.groupBy("chunk").applyInArrow(keep, "chunk string").write.format("noop").mode("overwrite").save()
 
@@ -180,7 +202,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row for each document of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, intervals.
 
     A word goes when a window of ``width`` words that covers it also starts in a document of smaller
-    doc_id; windows are those of the input. ``intervals`` are the maximal runs [first, end) of words that
+    doc_id; windows are those of the input, and equal 96-bit hashes stand for equal windows. ``intervals`` are the maximal runs [first, end) of words that
     go. Null or empty texts, and texts shorter than a window, lose nothing. A null doc_id counts as greater
     than all others; rows that repeat a doc_id aren't smaller than each other, so they keep what only they share.
     """
@@ -229,7 +251,8 @@ def cut_out(text: str, gone: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All rows and columns of ``docs``, texts without the words that ``find_repeats`` marks; ``n_chars``, if there, follows the text.
 
-    A text that loses nothing stays as it is, a null text too.
+    A text that loses nothing stays as it is, a null text too; null and repeated ids count as in ``find_repeats``. An empty table stays
+    empty, and columns of other names pass through.
     """
     spark = docs.sparkSession
     prepare(spark)
