@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covenant.llm.cluster import lookup, materialised, prepare, tidy
+from covenant.llm.cluster import discard, lookup, materialised, prepare, tidy
 from covenant.llm.components import components
 from covenant.llm.words import Words, mix, rolling, slices, windows
 
@@ -93,11 +93,11 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, minima: int, step: int =
     return np.ascontiguousarray(out.T)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def sign(texts: DataFrame, width: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys, bits) of ``texts(doc_id, text)``: a 128-bit hash of the set, the bands' keys, a byte of each minimum."""
+    """(doc_id, mark, n_shingles, set_a, set_b, keys, bits) of ``texts(doc_id, text, mark)``: a 128-bit hash of the set, the bands' keys, a byte of each minimum."""
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -113,9 +113,9 @@ def sign(texts: DataFrame, width: int, bands: int, per_band: int) -> DataFrame:
                 keys = mix((mix(minima.astype(np.uint64).reshape(len(n), bands, per_band)) * base).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
                 low = (minima >> np.uint32(24)).astype(np.uint8) ^ (minima >> np.uint32(8)).astype(np.uint8) ^ minima.astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), listed, pa.array([r.tobytes() for r in low], pa.binary())], schema=SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), listed, pa.array([r.tobytes() for r in low], pa.binary())], schema=SIGNED)
 
-    return texts.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, mark long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
     """(u, v) links that join all candidates of ``reps(rep, keys, bits)`` into groups."""
     bits = reps.select("rep", "bits")
     members, total = reps.select(F.explode("keys").alias("key"), "rep"), bands * reps.count()
-    found = None
+    found, written = None, []
     for meeting in range(MEETINGS + 1):
         hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1")
         met = materialised(lookup(members, hubs, "key", total).where("rep <> hub"), "met")
@@ -146,15 +146,20 @@ def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
         if meeting < MEETINGS:
             sized = pairs.join(bits.select("rep", F.col("bits").alias("v_bits")), "rep").join(bits.select(F.col("rep").alias("hub"), F.col("bits").alias("u_bits")), "hub")
             judged = materialised(similar(sized), "judged")
+            written.append(judged)
             links = judged.where(F.col("estimate") >= STAYS).select(F.col("hub").alias("u"), F.col("rep").alias("v"))
         else:
             links = pairs.select(F.col("hub").alias("u"), F.col("rep").alias("v"))
         found = links if found is None else found.unionAll(links)
         if meeting == MEETINGS or not judged.where(F.col("estimate") < STAYS).limit(1).count():
-            return materialised(found.distinct(), "candidates")
+            found = materialised(found.distinct(), "candidates")
+            discard(*written, met)
+            return found
         split = met.join(judged, ["hub", "rep"])
         open_keys = split.where(F.col("estimate") < STAYS).select("key").distinct()
         members = materialised(split.where(F.col("estimate") < MEETS_AGAIN).join(open_keys, "key", "left_semi").select("key", "rep"), "members")
+        discard(met)
+        written.append(members)
         total = members.count()
     raise AssertionError
 
@@ -239,8 +244,8 @@ def _meet(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) for enough pairs of alike classes that each has its whole component."""
+def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(u, v) for enough pairs of alike classes that each has its whole component, and the tables that they are read from."""
     grouped = components(links)
     members = grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct())
     weighed = members.join(reps.select(F.col("rep").alias("node"), "copies"), "node")
@@ -268,7 +273,7 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     differences = marked.select(F.col("u").alias("hub"), F.col("v").alias("node"), "mark", F.explode(F.concat("only_v", "only_u")).alias("h"))
     possible = _meet(alive, differences, percent).select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
     late = compare(possible, wanted, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
-    return good.select("u", "v").unionAll(late.select("u", "v"))
+    return good.select("u", "v").unionAll(late.select("u", "v")), [grouped, wanted, tried, bound]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -277,28 +282,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked when 100 * common shingles >= ``percent`` * shingles of either; a component
     is named by its smallest doc_id, and that document is kept. A text of fewer than ``width`` words is one
     shingle; one without words (or null) has none and is a component by itself. Rows that repeat a doc_id
-    are one node. Rows with a null doc_id get the component of their equals in set if these have an id, else
-    null; they are kept only in the latter case.
+    are one node, and all of them are marked as kept or not. Rows with a null doc_id get the component of their
+    equals in set if these have an id, else null; they are kept only in the latter case.
     """
+    return _marked(docs, width, percent).drop("mark")
+
+
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``mark``, a hash of each row's text, behind the doc_id."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialised(sign(texts, width, *banding(percent)), "signed")
+    signed = materialised(sign(texts.withColumn("mark", F.xxhash64("text")), width, *banding(percent)), "signed")
     sets = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialised(classes, "classes")
     named = classes.where("rep is not null")
     chosen = signed.join(named.withColumnRenamed("rep", "doc_id"), ["doc_id", *sets])
     reps = materialised(chosen.dropDuplicates(["doc_id", *sets]).select(F.col("doc_id").alias("rep"), "keys", "bits", "copies"), "reps")
-    links = confirmed_links(candidate_links(reps, banding(percent)[0]), reps, texts.withColumnRenamed("doc_id", "rep"), width, percent)
+    candidates = candidate_links(reps, banding(percent)[0])
+    links, read = confirmed_links(candidates, reps, texts.withColumnRenamed("doc_id", "rep"), width, percent)
     rooted = components(links)
+    discard(candidates, reps, *read)
     roots = named.join(rooted, named["rep"] == rooted["node"], "left").select(*sets, F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", *sets).join(roots, sets, "left")
+    out = signed.select("doc_id", "mark", *sets).join(roots, sets, "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of documents that ``near_duplicates`` keeps."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of ``docs``, all columns, of each document that ``near_duplicates`` keeps.
+
+    Rows that repeat a doc_id are one document, of which one row stays. A row with a null doc_id stays only
+    where no row with an id has its set, and of those of equal text one stays. An empty table stays empty, and
+    columns of any name but ``doc_id`` and ``text`` pass through.
+    """
+    kept = _marked(docs, width, percent).where("kept").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"))
+    chosen = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("mark"))).agg(F.min(F.struct("mark", "rows")).alias("x"))
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("x.mark").alias("__mark"), F.col("x.rows").alias("__rows"))
+    found = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark")))
+    return found.where("__rows = 1").unionAll(found.where("__rows > 1").dropDuplicates(["__id", "__mark"])).select(*docs.columns)
