@@ -152,6 +152,32 @@ def test_substrings(spark, docs):
     assert substrings.find_repeats(docs.where("false")).count() == 0
 
 
+def test_equal_hashes_of_unequal_windows_stay_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 6, 200)) for _ in range(20)])
+    plain = substrings.make_chunk(texts, np.arange(20), 3)
+    whole = substrings.window_hashes
+    monkeypatch.setattr(substrings, "window_hashes", lambda h, at, width: (whole(h, at, width)[0] % np.uint64(3), whole(h, at, width)[1]))
+    forced = substrings.make_chunk(texts, np.arange(20), 3)
+    assert len(forced.distinct) == len(plain.distinct) > 3 and len(set(forced.distinct.tolist())) == 3
+    assert (forced.smallest[forced.number] == plain.smallest[plain.number]).all()
+    assert (np.diff(forced.distinct.astype(np.int64)) >= 0).all()
+
+
+def test_forced_collisions_remove_nothing_more(spark, docs, monkeypatch):
+    """With two bits of the sorting hash left, results are those of all 64."""
+    expected = sorted(map(str, substrings.find_repeats(docs).collect()))
+    whole = substrings.rolling
+    monkeypatch.setattr(substrings, "rolling", lambda h, at, width, *base: whole(h, at, width, *base) & np.uint64(3 << 62) if not base else whole(h, at, width, *base))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substrings)
+    try:
+        assert sorted(map(str, substrings.find_repeats(docs).collect())) == expected
+    finally:
+        cloudpickle.unregister_pickle_by_value(substrings)
+
+
 def test_remove_repeats_keeps_columns(spark, docs):
     from pyspark.sql import functions as F
 
@@ -249,10 +275,22 @@ def test_groups_of_branches(spark):
 
 
 def test_keep_one(spark, docs):
+    from pyspark.sql import functions as F
+
     got = near_dedup.keep_one(docs.where("doc_id is not null"))
     assert got.columns == docs.columns
     expected = brute_components([r for r in ROWS if r[0] is not None], 5, 80)
-    assert {r.doc_id for r in got.collect()} == {i for i, (_, c) in expected.items() if i == c}
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
+    odd = docs.withColumn("rows", F.lit(1)).withColumn("mark", F.lit("m")).withColumn("__x", F.lit(2))
+    assert near_dedup.keep_one(odd.where("false")).collect() == [] and near_dedup.keep_one(odd).columns == odd.columns
+
+
+def test_keep_one_row_of_repeats(spark):
+    text, other = "a b c d e f g h i j", "q r s t u v w x y z"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (None, other), (None, other), (None, None), (3, None), (4, ""), (5, "k l m n o p"), (5, "1 2 3 4 5 6 7")]
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(fx.documents(spark, rows)).collect()), key=str)
+    assert [g for g in got if g[0] != 5] == sorted([(1, text), (None, other), (None, None), (3, None), (4, "")], key=str)
+    assert [i for i, _ in got].count(5) == 1
 
 
 def test_components(spark):
