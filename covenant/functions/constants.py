@@ -49,6 +49,7 @@ ORACLE_TYPES = {
 
 #: Rule id -> (severity, what it finds).
 RULES = {
+    "DG001": ("Warning", "call that isn't validated"),
     "DG101": ("Error", "call without parameters"),
     "DG002": ("Error", "type of a parameter"),
     "DG003": ("Error", "direction of a parameter"),
@@ -60,6 +61,7 @@ RULES = {
     "DG009": ("Warning", "inferred length"),
     "DG010": ("Warning", "Oracle syntax elsewhere"),
     "DG011": ("Warning", "other syntax in Oracle"),
+    "DG012": ("Error", "provider"),
     "DG013": ("Warning", "EXEC in Oracle"),
     "DG014": ("Warning", "unmapped types"),
     "DG015": ("Error", "phantom table"),
@@ -80,3 +82,9 @@ PROVIDER_RULES = {"oracle": ("DG010", "DG011", "DG013", "DG014", "DG007", "DG008
 
 DBMS_TYPE_CODES = {1: "VARCHAR2", 2: "NUMBER", 8: "LONG", 12: "DATE", 23: "RAW", 24: "LONG RAW", 96: "CHAR", 100: "BINARY_FLOAT", 101: "BINARY_DOUBLE", 112: "CLOB", 113: "BLOB", 114: "BFILE", 180: "TIMESTAMP", 181: "TIMESTAMP WITH TIME ZONE", 182: "INTERVAL YEAR TO MONTH", 183: "INTERVAL DAY TO SECOND", 231: "TIMESTAMP WITH LOCAL TIME ZONE"}
 DBMS_NATIONAL_CODES = {1: "NVARCHAR2", 96: "NCHAR", 112: "NCLOB"}
+
+# Names of the categories.
+CATEGORY_NAMES = {"CFfi": ("c-ffi", "cffi", "ffi"), "Geospatial": ("geospatial", "geo", "raster"), "BioMl": ("bio-ml", "bio"), "McpConnectors": ("mcp-connectors", "mcp"), "TypingInfrastructure": ("typing-infrastructure", "typing"), "HardwareEdge": ("hardware-edge", "edge")}
+
+# Beginnings of names of dependencies that are trusted.
+TRUSTED_PREFIXES = ("System.", "Microsoft.", "NuGet.", "runtime.", "NETStandard.Library", "Microsoft.NETCore.", "Microsoft.AspNetCore.", "Microsoft.EntityFrameworkCore", "Microsoft.Extensions.", "System.Text.Json", "System.Text.RegularExpressions", "System.Collections.Immutable", "System.Diagnostics.DiagnosticSource", "System.Memory", "System.Runtime.", "System.Threading.", "System.Linq", "System.ComponentModel", "System.Reflection", "System.IO", "System.Security.Cryptography", "System.Diagnostics", "System.Globalization", "System.Resources", "System.Numerics", "System.Xml", "System.Configuration", "System.Data", "System.Drawing", "System.Windows", "PresentationCore", "PresentationFramework", "WindowsBase", "Microsoft.CodeAnalysis", "Microsoft.CodeAnalysis.CSharp", "Microsoft.CodeAnalysis.CSharp.Scripting", "Microsoft.SqlServer.TransactSql.ScriptDom", "Oracle.ManagedDataAccess", "Npgsql", "MySqlConnector", "AWSSDK.", "Dapper", "Newtonsoft.Json", "YamlDotNet", "Spectre.Console", "CommandLineParser", "Polly", "Serilog", "MediatR", "AutoMapper", "FluentValidation", "xunit", "Moq", "FluentAssertions", "Bogus", "Testcontainers", "Testcontainers.Oracle", "Coverlet.Collector")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from covenant.functions.constants import EVIDENCE_SENSITIVE, SARIF_SENSITIVE
+from covenant.functions.constants import CATEGORY_NAMES, EVIDENCE_SENSITIVE, SARIF_SENSITIVE, TRUSTED_PREFIXES
 
 
 def snake_case(name: Column) -> Column:
@@ -86,3 +86,69 @@ def direction(mode: Column) -> Column:
 
 def full_name(schema: Column, name: Column) -> Column:
     return F.concat_ws(".", F.nullif(schema, F.lit("")), name)
+
+
+def evidence_severity(severity: Column) -> Column:
+    return F.when(severity.isin("Error", "Warning", "Info"), F.lower(severity)).otherwise("hidden")
+
+
+def valid_identifier(name: Column) -> Column:
+    """Whether a name can go into a catalogue query as it is."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_$#]*\z"), F.lit(False))
+
+
+def quoted(name: Column) -> Column:
+    """A name in brackets, closing ones doubled."""
+    return F.concat(F.lit("["), F.replace(name, F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+def days_since(pushed_at: Column, now: Column) -> Column:
+    """Whole days between a timestamp of RFC 3339 and now, 0 at least; 30 if it can't be read."""
+    ago = F.floor((F.unix_seconds(now) - F.unix_seconds(F.try_to_timestamp(pushed_at))) / 86400)
+    return F.when(ago.isNull(), 30).otherwise(F.greatest(ago, F.lit(0))).cast("long")
+
+
+def one_based(place: Column) -> Column:
+    return place + 1
+
+
+def zero_based(place: Column) -> Column:
+    return F.greatest(place - 1, F.lit(0))
+
+
+def token_estimate(prompt: Column, budget: int = 0) -> Column:
+    """Tokens of a request as its offline client counts them: a quarter of the prompt's bytes, 384 for the answer, and the budget for thinking."""
+    prompt_tokens = F.floor(F.octet_length(prompt) / 4).cast("long")
+    return F.struct(prompt_tokens.alias("prompt_tokens"), F.lit(384).cast("long").alias("completion_tokens"), F.lit(budget).cast("long").alias("thinking_tokens"), (prompt_tokens + 384 + budget).alias("total_tokens"))
+
+
+def version_at_least(current: Column, least: Column) -> Column:
+    """Whether a version of two to four numbers reaches another; what isn't a version counts as 1.0.0."""
+
+    def numbers(v: Column) -> Column:
+        known = F.when(v.rlike(r"^\s*\d+(\.\d+){1,3}\s*$"), F.trim(v)).otherwise("1.0.0")
+        return F.transform(F.split(known, r"\."), lambda x: x.cast("int"))
+
+    return numbers(current) >= numbers(least)
+
+
+def allowed_endpoint(url: Column) -> Column:
+    """Whether telemetry may go there: HTTPS, or HTTP to this machine."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://[^/?#\s]+", 1))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
+    local = host.isin("localhost", "[::1]") | host.rlike(r"^127\.\d+\.\d+\.\d+$")
+    return F.coalesce((scheme == "https") | ((scheme == "http") & local), F.lit(False))
+
+
+def trusted(name: Column) -> Column:
+    """Whether a dependency's name begins with a prefix that is trusted, whatever the case."""
+    low = F.lower(name)
+    return F.coalesce(F.exists(F.array(*(F.lit(p.lower()) for p in TRUSTED_PREFIXES)), lambda p: low.startswith(p)), F.lit(False))
+
+
+def category(name: Column) -> Column:
+    """A category by any of its names; all others are the general one."""
+    out = F.lit("GeneralNiche")
+    for kind, names in CATEGORY_NAMES.items():
+        out = F.when(F.lower(name).isin(*names), kind).otherwise(out)
+    return out

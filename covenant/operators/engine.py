@@ -36,25 +36,36 @@ def new_findings(found: DataFrame, baseline: DataFrame) -> DataFrame:
     return found.join(baseline.select("rule_id", "message").distinct(), ["rule_id", "message"], "left_anti")
 
 
-def _joined(parts: Column, between: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(parts)), between)
+def _joined(key: Column, parts: Column, between: str) -> Column:
+    """``parts`` in the order of ``key``, then their own."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), parts.alias("part")))), lambda x: x["part"]), between)
 
 
 def finding_hash(found: DataFrame, *by: str) -> DataFrame:
-    """The first 16 hex digits of the SHA-256 of all ``rule:message`` in order, for each group of ``by`` (one contract, one run)."""
+    """The first 16 hex digits of the SHA-256 of all ``rule:message``, by rule and then message, for each group of ``by`` (one contract, one run).
+
+    The digest covers one text, which a task puts together: a group's findings are bounded by what a string holds (2 GB).
+    Baselines of version 1 carry the same hash.
+    """
     line = F.concat_ws(":", "rule_id", "message")
-    return found.groupBy(*by).agg(F.substring(text.sha256_upper(_joined(line, "|")), 1, 16).alias("finding_hash"))
+    return found.groupBy(*by).agg(F.substring(text.sha256_upper(_joined(F.struct("rule_id", "message"), line, "|")), 1, 16).alias("finding_hash"))
 
 
 def table_hash(columns: DataFrame) -> DataFrame:
-    """(table_name, canonical): ``name{column;column}``, columns in order of their text."""
+    """(table_name, canonical): ``name{column;column}``, columns by name, each with type, nullability, length, precision and scale."""
     show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    line = F.concat_ws(",", "column_name", "data_type", F.initcap(F.col("is_nullable").cast("string")), show("precision"), show("max_length"), show("scale"))
-    return columns.groupBy("table_name").agg(F.concat("table_name", F.lit("{"), _joined(line, ";"), F.lit("}")).alias("canonical"))
+    line = F.concat_ws(",", "column_name", "data_type", F.initcap(F.col("is_nullable").cast("string")), show("max_length"), show("precision"), show("scale"))
+    return columns.groupBy("table_name").agg(F.concat("table_name", F.lit("{"), _joined(F.col("column_name"), line, ";"), F.lit("}")).alias("canonical"))
 
 
 def schema_hash(columns: DataFrame) -> DataFrame:
-    return table_hash(columns).agg(text.sha256_upper(_joined(F.col("canonical"), "|")).alias("schema_hash"))
+    """One digest of all tables by name: one text of the whole schema, which is a catalogue, not data."""
+    return table_hash(columns).agg(text.sha256_upper(_joined(F.col("table_name"), F.col("canonical"), "|")).alias("schema_hash"))
+
+
+def schema_totals(columns: DataFrame) -> DataFrame:
+    """How many tables and columns a schema has."""
+    return columns.agg(F.count_distinct("table_name").alias("tables"), F.count("*").alias("columns"))
 
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -68,10 +79,11 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def sarif_rules(found: DataFrame) -> DataFrame:
-    """Each rule with the beginning (up to a colon) of its first message, and its first severity's level; first by ``ord``."""
+    """Each rule with its first message, redacted, as description, what stands before a colon in that as name, and its first severity's level; first by ``ord``."""
     place = F.struct("ord", "message", "severity")
     first = found.groupBy("rule_id").agg(F.min_by("message", place).alias("message"), F.min_by("severity", place).alias("severity"))
-    return first.select("rule_id", F.split("message", ":")[0].alias("description"), text.sarif_level(F.col("severity")).alias("level"))
+    shown = text.redact_sarif(F.coalesce("message", F.lit("")))
+    return first.select("rule_id", F.split(shown, ":")[0].alias("name"), shown.alias("description"), text.sarif_level(F.col("severity")).alias("level"))
 
 
 def sarif_results(found: DataFrame) -> DataFrame:
@@ -79,18 +91,41 @@ def sarif_results(found: DataFrame) -> DataFrame:
 
 
 def safe_properties(properties: Column) -> Column:
-    """Entries of a map whose key is allowed and whose value shows no secret."""
-    return F.map_filter(properties, lambda k, v: k.isin(*SAFE_PROPERTIES) & (text.redact_sarif(v) == v))
+    """Entries of a map whose key is allowed and whose value is null or shows no secret."""
+    return F.map_filter(properties, lambda k, v: k.isin(*SAFE_PROPERTIES) & F.coalesce(text.redact_sarif(v) == v, F.lit(True)))
 
 
-def evidence(found: DataFrame) -> DataFrame:
-    """Redacted findings with their place in the total order (rule, severity, message, ord).
+def numbered(rows: DataFrame, *order: str, name: str = "place", parts: int | None = None) -> DataFrame:
+    """``rows`` with their place (from 1) in the order of all, in column ``name``.
 
-    The place is counted in each rule; a rule's offset is the findings of the rules before it, so no task holds all.
+    Rows go into ranges of the order, whose bounds are taken from a bounded sample of least hash; a task numbers a range's
+    rows, and each range is moved on by the sizes of those before it. So no task holds all rows of a value, however common.
+    ``order`` must tell all rows apart.
     """
-    shown = found.select("ord", "rule_id", F.lower("severity").alias("severity"), text.redact_evidence(F.col("message")).alias("message"))
-    inside = F.row_number().over(Window.partitionBy("rule_id").orderBy("severity", "message", "ord"))
-    return shown.withColumn("place", inside.cast("long"))
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order)
+    sample = sorted(tuple(r[0]) for r in rows.select(key.alias("k")).orderBy(F.xxhash64(*order)).limit(64 * parts).where("k is not null").collect() if None not in tuple(r[0]))
+    bounds = sample[:: max(1, len(sample) // parts)][1:parts]
+    kinds = [rows.schema[c].dataType for c in order]
+    lits = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order, strict=True))) for b in bounds]
+    part = F.size(F.filter(F.array(*lits), lambda b: b <= key)) if lits else F.lit(0)
+    inside = rows.withColumn("__part", part).withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = rows.select(part.alias("__part")).groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return inside.join(F.broadcast(before), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """Redacted findings with their place in the total order (rule, severity, message, ord)."""
+    shown = found.select("ord", "rule_id", text.evidence_severity(F.col("severity")).alias("severity"), text.redact_evidence(F.col("message")).alias("message"))
+    return numbered(shown, "rule_id", "severity", "message", "ord")
+
+
+def all_passed(checks: DataFrame) -> DataFrame:
+    """``checks(name, passed)``: whether all passed (none is all), how many failed, and a line that says so."""
+    failed = F.count_if(~F.col("passed"))
+    summary = F.when(failed == 0, F.concat(F.lit("All "), F.count("*").cast("string"), F.lit(" checks passed"))).otherwise(F.concat(failed.cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" checks failed")))
+    return checks.agg((failed == 0).alias("overall_passed"), failed.alias("failed"), summary.alias("summary"))
 
 
 def first_in(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

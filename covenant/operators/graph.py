@@ -7,14 +7,25 @@ from collections.abc import Mapping, Sequence
 Needs = Mapping[str, Sequence[str]]
 
 
-def check(needs: Needs) -> list[str]:
-    """Errors: rules that are needed but unknown, and cycles."""
-    errors = [f"Rule '{r}' needs unknown rule '{d}'" for r, ds in sorted(needs.items()) for d in ds if d not in needs]
+def check(needs: Needs) -> tuple[list[str], list[str]]:
+    """Errors (cycles) and warnings (rules that are needed but unknown, and rules that neither need nor are needed)."""
+    errors = []
     try:
         levels(needs)
     except ValueError as e:
         errors.append(str(e))
-    return errors
+    warnings = [f"Rule '{r}' depends on missing rule '{d}'" for r, ds in sorted(needs.items()) for d in ds if d not in needs]
+    needed = {d for ds in needs.values() for d in ds}
+    return errors, warnings + [f"Rule '{r}' is isolated (no dependencies or dependents)" for r, ds in sorted(needs.items()) if not ds and r not in needed]
+
+
+def dependents(needs: Needs, rule: str) -> set[str]:
+    """All that need ``rule``, directly or not."""
+    back: dict[str, list[str]] = {}
+    for r, ds in needs.items():
+        for d in ds:
+            back.setdefault(d, []).append(r)
+    return closure(back, rule)
 
 
 def levels(needs: Needs) -> list[list[str]]:

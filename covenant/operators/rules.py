@@ -76,38 +76,49 @@ def last_columns(columns: DataFrame) -> DataFrame:
 
 def nullability(properties: DataFrame, columns: DataFrame) -> DataFrame:
     """``properties(contract_id, name, column_name, is_required)`` against the last column of each name."""
-    both = properties.join(last_columns(columns), F.upper(properties["column_name"]) == F.col("column_key"))
-    wrong = both.where(F.col("is_required") == F.col("is_nullable"))
+    both = properties.join(last_columns(columns).withColumnRenamed("is_nullable", "db_nullable"), F.upper(properties["column_name"]) == F.col("column_key"))
+    wrong = both.where(F.col("is_required") == F.col("db_nullable"))
     message = F.when(F.col("is_required"), F.concat(F.lit("Property '"), "name", F.lit("' is required but database column '"), "column_name", F.lit("' allows NULL"))).otherwise(F.concat(F.lit("Property '"), "name", F.lit("' is nullable but database column '"), "column_name", F.lit("' is NOT NULL")))
     return findings(wrong, "DG005", message)
 
 
 def naming(properties: DataFrame) -> DataFrame:
     snake, pascal = text.snake_case(F.col("name")), text.pascal_case(F.col("name"))
-    wrong = properties.where((F.lower("column_name") != F.lower(snake)) & (F.lower("column_name") != F.lower(pascal)))
+    wrong = properties.where((F.col("column_name") != "") & (F.lower("column_name") != F.lower(snake)) & (F.lower("column_name") != F.lower(pascal)))
     return findings(wrong, "DG006", F.concat(F.lit("Property '"), "name", F.lit("' (PascalCase: '"), pascal, F.lit("', snake_case: '"), snake, F.lit("') doesn't match database column '"), "column_name", F.lit("'")))
 
 
 # ---------------------------------------------------------------- lengths
 
 
-def first_match(properties: DataFrame, columns: DataFrame) -> DataFrame:
-    """Each property (``property_id``) with its entity's first column that has its column name or its name in upper snake case."""
-    left = properties.withColumn("k", F.explode(F.array_distinct(F.array(F.upper("column_name"), F.upper(text.snake_case(F.col("name")))))))
-    right = columns.select(F.upper("column_name").alias("k"), F.col("column_name").alias("db_column"), "data_type", F.col("max_length").alias("db_max_length"), "char_length", "char_used", "table_ord", "col_ord")
-    ranked = left.join(right, "k").withColumn("r", F.row_number().over(Window.partitionBy("property_id").orderBy("table_ord", "col_ord")))
-    return ranked.where("r = 1").drop("r", "k")
+def first_match(properties: DataFrame, columns: DataFrame, by_property: bool = True) -> DataFrame:
+    """Each of ``properties(property_id, table_name, ...)`` with its entity's first column that has its column name or, ``by_property``, its name in upper snake case.
+
+    The table is the first of the entity's table name, whatever the case; entities without a table have no columns.
+    The catalogue becomes one map of columns to a table, so properties aren't shuffled when it is small enough to be sent.
+    """
+    # A struct's first field orders it: of the columns that match, the least place is the first.
+    kept = F.struct("col_ord", F.col("column_name").alias("db_column"), "data_type", F.col("max_length").alias("db_max_length"), "char_length", "char_used")
+    keyed = columns.where(F.col("column_name").isNotNull()).groupBy(F.upper("table_name").alias("table_key"), "table_ord", F.upper("column_name").alias("k")).agg(F.min_by(kept, "col_ord").alias("c"))
+    tables = keyed.groupBy("table_key", "table_ord").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("by_name"))
+    first = tables.groupBy("table_key").agg(F.min_by("by_name", "table_ord").alias("by_name"))
+    both = properties.join(first, F.upper("table_name") == F.col("table_key"))
+    found = F.try_element_at("by_name", F.upper("column_name"))
+    if by_property:
+        found = F.array_min(F.filter(F.array(found, F.try_element_at("by_name", F.upper(text.snake_case(F.col("name"))))), lambda c: c.isNotNull()))
+    return both.withColumn("c", found).where("c is not null").select(*properties.columns, "c.db_column", "c.data_type", "c.db_max_length", "c.char_length", "c.char_used")
 
 
 def too_long(matched: DataFrame, rule: str = "DG007") -> DataFrame:
-    limit = F.coalesce("char_length", "db_max_length")
+    """Longer than the column's characters, or its bytes where it doesn't say; other rules than DG007 know one length only."""
+    limit = F.coalesce("char_length", "db_max_length") if rule == "DG007" else F.col("db_max_length")
     wrong = matched.where(F.col("max_length") > limit)
     return findings(wrong, rule, F.concat(F.lit("Entity property '"), "name", F.lit("' MaxLength="), F.col("max_length").cast("string"), F.lit(" exceeds column '"), "db_column", F.lit("' length="), limit.cast("string")))
 
 
 def too_many_bytes(matched: DataFrame, session: str = "BYTE") -> DataFrame:
     """Where the column counts bytes (or says nothing and the session does), four bytes for each character of a text."""
-    in_bytes = (F.col("char_used") == "B") | ((F.coalesce("char_used", F.lit("")) == "") & F.lit(session == "BYTE"))
+    in_bytes = F.col("char_used").isin("B", "BYTE") | ((F.coalesce("char_used", F.lit("")) == "") & F.lit(session == "BYTE"))
     wide = F.col("max_length") * F.when(F.col("clr_type").isin("string", "System.String"), 4).otherwise(1)
     wrong = matched.where(in_bytes & (wide > F.col("db_max_length")))
     return findings(wrong, "DG008", F.concat(F.lit("Byte overflow risk: property '"), "name", F.lit("' may exceed column '"), "db_column", F.lit(f"' byte capacity in {session} semantics")))
@@ -193,7 +204,7 @@ STATEMENT_RULES = {
     "PG002": lambda: _first_foreign(C.NOT_POSTGRES, "Non-PostgreSQL syntax '{}' used in PostgreSQL context"),
     "DG098": lambda: [(F.contains("upper_text", F.lit("SELECT")) & ~F.contains("upper_text", F.lit("FROM")), F.lit("Raw SQL query missing FROM clause"))],
     "DG099": lambda: [(text.contains_any(F.col("upper_text"), C.INJECTION_PATTERNS), F.lit("Potential SQL injection pattern detected"))],
-    "DG101": lambda: [(F.lower(F.trim("sql_text")).rlike(r"^(exec|execute) ") & (F.regexp_count("sql_text", F.lit(r"@\w+")) == 0), F.lit("Stored procedure call appears to have no parameters detected"))],
+    "DG101": lambda: [(F.col("sql_text").rlike(r"(?iU)^\s*(exec|execute) ") & (F.regexp_count("sql_text", F.lit(r"(?U)@\w+")) == 0), F.lit("Stored procedure call appears to have no parameters detected"))],
 }
 
 
@@ -233,24 +244,29 @@ def phantom_tables(statements: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def _unknown_columns(used: DataFrame, columns: DataFrame) -> DataFrame:
-    tables = columns.select(F.upper("table_name").alias("table_name")).distinct()
-    known = columns.select(F.upper("table_name").alias("table_name"), F.upper("column_name").alias("column_name")).distinct()
-    lost = used.join(tables, "table_name", "left_semi").join(known, ["table_name", "column_name"], "left_anti")
+    """Of ``used(contract_id, table_name, column_name)`` what a table of the schema lacks: one join, with each table's set of columns."""
+    sets = columns.groupBy(F.upper("table_name").alias("table_name")).agg(F.collect_set(F.upper("column_name")).alias("known"))
+    lost = used.join(sets, "table_name").where(~F.array_contains("known", F.col("column_name")))
     return findings(lost, "DG016", F.concat(F.lit("Column '"), "column_name", F.lit("' does not exist in table '"), "table_name", F.lit("'")))
 
 
 def phantom_qualified(statements: DataFrame, columns: DataFrame) -> DataFrame:
-    """``alias.column`` whose first table of that alias or name has no such column."""
-    refs = sqltext.table_refs(statements)
-    keys = refs.select("contract_id", "ord", "table_name", F.explode(F.array_distinct(F.array("alias", "table_name"))).alias("qualifier")).where("qualifier <> ''")
-    first = keys.groupBy("contract_id", "qualifier").agg(F.min_by("table_name", "ord").alias("table_name"))
-    return _unknown_columns(sqltext.qualified_columns(statements).join(first, ["contract_id", "qualifier"]), columns)
+    """``alias.column`` whose first table of that alias or name has no such column. Aliases are resolved inside each statement."""
+    parsed = statements.select("contract_id", sqltext.refs_of().alias("refs"), sqltext.qualified_of().alias("used")).where("size(refs) > 0 and size(used) > 0")
+
+    def resolved(x: Column) -> Column:
+        own = F.filter("refs", lambda r: (r["alias"] == x["qualifier"]) | (r["table_name"] == x["qualifier"]))
+        return F.struct(F.try_element_at(own, F.lit(1))["table_name"].alias("table_name"), x["column_name"].alias("column_name"))
+
+    used = parsed.select("contract_id", F.explode(F.transform("used", resolved)).alias("x")).select("contract_id", "x.*").where("table_name is not null")
+    return _unknown_columns(used, columns)
 
 
 def phantom_selected(statements: DataFrame, columns: DataFrame) -> DataFrame:
     """Plain columns of the SELECT list that the statement's first table lacks."""
-    first = sqltext.table_refs(statements).where("ord = 0").select("contract_id", "table_name")
-    return _unknown_columns(sqltext.selected_columns(statements).join(first, "contract_id"), columns)
+    first = statements.select(F.struct("contract_id", F.try_element_at(sqltext.refs_of(), F.lit(1))["table_name"].alias("table_name")).alias("contract_id"), "sql_text")
+    used = sqltext.selected_columns(first.where("contract_id.table_name is not null")).select("contract_id.*", "column_name")
+    return _unknown_columns(used, columns)
 
 
 # ---------------------------------------------------------------- security
@@ -270,15 +286,37 @@ def audit_sources(sources: DataFrame) -> DataFrame:
     return sources.select("target", flag(shell).alias("command_injection"), flag(dynamic).alias("dynamic_code"), flag(request).alias("request_forgery"), flag(path).alias("path_traversal"), score.alias("score"), ((score >= 70) & ~shell & ~dynamic).alias("is_safe"), tools.alias("tools"))
 
 
-SECRET_PATTERNS = {"aws_key": r"AKIA[0-9A-Z]{16}", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "github_token": r"gh[pousr]_[A-Za-z0-9]{20,}", "slack_token": r"xox[baprs]-[A-Za-z0-9-]{10,}", "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", "assignment": r"(?i)(password|passwd|secret|api[_-]?key|token)\s*[=:]\s*[^\s]{6,}"}
+# What a line holds that looks like a secret.
+SECRET_PATTERNS = {
+    "github_token": r"ghp_[A-Za-z0-9]{20,}",
+    "github_fine_token": r"github_pat_[A-Za-z0-9_]{20,}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "sk_key": r"sk-[A-Za-z0-9]{20,}",
+    "slack_token": r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "google_key": r"AIza[0-9A-Za-z_-]{35}",
+    "private_key": r"-----BEGIN (RSA|OPENSSH|EC|PGP) PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    "quoted_value": r"""(api[_-]?key|secret|password|passwd|token)[ \t\r\f\v]*[:=][ \t\r\f\v]*["'][^"'\n]{8,}["']""",
+    "plain_value": r"(api[_-]?key|secret|password|passwd|token)[ \t\r\f\v]*[:=][ \t\r\f\v]*[A-Za-z0-9+/]{16,}",
+}
+# Names of files that hold keys or settings.
+SENSITIVE_NAMES = (r"\.env$", r"\.env\.", r"\.pem$", r"\.key$", r"\.p12$", r"\.pfx$", r"id_rsa$", r"id_ed25519$", r"\.p8$", r"\.ppk$", r"appsettings\.json$", r"appsettings\..*\.json$", r"\.crt$", r"\.cer$")
+LARGE_FILE = 104857600
 
 
 def find_secrets(sources: DataFrame) -> DataFrame:
-    """(target, kind) for each kind of secret that a source shows."""
+    """(target, kind) for each kind of secret that a source shows. Patterns stay inside a line."""
     kinds = F.filter(F.array(*(F.when(F.col("source").rlike(p), F.lit(k)) for k, p in SECRET_PATTERNS.items())), lambda k: k.isNotNull())
     return sources.select("target", F.explode(kinds).alias("kind"))
 
 
+def file_hygiene(files: DataFrame) -> DataFrame:
+    """(path, problem) of ``files(path, size)``: names that hold secrets, and files beyond 100 MB."""
+    sensitive = F.col("path").rlike("|".join(SENSITIVE_NAMES))
+    found = F.filter(F.array(F.when(sensitive, "sensitive"), F.when(F.col("size") > LARGE_FILE, "large")), lambda p: p.isNotNull())
+    return files.select("path", F.explode(found).alias("problem"))
+
+
 CALL_KINDS = {"raw_query": ("FromSqlRaw", "FromSqlInterpolated"), "raw_command": ("ExecuteSqlRaw", "ExecuteSqlRawAsync", "ExecuteSqlInterpolated", "ExecuteSqlInterpolatedAsync")}
 
 
@@ -286,3 +324,47 @@ def call_kind(method: Column) -> Column:
     """What a call does with SQL, by its name; null if nothing."""
     exact = F.when(method.isin(*CALL_KINDS["raw_query"]), "raw_query").when(method.isin(*CALL_KINDS["raw_command"]), "raw_command")
     return exact.when(method.startswith("Query"), "query").when(method.startswith("Execute"), "execute")
+
+
+#: Words that make a text a statement.
+SQL_KEYWORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "EXEC", "BEGIN", "WITH", "MERGE")
+_CALL = r'(?s)((?://[^\n]*\n\s*)*)[^\n;{}]*?\.(FromSqlRaw|FromSqlInterpolated|ExecuteSqlRaw|ExecuteSqlRawAsync|ExecuteSqlInterpolated|ExecuteSqlInterpolatedAsync|Query\w*|Execute\w*)(?:<[^>\n]*>)?\(\s*(?:[$@]*"((?:[^"\\]|\\.)*)")?'
+
+
+def call_sites(sources: DataFrame, marker: str = "covenant:") -> DataFrame:
+    """(target, ord, method, kind, sql_text) of calls in C# ``sources(target, source)`` that hand SQL over.
+
+    A call counts if its first argument is a text with a word of SQL, or if its name is a query's or a command's of a mapper.
+    A line comment before the statement that holds ``marker`` says that the call is known, and it is passed over.
+    """
+    group = lambda k: F.regexp_extract_all("source", F.lit(_CALL), F.lit(k))
+    rows = sources.select("target", F.posexplode(F.arrays_zip(group(1).alias("note"), group(2).alias("method"), group(3).alias("sql"))).alias("ord", "x"))
+    rows = rows.select("target", "ord", F.col("x.note").alias("note"), F.col("x.method").alias("method"), call_kind(F.col("x.method")).alias("kind"), F.coalesce("x.sql", F.lit("")).alias("sql_text"))
+    says_sql = text.contains_any(F.col("sql_text"), SQL_KEYWORDS) | F.col("kind").isin("query", "execute")
+    return rows.where(says_sql & ~F.contains("note", F.lit(marker))).drop("note")
+
+
+def unvalidated_calls(sources: DataFrame, marker: str = "covenant:") -> DataFrame:
+    """DG001 for every call site: (contract_id, rule_id, severity, message), the contract being the source."""
+    return findings(call_sites(sources, marker).withColumnRenamed("target", "contract_id"), "DG001", F.concat(F.lit("SQL call '"), "method", F.lit("' not validated - run 'covenant validate' for full validation")))
+
+
+def procedure_prefix(statements: DataFrame) -> DataFrame:
+    """Calls of procedures, as far as leading white space hides it, must begin with EXEC or EXECUTE themselves."""
+    call = F.col("sql_text").rlike(r"(?iU)^\s*(exec|execute) ")
+    wrong = statements.where(call & ~F.col("sql_text").rlike(r"(?i)^(exec|execute) "))
+    return wrong.select("contract_id", F.lit("DG002").alias("rule_id"), F.lit("Warning").alias("severity"), F.lit("Stored procedure call must start with EXEC or EXECUTE").alias("message"))
+
+
+def provider_mismatch(contexts: DataFrame) -> DataFrame:
+    """``contexts(contract_id, is_oracle, provider)``: DG012 where Oracle is used through another provider."""
+    wrong = contexts.where(F.col("is_oracle") & ~F.contains(F.lower("provider"), F.lit("oracle")))
+    return findings(wrong, "DG012", F.concat(F.lit("Oracle context detected but provider is '"), "provider", F.lit("'. Expected Oracle provider.")))
+
+
+def schema_unmapped_types(columns: DataFrame) -> DataFrame:
+    """DG014 of a whole schema, as one text of its types and names: one finding for each type at most, with the contract ''."""
+    one = columns.select(F.concat_ws(" ", "data_type", "column_name").alias("t"))
+    tests = F.array(*(F.struct(F.lit(t).alias("type"), F.max(F.coalesce(F.col("t").rlike(text.word_pattern(t)), F.lit(False)).cast("int")).alias("n")) for t in C.UNMAPPED_TYPES))
+    hit = one.agg(F.filter(tests, lambda x: x["n"] == 1).alias("x")).select(F.explode("x").alias("x")).select(F.lit("").alias("contract_id"), F.col("x.type").alias("type"))
+    return findings(hit, "DG014", F.concat(F.lit("Type '"), "type", F.lit("' used with Oracle EF Core raw SQL but not mapped by provider")))

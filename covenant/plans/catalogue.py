@@ -64,7 +64,16 @@ def _has(w: str, column: str = "sql_text") -> str:
 
 # ---------------------------------------------------------------- rules
 
-query("dg101_exec_no_params", _finding("DG101", "'Stored procedure call appears to have no parameters detected'", r"FROM $statements WHERE regexp_matches(lower(trim(sql_text)), '^(exec|execute) ') AND NOT regexp_matches(sql_text, '@\w+')"), "statements")(rules.call_without_parameters)
+# What .NET counts as a letter of a word; RE2's own \w is ASCII's.
+_W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+
+
+def _unicode(pattern: str) -> str:
+    """A pattern of the engine for RE2, which has no flag for Unicode's classes."""
+    return pattern.replace("[\\w]", _W).replace("\\w", _W).replace("U)", ")", 1)
+
+
+query("dg101_exec_no_params", _finding("DG101", "'Stored procedure call appears to have no parameters detected'", rf"FROM $statements WHERE regexp_matches(sql_text, '(?i)^\s*(exec|execute) ') AND NOT regexp_matches(sql_text, '@{_W}+')"), "statements")(rules.call_without_parameters)
 
 
 def _type_rows(table: dict, oracle: bool) -> str:
@@ -102,15 +111,31 @@ query(
     "columns",
 )(rules.nullability)
 _SNAKE = "lower(concat(substr(name, 1, 1), regexp_replace(substr(name, 2), '([A-Z])', '_\\1', 'g')))"
-_PASCAL = "list_aggregate(list_transform(list_filter(regexp_split_to_array(name, '[_\\-.]'), lambda x: x <> ''), lambda x: concat(upper(x[1:1]), lower(x[2:]))), 'string_agg', '')"
-query("dg006_naming", _finding("DG006", f"concat('Property ''', name, ''' (PascalCase: ''', {_PASCAL}, ''', snake_case: ''', {_SNAKE}, ''') doesn''t match database column ''', column_name, '''')", f"FROM $properties WHERE lower(column_name) <> {_SNAKE} AND lower(column_name) <> lower({_PASCAL})"), "properties")(rules.naming)
-_MATCHED = f"WITH ranked AS (SELECT p.*, c.column_name AS db_column, c.data_type, c.max_length AS db_max, c.char_length, c.char_used, row_number() OVER (PARTITION BY property_id ORDER BY table_ord, col_ord) AS r FROM (SELECT *, upper({_SNAKE}) AS sn FROM $properties) p JOIN $columns c ON upper(c.column_name) = upper(p.column_name) OR upper(c.column_name) = p.sn), matched AS (SELECT * FROM ranked WHERE r = 1) "
-_LONG = "concat('Entity property ''', name, ''' MaxLength=', CAST(max_length AS VARCHAR), ' exceeds column ''', db_column, ''' length=', CAST(coalesce(char_length, db_max) AS VARCHAR))"
-for _key, _rule in (("dg007_length", "DG007"), ("my003_length", "MY003"), ("pg003_length", "PG003")):
-    query(_key, _MATCHED + _finding(_rule, _LONG, "FROM matched WHERE max_length > coalesce(char_length, db_max)"), "properties", "columns")(lambda p, c, rule=_rule: rules.too_long(rules.first_match(p, c), rule))
+_PASCAL = "coalesce(list_aggregate(list_transform(list_filter(regexp_split_to_array(name, '[_\\-.]'), lambda x: x <> ''), lambda x: concat(upper(x[1:1]), lower(x[2:]))), 'string_agg', ''), '')"
+query("dg006_naming", _finding("DG006", f"concat('Property ''', name, ''' (PascalCase: ''', {_PASCAL}, ''', snake_case: ''', {_SNAKE}, ''') doesn''t match database column ''', column_name, '''')", f"FROM $properties WHERE column_name <> '' AND lower(column_name) <> {_SNAKE} AND lower(column_name) <> lower({_PASCAL})"), "properties")(rules.naming)
+# From the rule's definition: the first table of the entity's name, then that table's first column of either name.
+_OF_TABLE = "WITH own AS (SELECT p.*, (SELECT min(c.table_ord) FROM $columns c WHERE upper(c.table_name) = upper(p.table_name)) AS t FROM $properties p WHERE p.table_name <> ''), "
+_KEPT = "own.*, c.column_name AS db_column, c.data_type, c.max_length AS db_max, c.char_length, c.char_used, row_number() OVER (PARTITION BY property_id ORDER BY c.col_ord) AS r"
+_MATCHED = _OF_TABLE + f"matched AS (SELECT * FROM (SELECT {_KEPT} FROM own JOIN $columns c ON c.table_ord = own.t AND (upper(c.column_name) = upper(own.column_name) OR upper(c.column_name) = upper({_SNAKE.replace('name', 'own.name')}))) WHERE r = 1) "
+_NAMED = _OF_TABLE + f"matched AS (SELECT * FROM (SELECT {_KEPT} FROM own JOIN $columns c ON c.table_ord = own.t AND upper(c.column_name) = upper(own.column_name)) WHERE r = 1) "
+
+
+def _long(limit: str) -> str:
+    return f"concat('Entity property ''', name, ''' MaxLength=', CAST(max_length AS VARCHAR), ' exceeds column ''', db_column, ''' length=', CAST({limit} AS VARCHAR))"
+
+
+query("dg007_length", _MATCHED + _finding("DG007", _long("coalesce(char_length, db_max)"), "FROM matched WHERE max_length > coalesce(char_length, db_max)"), "properties", "columns")(lambda p, c: rules.too_long(rules.first_match(p, c)))
+for _key, _rule in (("my003_length", "MY003"), ("pg003_length", "PG003")):
+    query(_key, _NAMED + _finding(_rule, _long("db_max"), "FROM matched WHERE max_length > db_max"), "properties", "columns")(lambda p, c, rule=_rule: rules.too_long(rules.first_match(p, c, by_property=False), rule))
 query("first_match_join", _MATCHED + "SELECT property_id, db_column, data_type FROM matched", "properties", "columns")(lambda p, c: rules.first_match(p, c).select("property_id", "db_column", "data_type"))
-query("dg008_byte_overflow", _MATCHED + _finding("DG008", "concat('Byte overflow risk: property ''', name, ''' may exceed column ''', db_column, ''' byte capacity in BYTE semantics')", "FROM matched WHERE (char_used = 'B' OR coalesce(char_used, '') = '') AND max_length * CASE WHEN clr_type = 'string' THEN 4 ELSE 1 END > db_max"), "properties", "columns")(lambda p, c: rules.too_many_bytes(rules.first_match(p, c)))
-query("dg009_inferred_fallback", _MATCHED + _finding("DG009", "concat('EF Core will infer NVARCHAR2(2000) for property ''', name, ''' (no MaxLength set, Unicode=true) but Oracle column ''', db_column, ''' is ', data_type, '. If values exceed 2000 characters, ORA-12899 ''value too large for column'' will occur at runtime. Consider setting explicit MaxLength or using NCLOB column type.')", "FROM matched WHERE max_length IS NULL AND clr_type = 'string' AND data_type IN ('CLOB', 'NCLOB')"), "properties", "columns")(lambda p, c: rules.inferred_length(rules.first_match(p, c)))
+query("dg008_byte_overflow", _MATCHED + _finding("DG008", "concat('Byte overflow risk: property ''', name, ''' may exceed column ''', db_column, ''' byte capacity in BYTE semantics')", "FROM matched WHERE (char_used IN ('B', 'BYTE') OR coalesce(char_used, '') = '') AND max_length * CASE WHEN clr_type = 'string' THEN 4 ELSE 1 END > db_max"), "properties", "columns")(lambda p, c: rules.too_many_bytes(rules.first_match(p, c)))
+query("dg008_char_session", _MATCHED + _finding("DG008", "concat('Byte overflow risk: property ''', name, ''' may exceed column ''', db_column, ''' byte capacity in CHAR semantics')", "FROM matched WHERE char_used IN ('B', 'BYTE') AND max_length * CASE WHEN clr_type = 'string' THEN 4 ELSE 1 END > db_max"), "properties", "columns")(lambda p, c: rules.too_many_bytes(rules.first_match(p, c), "CHAR"))
+query(
+    "dg009_inferred_fallback",
+    _MATCHED + _finding("DG009", "concat('EF Core will infer NVARCHAR2(2000) for property ''', name, ''' (no MaxLength set, Unicode=true) but Oracle column ''', db_column, ''' is ', data_type, '. If values exceed 2000 characters, ORA-12899 ''value too large for column'' will occur at runtime. Consider setting explicit MaxLength or using NCLOB column type.')", "FROM matched WHERE max_length IS NULL AND clr_type = 'string' AND data_type IN ('CLOB', 'NCLOB')"),
+    "properties",
+    "columns",
+)(lambda p, c: rules.inferred_length(rules.first_match(p, c)))
 query("infer_column_type", "WITH p AS (SELECT property_id, clr_type = 'string' AS u, max_length * 12 AS m FROM $properties) SELECT property_id, CASE WHEN m IS NULL THEN CASE WHEN u THEN 'NVARCHAR2(2000)' ELSE 'VARCHAR2(2000)' END WHEN m > 4000 THEN CASE WHEN u THEN 'NCLOB' ELSE 'CLOB' END ELSE concat(CASE WHEN u THEN 'NVARCHAR2(' ELSE 'VARCHAR2(' END, CAST(m AS VARCHAR), ')') END AS inferred FROM p", "properties")(lambda p: p.select("property_id", rules.inferred_type(F.col("clr_type") == "string", F.col("max_length") * 12).alias("inferred")))
 
 query("dg010_oracle_tokens", _words("DG010", [(_word(k), f"Oracle-specific keyword '{k}' used in non-Oracle context") for k in C.ORACLE_KEYWORDS] + [(_has(o), f"Oracle-specific operator '{o}' used in non-Oracle context") for o in C.ORACLE_OPERATORS]), "statements")(rules.oracle_elsewhere)
@@ -127,22 +152,22 @@ for _key, _rule, _list, _text, _plan in (
     query(_key, f"WITH f AS (SELECT contract_id, {_case} AS w FROM $statements) " + _finding(_rule, f"concat({_lit(_text[0])}, w, {_lit(_text[1])})", "FROM f WHERE w IS NOT NULL"), "statements")(_plan)
 
 _STOP = "(" + ", ".join(map(_lit, C.ALIAS_STOP_WORDS)) + ")"
-_REFS = rf"""refs AS (SELECT contract_id, i - 1 AS ord, upper(list_last(string_split(ts[i], '.'))) AS table_name, CASE WHEN upper(coalesce(al[i], '')) IN {_STOP} THEN '' ELSE upper(coalesce(al[i], '')) END AS alias FROM (SELECT contract_id, regexp_extract_all(sql_text, '{sqltext.TABLE_PATTERN}', 1) AS ts, regexp_extract_all(sql_text, '{sqltext.TABLE_PATTERN}', 2) AS al FROM $statements) x, unnest(range(1, len(ts) + 1)) AS u(i))"""
+_REFS = rf"""refs AS (SELECT contract_id, i - 1 AS ord, upper(list_last(string_split(ts[i], '.'))) AS table_name, CASE WHEN upper(coalesce(al[i], '')) IN {_STOP} THEN '' ELSE upper(coalesce(al[i], '')) END AS alias FROM (SELECT contract_id, regexp_extract_all(sql_text, '{_unicode(sqltext.TABLE_PATTERN)}', 1) AS ts, regexp_extract_all(sql_text, '{_unicode(sqltext.TABLE_PATTERN)}', 2) AS al FROM $statements) x, unnest(range(1, len(ts) + 1)) AS u(i))"""
 query("table_references", f"WITH {_REFS} SELECT contract_id, CAST(ord AS INT) AS ord, table_name, alias FROM refs", "statements")(sqltext.table_refs)
-_DG015 = f"WITH {_REFS}, ctes AS (SELECT contract_id, upper(unnest(regexp_extract_all(sql_text, '{sqltext.CTE_PATTERN}', 1))) AS n FROM $statements) " + _finding("DG015", "concat('Table ''', table_name, ''' does not exist in database')", "FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ctes WHERE ctes.contract_id = r.contract_id AND ctes.n = r.table_name) AND table_name NOT IN (SELECT upper(table_name) FROM $columns)")
+_DG015 = f"WITH {_REFS}, ctes AS (SELECT contract_id, upper(unnest(regexp_extract_all(sql_text, '{_unicode(sqltext.CTE_PATTERN)}', 1))) AS n FROM $statements) " + _finding("DG015", "concat('Table ''', table_name, ''' does not exist in database')", "FROM refs r WHERE NOT EXISTS (SELECT 1 FROM ctes WHERE ctes.contract_id = r.contract_id AND ctes.n = r.table_name) AND table_name NOT IN (SELECT upper(table_name) FROM $columns)")
 query("dg015_phantom_table", _DG015, "statements", "columns")(rules.phantom_tables)
 _LOST = " AND table_name IN (SELECT upper(table_name) FROM $columns) AND NOT EXISTS (SELECT 1 FROM $columns c WHERE upper(c.table_name) = x.table_name AND upper(c.column_name) = x.col)"
 _COLUMN = "concat('Column ''', col, ''' does not exist in table ''', table_name, '''')"
 query(
     "dg016_phantom_column",
-    f"WITH {_REFS}, keys AS (SELECT contract_id, q, arg_min(table_name, ord) AS table_name FROM (SELECT contract_id, ord, table_name, alias AS q FROM refs UNION ALL SELECT contract_id, ord, table_name, table_name FROM refs) WHERE q <> '' GROUP BY 1, 2), used AS (SELECT contract_id, upper(qs[i]) AS q, upper(cs[i]) AS col FROM (SELECT contract_id, regexp_extract_all(sql_text, '{sqltext.QUALIFIED_PATTERN}', 1) AS qs, regexp_extract_all(sql_text, '{sqltext.QUALIFIED_PATTERN}', 2) AS cs FROM $statements) y, unnest(range(1, len(qs) + 1)) AS u(i)), x AS (SELECT used.contract_id, table_name, col FROM used JOIN keys USING (contract_id, q)) "
+    f"WITH {_REFS}, keys AS (SELECT contract_id, q, arg_min(table_name, ord) AS table_name FROM (SELECT contract_id, ord, table_name, alias AS q FROM refs UNION ALL SELECT contract_id, ord, table_name, table_name FROM refs) WHERE q <> '' GROUP BY 1, 2), used AS (SELECT contract_id, upper(qs[i]) AS q, upper(cs[i]) AS col FROM (SELECT contract_id, regexp_extract_all(sql_text, '{_unicode(sqltext.QUALIFIED_PATTERN)}', 1) AS qs, regexp_extract_all(sql_text, '{_unicode(sqltext.QUALIFIED_PATTERN)}', 2) AS cs FROM $statements) y, unnest(range(1, len(qs) + 1)) AS u(i)), x AS (SELECT used.contract_id, table_name, col FROM used JOIN keys USING (contract_id, q)) "
     + _finding("DG016", _COLUMN, "FROM x WHERE true" + _LOST),
     "statements",
     "columns",
 )(rules.phantom_qualified)
 query(
     "dg016_unqualified",
-    f"WITH {_REFS}, parts AS (SELECT contract_id, trim(unnest(string_split(regexp_extract(sql_text, '{sqltext.SELECT_PATTERN}', 1), ','))) AS part FROM $statements), named AS (SELECT contract_id, upper(list_last(regexp_split_to_array(trim(regexp_replace(part, '(?i)^.*? AS ', '')), '\\s+'))) AS col FROM parts WHERE part <> '' AND NOT regexp_matches(part, '[*.(+\\-/]')), x AS (SELECT n.contract_id, r.table_name, n.col FROM named n JOIN refs r ON r.contract_id = n.contract_id AND r.ord = 0 WHERE regexp_matches(col, '^[A-Z_]\\w*$') AND col NOT IN {_STOP}) "
+    f"WITH {_REFS}, parts AS (SELECT contract_id, regexp_replace(unnest(string_split(regexp_extract(sql_text, '{_unicode(sqltext.SELECT_PATTERN)}', 1), ',')), '^\\s+|\\s+$', '', 'g') AS part FROM $statements), named AS (SELECT contract_id, upper(list_last(list_filter(regexp_split_to_array(regexp_replace(part, '(?is)^.*? AS ', ''), '\\s+'), lambda t: t <> ''))) AS col FROM parts WHERE part <> '' AND NOT regexp_matches(part, '[*.(+\\-/]')), x AS (SELECT n.contract_id, r.table_name, n.col FROM named n JOIN refs r ON r.contract_id = n.contract_id AND r.ord = 0 WHERE regexp_matches(col, '^[A-Z_]{_W}*$') AND col NOT IN {_STOP}) "
     + _finding("DG016", _COLUMN, "FROM x WHERE true" + _LOST),
     "statements",
     "columns",
@@ -169,23 +194,30 @@ query("findings_per_contract", "SELECT contract_id, count(*) AS findings, CAST(c
 query("cross_rules_rollup", f"SELECT {_SEVERITIES}, coalesce(bool_or(severity = 'Error'), false) AS has_errors FROM (" + " UNION ALL ".join((_finding("DG098", "'x'", "FROM $statements WHERE contains(lower(sql_text), 'select') AND NOT contains(lower(sql_text), 'from')"), _finding("DG099", "'x'", "FROM $statements WHERE " + " OR ".join(_has(p) for p in C.INJECTION_PATTERNS)), _words("DG014", [(_word(t), "x") for t in C.UNMAPPED_TYPES]))) + ")", "statements")(lambda s: engine.rollup(engine.united([rules.select_without_from(s), rules.injection(s), rules.unmapped_types(s)])))
 query("finding_cap", "SELECT * FROM $findings ORDER BY rule_id, message, contract_id LIMIT 100", "findings")(lambda f: engine.capped(f, 100))
 query("baseline_new_only", "SELECT rule_id, message, ord, contract_id, severity FROM $findings f WHERE NOT EXISTS (SELECT 1 FROM $baseline b WHERE b.rule_id = f.rule_id AND b.message = f.message)", "findings", "baseline")(engine.new_findings)
-query("finding_hash", "SELECT contract_id, substr(upper(sha256(string_agg(concat(rule_id, ':', message), '|' ORDER BY concat(rule_id, ':', message)))), 1, 16) AS finding_hash FROM $findings GROUP BY contract_id", "findings")(lambda f: engine.finding_hash(f, "contract_id"))
-_CANON = "concat_ws(',', column_name, data_type, CASE WHEN is_nullable THEN 'True' ELSE 'False' END, coalesce(CAST(precision AS VARCHAR), 'null'), coalesce(CAST(max_length AS VARCHAR), 'null'), coalesce(CAST(scale AS VARCHAR), 'null'))"
-_TABLE = f"SELECT table_name, concat(table_name, '{{', string_agg({_CANON}, ';' ORDER BY {_CANON}), '}}') AS canonical FROM $snapshot GROUP BY table_name"
+query("finding_hash", "SELECT contract_id, substr(upper(sha256(string_agg(concat(rule_id, ':', message), '|' ORDER BY rule_id, message))), 1, 16) AS finding_hash FROM $findings GROUP BY contract_id", "findings")(lambda f: engine.finding_hash(f, "contract_id"))
+_CANON = "concat_ws(',', column_name, data_type, CASE WHEN is_nullable THEN 'True' ELSE 'False' END, coalesce(CAST(max_length AS VARCHAR), 'null'), coalesce(CAST(precision AS VARCHAR), 'null'), coalesce(CAST(scale AS VARCHAR), 'null'))"
+_TABLE = f"SELECT table_name, concat(table_name, '{{', string_agg({_CANON}, ';' ORDER BY column_name), '}}') AS canonical FROM $snapshot GROUP BY table_name"
 query("table_hash", _TABLE, "snapshot")(engine.table_hash)
-query("schema_hash", f"SELECT upper(sha256(string_agg(canonical, '|' ORDER BY canonical))) AS schema_hash FROM ({_TABLE})", "snapshot")(engine.schema_hash)
+query("schema_hash", f"SELECT upper(sha256(string_agg(canonical, '|' ORDER BY table_name))) AS schema_hash FROM ({_TABLE})", "snapshot")(engine.schema_hash)
 query("schema_drift_diff", "SELECT * FROM (SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.table_name IS NULL THEN 'added' WHEN b.table_name IS NULL THEN 'removed' WHEN a.data_type IS DISTINCT FROM b.data_type OR a.max_length IS DISTINCT FROM b.max_length OR a.is_nullable IS DISTINCT FROM b.is_nullable THEN 'changed' END AS change FROM $snapshot a FULL JOIN $later_snapshot b ON a.table_name = b.table_name AND a.column_name = b.column_name) WHERE change IS NOT NULL", "snapshot", "later_snapshot")(engine.drift)
 _LEVEL = "CASE severity WHEN 'Error' THEN 'error' WHEN 'Warning' THEN 'warning' WHEN 'Info' THEN 'note' ELSE 'none' END"
-query("sarif_rules_groupby", f"SELECT rule_id, string_split(message, ':')[1] AS description, {_LEVEL} AS level FROM (SELECT rule_id, arg_min(message, struct_pack(ord, message, severity)) AS message, arg_min(severity, struct_pack(ord, message, severity)) AS severity FROM $findings GROUP BY rule_id)", "findings")(engine.sarif_rules)
+_SAFE = "CASE WHEN (starts_with(message, 'eyJ') AND length(message) > 20) OR " + " OR ".join(_has(w, "message") for w in C.SARIF_SENSITIVE) + " THEN '[REDACTED]' ELSE message END"
+query("sarif_rules_groupby", f"SELECT rule_id, string_split({_SAFE}, ':')[1] AS name, {_SAFE} AS description, {_LEVEL} AS level FROM (SELECT rule_id, arg_min(message, ord) AS message, arg_min(severity, ord) AS severity FROM $findings GROUP BY rule_id)", "findings")(engine.sarif_rules)
 query("sarif_results", f"SELECT ord, rule_id AS rule, {_LEVEL} AS level, CASE WHEN (starts_with(message, 'eyJ') AND length(message) > 20) OR " + " OR ".join(_has(w, "message") for w in C.SARIF_SENSITIVE) + " THEN '[REDACTED]' ELSE message END AS message FROM $findings", "findings")(engine.sarif_results)
-query("evidence_order", "WITH s AS (SELECT ord, rule_id, lower(severity) AS severity, CASE WHEN " + " OR ".join(_has(w, "message") for w in C.EVIDENCE_SENSITIVE) + " THEN '[REDACTED]' ELSE message END AS message FROM $findings) SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY severity, message, ord) AS place FROM s", "findings")(engine.evidence)
+query("evidence_order", "WITH s AS (SELECT ord, rule_id, lower(severity) AS severity, CASE WHEN " + " OR ".join(_has(w, "message") for w in C.EVIDENCE_SENSITIVE) + " THEN '[REDACTED]' ELSE message END AS message FROM $findings) SELECT *, row_number() OVER (ORDER BY rule_id, severity, message, ord) AS place FROM s", "findings")(engine.evidence)
 query("redact_pairs", r"SELECT target, sha256(regexp_replace(source, '(?i)(password|pwd|token|secret|api[_-]?key)(\s*[=:]\s*)[^\s;,]+', '\1\2[REDACTED]', 'g')) AS shown FROM $sources", "sources")(lambda s: s.select("target", F.sha2(text.redact_pairs(F.col("source")), 256).alias("shown")))
 query("mask_value", "SELECT ord, CASE WHEN v IS NULL OR v = '' THEN '<empty>' WHEN length(v) <= 8 THEN '****' ELSE concat(left(v, 4), '****', right(v, 4)) END AS masked FROM (SELECT ord, CASE CAST(ord % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN rule_id ELSE message END AS v FROM $findings)", "findings")(lambda f: f.select("ord", text.mask_value(F.expr("CASE CAST(ord % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN rule_id ELSE message END")).alias("masked")))
 _MAP = [("column", "rule_id"), ("secret_note", "severity"), ("type", "message")]
 query("safe_properties", "WITH m AS (SELECT ord, k, v FROM (" + " UNION ALL ".join(f"SELECT ord, '{k}' AS k, {c} AS v FROM $findings" for k, c in _MAP) + ")) SELECT ord, k AS key, v AS value FROM m WHERE k IN ('column', 'type') AND NOT (" + " OR ".join(_has(w, "v") for w in C.SARIF_SENSITIVE) + ")", "findings")(lambda f: f.select("ord", F.explode(engine.safe_properties(F.create_map(*(x for k, c in _MAP for x in (F.lit(k), F.col(c))))))))
 query("snake_case", f"SELECT property_id, {_SNAKE} AS snake, upper({_SNAKE}) AS upper_snake FROM $properties", "properties")(lambda p: p.select("property_id", text.snake_case(F.col("name")).alias("snake"), F.upper(text.snake_case(F.col("name"))).alias("upper_snake")))
 query("pascal_case", f"SELECT property_id, {_PASCAL.replace('name', 'column_name')} AS pascal FROM $properties", "properties")(lambda p: p.select("property_id", text.pascal_case(F.col("column_name")).alias("pascal")))
-query("shape_columns", "WITH c AS (SELECT contract_id, unnest(string_split(trim(regexp_extract(sql_text, '" + sqltext.SHAPE_PATTERN + "', 1)), ',')) AS part FROM $statements), t AS (SELECT contract_id, regexp_split_to_array(trim(part), '\\s+') AS tokens FROM c WHERE trim(part) <> '' AND NOT regexp_matches(part, '[*.(+\\-/]')), n AS (SELECT contract_id, CASE WHEN p > 0 AND p < len(tokens) THEN tokens[p + 1] ELSE list_last(tokens) END AS n FROM (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: upper(x)), 'AS'), 0) AS p FROM t)) SELECT DISTINCT contract_id, lower(n) AS column_name FROM n WHERE upper(n) NOT IN (" + ", ".join(map(_lit, C.SHAPE_STOP_WORDS)) + ")", "statements")(sqltext.shape_columns)
+query(
+    "shape_columns",
+    f"WITH c AS (SELECT contract_id, regexp_replace(unnest(string_split(regexp_extract(sql_text, '{_unicode(sqltext.SHAPE_PATTERN)}', 1), ',')), '^\\s+|\\s+$', '', 'g') AS part FROM $statements), t AS (SELECT contract_id, list_filter(regexp_split_to_array(part, '\\s+'), lambda x: x <> '') AS tokens FROM c WHERE part <> '' AND NOT regexp_matches(part, '[*.(+\\-/]')), n AS (SELECT contract_id, CASE WHEN p > 0 AND p < len(tokens) THEN tokens[p + 1] ELSE list_last(tokens) END AS n FROM (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: upper(x)), 'AS'), 0) AS p FROM t)) SELECT DISTINCT contract_id, lower(n) AS column_name FROM n WHERE upper(n) NOT IN ("
+    + ", ".join(map(_lit, C.SHAPE_STOP_WORDS))
+    + ")",
+    "statements",
+)(sqltext.shape_columns)
 
 # ---------------------------------------------------------------- records
 
@@ -194,7 +226,8 @@ query("telemetry_counters", "SELECT name, tags, round(sum(value), 4) AS value, c
 query("telemetry_histogram", "SELECT name, count(*) AS n, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS median FROM $events GROUP BY 1", "events")(lambda e: records.histograms(e).withColumn("median", F.round("median", 6)))
 query("telemetry_windows", "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, name, count(*) AS n FROM $events GROUP BY 1, 2", "events")(records.windows)
 query("breaker_islands", "WITH i AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY source ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM $events), r AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY source, g ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM i) SELECT source, seq, failures, failures >= 3 AS open FROM r", "events")(lambda e: records.failures_in_a_row(e).select("source", "seq", "failures", "open"))
-query("catalog_params_left_join", "SELECT p.schema_name, p.specific_name, a.parameter_name, CASE a.mode WHEN 'OUT' THEN 'Output' WHEN 'INOUT' THEN 'InputOutput' ELSE 'Input' END AS direction, CASE WHEN a.max_length <= 2147483647 THEN a.max_length ELSE -1 END AS max_length FROM $procedures p LEFT JOIN $arguments a ON a.schema_name = p.schema_name AND a.specific_name = p.specific_name", "procedures", "arguments")(lambda p, a: records.routines(p, a).na.fill(-1, ["max_length"]))
+query("catalog_params_left_join", "SELECT p.schema_name, p.specific_name, a.parameter_name, CASE a.mode WHEN 'OUT' THEN 'Output' WHEN 'INOUT' THEN 'InputOutput' ELSE 'Input' END AS direction, CASE WHEN a.max_length <= 2147483647 THEN a.max_length ELSE -1 END AS max_length FROM $procedures p JOIN $arguments a ON a.schema_name = p.schema_name AND a.specific_name = p.specific_name", "procedures", "arguments")(lambda p, a: records.routines(p, a).na.fill(-1, ["max_length"]))
+query("catalog_params_keep_empty", "SELECT p.schema_name, p.specific_name, a.parameter_name, CASE a.mode WHEN 'OUT' THEN 'Output' WHEN 'INOUT' THEN 'InputOutput' ELSE 'Input' END AS direction, CASE WHEN a.max_length <= 2147483647 THEN a.max_length ELSE -1 END AS max_length FROM $procedures p LEFT JOIN $arguments a ON a.schema_name = p.schema_name AND a.specific_name = p.specific_name", "procedures", "arguments")(lambda p, a: records.routines(p, a, keep_empty=True).na.fill(-1, ["max_length"]))
 query("overload_grouping", "SELECT object_name, CAST(coalesce(subprogram_id, TRY_CAST(overload AS INT), 0) AS BIGINT) AS overload_key, string_agg(argument_name, ',' ORDER BY sequence, argument_name) AS arguments, count(*) AS n FROM $overload_rows GROUP BY 1, 2", "overload_rows")(records.overloads)
 query("nls_pivot", "SELECT session_id, " + ", ".join(f"coalesce(max(CASE WHEN parameter = '{n}' THEN value END), 'UNKNOWN') AS {n.lower()}" for n in records.NLS) + " FROM $nls WHERE parameter IN (" + ", ".join(map(_lit, records.NLS)) + ") GROUP BY session_id", "nls")(records.nls_settings)
 _BANNER = "concat('Oracle Database 19c ', CASE CAST(contract_id % 4 AS INT) WHEN 0 THEN 'Enterprise' WHEN 1 THEN 'Standard' WHEN 2 THEN 'Express' ELSE 'Other' END, ' Edition Release ', CASE WHEN contract_id % 5 = 0 THEN '19' ELSE concat('19.', CAST(contract_id AS VARCHAR(20)), '.0.0.0') END, ' - Production')"
@@ -237,8 +270,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from covenant.plans import catalogue_rest  # noqa: F401  registers the rest
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -6,13 +6,17 @@ with a capital or not.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
-FINDING = "RuleId string, Message string, Severity string, Location string"
+FINDING = "RuleId string, Message string, Severity string"
 COLUMN = "Name string, DataType string, MaxLength int, CharLength int, Precision int, Scale int, IsNullable boolean, CharUsed string"
-BASELINE = f"Version int, CreatedAt string, SchemaVersion string, GroundTruthMode string, DatabaseVersion string, SchemaHash string, Violations array<struct<{FINDING.replace(' string', ':string')}>>, Schema array<struct<Name:string, Columns:array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ') for x in COLUMN.split(', ')))}>>>>"
+BASELINE = f"Version int, CreatedAt string, SchemaVersion string, GroundTruthMode string, DatabaseVersion string, SchemaHash string, LengthSemantics string, Violations array<struct<{FINDING.replace(' string', ':string')}>>, Schema array<struct<Name:string, Columns:array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ') for x in COLUMN.split(', ')))}>>>>"
 
 
 def _turned(kind: DataType) -> DataType:
@@ -33,9 +37,15 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def baseline_findings(spark: SparkSession, path: str) -> DataFrame:
-    """(rule_id, message, severity, location) of a baseline file, either version."""
+    """(rule_id, message, severity) of a baseline file, either version."""
     rows = _json(spark, path, BASELINE).select(F.inline("Violations"))
-    return rows.select(F.col("RuleId").alias("rule_id"), F.col("Message").alias("message"), F.col("Severity").alias("severity"), F.col("Location").alias("location"))
+    return rows.select(F.col("RuleId").alias("rule_id"), F.col("Message").alias("message"), F.col("Severity").alias("severity"))
+
+
+def baseline_info(spark: SparkSession, path: str) -> DataFrame:
+    """What a baseline file says of itself: version, created_at, schema_version, mode, database_version, schema_hash, length_semantics; a snapshot that doesn't say counts characters."""
+    names = {"version": "Version", "created_at": "CreatedAt", "schema_version": "SchemaVersion", "mode": "GroundTruthMode", "database_version": "DatabaseVersion", "schema_hash": "SchemaHash"}
+    return _json(spark, path, BASELINE).select(*(F.col(n).alias(k) for k, n in names.items()), F.upper(F.coalesce("LengthSemantics", F.lit("CHAR"))).alias("length_semantics"))
 
 
 def snapshot_columns(spark: SparkSession, path: str) -> DataFrame:
@@ -51,23 +61,52 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("contract_id"), F.col("value").alias("sql_text"))
 
 
-PARAMETER = r"@(\w+)\s+(?:AS\s+)?([A-Za-z_]\w*(?:\s*\(\s*(?:\d+|MAX)\s*(?:,\s*\d+\s*)?\))?)"
+PARAMETER = r"@(\w+)\s+(?:AS\s+)?([A-Za-z_][\w.]*(?:\s*\(\s*(?:\d+|MAX)\s*(?:,\s*\d+\s*)?\))?)"
+#: Types whose numbers are precision and scale, not a length.
+NUMERIC_TYPES = ("decimal", "numeric", "money", "smallmoney", "float", "real")
 
 
 def declared_parameters(found: DataFrame) -> DataFrame:
-    """Parameters that a statement declares: name, type (lower case, without spaces), and length, precision and scale by the kind of type."""
-    pattern = "(?i)" + PARAMETER
+    """Parameters that a statement declares: name, type (lower case, without spaces), and length, precision and scale by the kind of type; a length or precision of 0 is none."""
+    pattern = "(?iU)" + PARAMETER
     rows = found.select("contract_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("sql_text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("sql_text", F.lit(pattern), F.lit(2)).alias("t"))).alias("ord", "x"))
     kind = F.lower(F.regexp_replace("x.t", r"\s", ""))
-    number = lambda k: F.nullif(F.regexp_extract(kind, r"\((\d+)(?:,(\d+))?\)", k), F.lit("")).cast("int")
-    base = F.regexp_extract(kind, r"^(\w+)", 1)
-    numeric = base.isin("decimal", "numeric", "number")
-    return rows.select("contract_id", "ord", F.col("x.n").alias("name"), kind.alias("data_type"), F.when(~numeric, number(1)).alias("max_length"), F.when(numeric, number(1)).alias("precision"), F.when(numeric, number(2)).alias("scale"))
+    number = lambda k: F.nullif(F.regexp_extract(kind, r"\((\d+)(?:,(\d+))?\)", k), F.lit("")).try_cast("int")
+    numeric = F.regexp_extract(kind, r"^([\w.]+)", 1).isin(*NUMERIC_TYPES)
+    first = F.nullif(number(1), F.lit(0))
+    return rows.select("contract_id", "ord", F.col("x.n").alias("name"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown")).alias("data_type"), F.when(~numeric, first).alias("max_length"), F.when(numeric, first).alias("precision"), F.when(numeric, number(2)).alias("scale"))
 
 
 MODEL = "BuildModel array<struct<Method:string, GenericArguments:array<struct<Name:string>>, ToTable:array<struct<Value:string>>, Properties:array<struct<Name:string, ClrType:string, Calls:array<struct<Method:string, Arguments:array<string>>>>>>>"
 
 
+def _entity_nodes(value, inside: bool = False) -> list[dict]:
+    """Nodes that set an entity up, at any depth below ``BuildModel``, in their order."""
+    if isinstance(value, list):
+        return [n for v in value for n in _entity_nodes(v, inside)]
+    if not isinstance(value, dict):
+        return []
+    method = value.get("Method")
+    if inside and isinstance(method, str) and (method == "Entity" or method.startswith("Entity<")):
+        return [value]
+    inside = inside or method == "BuildModel"
+    return [n for k, v in value.items() for n in _entity_nodes(v, inside or k == "BuildModel")]
+
+
+def find_model_snapshot(folder: str) -> str | None:
+    """The model snapshot below a project's folder: the first by name of those that end in ``ModelSnapshot.json``, else null."""
+    found = sorted(str(p) for p in Path(folder).rglob("*ModelSnapshot.json"))
+    return found[0] if found else None
+
+
+def locate_types(sources: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, path, line) of the first file of ``sources(path, text)`` that declares each class of ``names(name)``; lines count from 1."""
+    pattern = r"\b(?:class|record|struct)\s+([A-Za-z_]\w*)"
+    lines = sources.select("path", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    declared = lines.select("path", (F.col("line") + 1).alias("line"), F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).alias("name"))
+    return declared.join(names.select("name").distinct(), "name").groupBy("name").agg(F.min(F.struct("path", "line")).alias("x")).select("name", "x.*")
+
+
 def _last_argument(calls: str, method: str) -> Column:
     """First argument of the last call of ``method``; '' if it had none, null if it wasn't called."""
     hits = F.filter(calls, lambda c: c["Method"] == method)
@@ -75,14 +114,15 @@ def _last_argument(calls: str, method: str) -> Column:
 
 
 def model_properties(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Entities and properties of a model snapshot; nodes without a type are dropped, and of repeated calls the last counts."""
-    nodes = _json(spark, path, MODEL).select(F.posexplode("BuildModel").alias("entity_ord", "e")).where(F.col("e.Method").startswith("Entity"))
+    """Entities and properties of a model snapshot, a file that the driver reads; nodes without a type are dropped, and of repeated calls the last counts."""
+    kind = StructType.fromDDL(MODEL)["BuildModel"].dataType
+    nodes = spark.createDataFrame([(json.dumps(_entity_nodes(json.loads(Path(path).read_text()))),)], "nodes string").select(F.posexplode(F.from_json("nodes", kind)).alias("entity_ord", "e"))
     entity = F.element_at(F.split(F.try_element_at("e.GenericArguments", F.lit(1))["Name"], r"\."), -1)
     named = nodes.withColumn("entity", entity).where(F.col("entity").isNotNull() & ~F.col("entity").isin(*excluded))
     table = F.coalesce(F.try_element_at("e.ToTable", F.lit(-1))["Value"], F.col("entity"))
     rows = named.select("entity", table.alias("table_name"), F.posexplode("e.Properties").alias("ord", "p"))
     call = lambda m: _last_argument("p.Calls", m)
-    return rows.select("entity", "table_name", "ord", F.col("p.Name").alias("name"), F.col("p.ClrType").alias("clr_type"), F.coalesce(call("HasColumnName"), F.col("p.Name")).alias("column_name"), call("HasColumnType").alias("column_type"), F.coalesce(call("IsRequired").isin("", "true"), F.lit(False)).alias("is_required"), call("HasMaxLength").try_cast("int").alias("max_length"), call("IsPrimaryKey").isNotNull().alias("is_primary_key"))
+    return rows.select("entity", "table_name", "ord", F.col("p.Name").alias("name"), F.col("p.ClrType").alias("clr_type"), F.coalesce(call("HasColumnName"), F.col("p.Name")).alias("column_name"), call("HasColumnType").alias("column_type"), F.coalesce(call("IsRequired").isin("", "true"), F.lit(False)).alias("is_required"), call("HasMaxLength").try_cast("int").alias("max_length"), call("IsPrimaryKey").isNotNull().alias("is_primary_key"), call("IsForeignKey").isNotNull().alias("is_foreign_key"))
 
 
 MANUAL = "entities array<struct<name:string, columns:array<struct<property:string, column:string, type:string, maxLength:int, nullable:boolean>>>>, procedures array<struct<name:string, parameters:array<struct<name:string, type:string, direction:string, maxLength:int>>>>"
@@ -99,6 +139,30 @@ def manual_contracts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return properties, procedures.select("procedure_name", "ord", F.col("c.name").alias("name"), F.col("c.type").alias("data_type"), known.alias("direction"), length.alias("max_length"))
 
 
+def corpus_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(table_name, table_ord, column_name, col_ord, data_type, max_length, is_nullable) of a corpus file, whose columns are names or objects."""
+    tables = _json(spark, path, "tables array<struct<name:string, columns:array<string>>>").select(F.posexplode("tables").alias("table_ord", "t"))
+    rows = tables.select(F.col("t.name").alias("table_name"), "table_ord", F.posexplode("t.columns").alias("col_ord", "c"))
+    known = F.when(F.col("c").startswith("{"), F.from_json("c", "name string, dataType string, maxLength int, isNullable boolean"))
+    return rows.withColumn("o", known).select("table_name", "table_ord", F.coalesce("o.name", "c").alias("column_name"), "col_ord", F.col("o.dataType").alias("data_type"), F.col("o.maxLength").alias("max_length"), F.coalesce("o.isNullable", F.lit(True)).alias("is_nullable"))
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the files below ``path``, a row for each."""
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def usage(found: DataFrame, orm: tuple[str, ...] = ("DbContext", "UseSqlServer", "UseOracle"), mapper: tuple[str, ...] = ("Dapper", ".Query")) -> DataFrame:
+    """(path, orm, mapper): whether a file's text uses an object mapper or a query mapper."""
+    has = lambda words: reduce(Column.__or__, (F.contains("text", F.lit(w)) for w in words))
+    return found.select("path", has(orm).alias("orm"), has(mapper).alias("mapper"))
+
+
+def context_names(found: DataFrame) -> DataFrame:
+    """(path, name) of the classes that derive from a database context."""
+    return found.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"class\s+(\w+)\s*(?:\([^)]*\))?\s*:\s*DbContext\b"), F.lit(1))).alias("name"))
+
+
 SEED = "repositories array<struct<repo:string, ecosystem:string, category:string, downstream_dependents:bigint, maintainer_count:bigint, stale_issues_count:bigint, has_mcp_server:boolean, risk_level:string>>"
 
 
