@@ -252,13 +252,15 @@ def _unknown_columns(used: DataFrame, columns: DataFrame) -> DataFrame:
 
 def phantom_qualified(statements: DataFrame, columns: DataFrame) -> DataFrame:
     """``alias.column`` whose first table of that alias or name has no such column. Aliases are resolved inside each statement."""
-    parsed = statements.select("contract_id", sqltext.refs_of().alias("refs"), sqltext.qualified_of().alias("used")).where("size(refs) > 0 and size(used) > 0")
+    # One array of one struct: what it holds is parsed once, and the lambdas look at that.
+    parsed = F.array(F.struct(sqltext.refs_of().alias("refs"), sqltext.qualified_of().alias("used")))
 
-    def resolved(x: Column) -> Column:
-        own = F.filter("refs", lambda r: (r["alias"] == x["qualifier"]) | (r["table_name"] == x["qualifier"]))
+    def resolved(refs: Column, x: Column) -> Column:
+        own = F.filter(refs, lambda r: (r["alias"] == x["qualifier"]) | (r["table_name"] == x["qualifier"]))
         return F.struct(F.try_element_at(own, F.lit(1))["table_name"].alias("table_name"), x["column_name"].alias("column_name"))
 
-    used = parsed.select("contract_id", F.explode(F.transform("used", resolved)).alias("x")).select("contract_id", "x.*").where("table_name is not null")
+    found = F.flatten(F.transform(parsed, lambda s: F.transform(s["used"], lambda x: resolved(s["refs"], x))))
+    used = statements.select("contract_id", F.explode(found).alias("x")).select("contract_id", "x.*").where("table_name is not null")
     return _unknown_columns(used, columns)
 
 
