@@ -16,8 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
     Documents whose crc32(doc_id) mod 3 is ``held_out`` are never in it. The sample is the rows of least
     hash, so it doesn't depend on how the tables are dealt. Null ids and null labels are left out; labels
-    that repeat an id count once (their greatest value); documents that repeat an id all stay. The labels
-    that are sent to every task are ``rows`` ids at most.
+    that repeat an id count once (their greatest value), and so do documents (their least text), so the sample is ``rows``
+    texts at most. The labels that are sent to every task are as many ids.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("y"))
@@ -28,4 +28,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("doc_id", "text", "y")
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"])
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

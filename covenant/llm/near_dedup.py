@@ -9,7 +9,8 @@
    links leave apart goes on only if it can still have a link: a member's shingles that no other member
    has, and those that it shares with the hub, bound every intersection. Two linked members of which one
    isn't linked with the hub must agree in some shingle by which both differ from the hub; pairs come from
-   an index of such shingles, the rarest of each member (``_meet``), and are confirmed on full sets too.
+   an index of such shingles, the rarest of each member (``_listed``), and are confirmed on full sets too. Where many
+   share a shingle they are compared with the smallest of them first, and then only members of different parts meet.
 4. Components of the confirmed links by alternating large-star and small-star.
 """
 
@@ -31,6 +32,8 @@ MISS, MOST_BANDS, MOST_ROWS = 330_000, 54, 8
 #: others of its key again if some member doesn't stay. Their distance exceeds what two linked members can
 #: differ by towards a third (1 - threshold), plus three standard errors of either estimate.
 STAYS, MEETS_AGAIN = 0.45, 0.80
+#: Pairs for each row of the index of differences from which members meet the smallest of a key before they meet each other.
+CROWDED = 4
 #: Rounds of meeting again; after them all that is left of a key joins its smallest member's group.
 MEETINGS = 3
 
@@ -214,10 +217,10 @@ def _alike(n_u: str, n_v: str, common: Column, percent: int) -> Column:
     return (100 + percent) * common >= percent * (F.col(n_u) + F.col(n_v))
 
 
-def _meet(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
-    """(x_node, y_node, ...) pairs of ``alive(hub, n_hub, node, mark, n, common, others, linked)`` that can be linked, x not linked with its hub.
+def _listed(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
+    """Members of ``alive(hub, n_hub, node, mark, n, common, others, linked)``, a row for each shingle h by which they can meet a partner.
 
-    ``mark`` tells apart rows of one doc_id with several texts. By the differences D to the hub, (hub, node,
+    Only pairs that have a (hub, h) in common can be linked, as far as x isn't linked with its hub. ``mark`` tells apart rows of one doc_id with several texts. By the differences D to the hub, (hub, node,
     mark, h), x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, and
     linked ones in k (n_x + n_y) at most, k = (100 - percent) / (100 + percent). As x isn't linked with the
     hub, |Dx| > k (n_x + n_hub), so x and y agree in at least one element, and in the more the larger Dx and Dy
@@ -235,13 +238,32 @@ def _meet(alive: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     listed = members.join(differences, ["hub", "node", "mark"])
     often = listed.groupBy("hub", "h").agg(F.count("*").alias("often"))
     placed = listed.join(often, ["hub", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node", "mark").orderBy("often", "h")))
-    placed = placed.where("place <= first and often > 1")
-    x = placed.where("not linked").select("hub", "h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "others")))
-    y = placed.select("hub", "h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "common", "others", "linked")))
+    return placed.where("place <= first and often > 1").select("hub", "h", "node", "n", "common", "others", "linked")
+
+
+def _meet(listed: DataFrame, percent: int) -> DataFrame:
+    """(u, v) pairs of ``_listed``' members with a ``part`` that meet, x not linked with its hub, and aren't of one part."""
+    x = listed.where("not linked").select("hub", "h", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "others", "part")))
+    y = listed.select("hub", "h", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "common", "others", "linked", "part")))
     most = F.least("x_common", "y_common") + F.least("x_others", "y_others")
-    return x.join(y, ["hub", "h"]).where(
-        (F.col("y_linked") | (F.col("y_node") > F.col("x_node"))) & (F.col("x_node") != F.col("y_node")) & _alike("x_n", "y_n", F.least(most, F.col("x_n"), F.col("y_n")), percent)
+    met = x.join(y, ["hub", "h"]).where(
+        (F.col("y_linked") | (F.col("y_node") > F.col("x_node"))) & (F.col("x_part") != F.col("y_part")) & _alike("x_n", "y_n", F.least(most, F.col("x_n"), F.col("y_n")), percent)
     )
+    return met.select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
+
+
+def _settled(listed: DataFrame, linked: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of members with the smallest of those whom they can meet by a shingle, and (node, part) by these and by ``linked(u, v)``.
+
+    A branch of a group, however large, whose members are alike has one part then, and its members needn't meet each other.
+    """
+    least = materialised(listed.groupBy("hub", "h").agg(F.min("node").alias("least")), "least")
+    pairs = listed.join(least, ["hub", "h"]).where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    alike = compare(pairs, texts, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
+    links = materialised(alike.select("u", "v").distinct(), "settled")
+    discard(least)
+    parts = components(links.unionAll(linked))
+    return links, parts.select("node", F.col("root").alias("part"))
 
 
 def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -271,9 +293,17 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     still = alive.groupBy("hub").agg(F.count("*").alias("held"), F.every("linked").alias("whole")).where("not whole").drop("whole")
     alive = lookup(alive, still, "hub", bound.count())
     differences = marked.select(F.col("u").alias("hub"), F.col("v").alias("node"), "mark", F.explode(F.concat("only_v", "only_u")).alias("h"))
-    possible = _meet(alive, differences, percent).select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct()
-    late = compare(possible, wanted, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
-    return good.select("u", "v").unionAll(late.select("u", "v")), [grouped, wanted, tried, bound]
+    listed = materialised(_listed(alive, differences, percent), "listed")
+    found, read = good.select("u", "v"), [grouped, wanted, tried, bound, listed]
+    keys = listed.groupBy("hub", "h").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("loose"))
+    rows, pairs = keys.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("all").cast("double") * F.col("loose")), F.lit(0.0))).first()
+    apart = listed.withColumn("part", F.col("node"))
+    if pairs > CROWDED * rows:  # members would meet each other too often: first they meet the smallest of them
+        links, parts = _settled(listed, bound.where("linked").select(F.col("hub").alias("u"), F.col("node").alias("v")), wanted, width, percent)
+        apart = listed.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        found, read = found.unionAll(links), [*read, links]
+    late = compare(_meet(apart, percent), wanted, width, extra=False).where(_alike("n_u", "n_v", F.col("common"), percent))
+    return found.unionAll(late.select("u", "v")), read
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

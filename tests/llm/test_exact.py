@@ -245,10 +245,12 @@ def test_a_group_of_distant_copies(spark):
     assert got == expected
 
 
-def test_groups_of_branches(spark):
+@pytest.mark.parametrize("crowded", [0, near_dedup.CROWDED])
+def test_groups_of_branches(spark, monkeypatch, crowded):
     """Many groups: a hub with many copies, branches at its threshold, and members that meet only within or between branches."""
     import random
 
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
     rng = random.Random(11)
     rows = []
     for g in range(24):
@@ -274,6 +276,22 @@ def test_groups_of_branches(spark):
     assert got == expected
 
 
+def test_a_large_branch_is_not_paired(spark, monkeypatch):
+    """Members that are linked with each other and not with their group's hub meet the smallest of them alone."""
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    branch = [*base[:60], *(f"b{k}" for k in range(9)), *base[60:]]
+    rows = [(k, " ".join([*base, f"t{k % 4}"])) for k in range(8)] + [(100 + k, " ".join(w if j != 3 * (k % 30) else f"x{k}" for j, w in enumerate(branch))) for k in range(150)]
+    rng.shuffle(rows)
+    met = []
+    meet = near_dedup._meet
+    monkeypatch.setattr(near_dedup, "_meet", lambda *a: met.append(meet(*a).count()) or meet(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(fx.documents(spark, rows), 3, 85).collect()}
+    assert got == brute_components(rows, 3, 85) and sum(met) < 4 * len(rows)
+
+
 def test_keep_one(spark, docs):
     from pyspark.sql import functions as F
 
