@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.operators import engine, records, rules
+from covenant.plans import live
 from covenant.plans.config import Config, load_config, resolved
 from covenant.plans.pipeline import Pipeline
 from covenant.sinks import reports
-from covenant.sources import files
+from covenant.sources import catalogs, files
 
 FORMATS = ("text", "sarif", "evidence", "contracts", "typescript")
 
@@ -32,9 +34,13 @@ def tables(spark: SparkSession, args: argparse.Namespace, config: Config) -> dic
     """What the mode and the arguments name: a snapshot's schema, manual contracts, a model's entities, statements, sources."""
     out: dict[str, DataFrame] = {}
     schema = args.schema or config.snapshot_file_path
-    if config.ground_truth_mode != "Manual" and schema:
+    if config.ground_truth_mode == "Snapshot" and schema:
         out["columns"] = files.snapshot_columns(spark, schema)
         out["schema"] = files.baseline_info(spark, schema)
+    if config.ground_truth_mode == "Full" and (config.connection_string or "").startswith("jdbc:"):
+        read = partial(catalogs.table, spark, config.connection_string)
+        out["columns"] = live.columns(config.provider, read, config.default_schema)
+        out["procedure_parameters"] = live.parameters(config.provider, read, config.default_schema, config.default_package)
     if config.ground_truth_mode == "Manual" and config.manual_contract_path:
         properties, parameters = files.manual_contracts(spark, config.manual_contract_path)
         out["properties"], out["manual_parameters"] = _as_rules(properties), parameters

@@ -10,7 +10,7 @@ from covenant.__main__ import main
 from covenant.functions import constants as C
 from covenant.functions import sqltext, text
 from covenant.operators import engine, graph, records, rules
-from covenant.plans import config
+from covenant.plans import config, live
 from covenant.plans.pipeline import Pipeline, all_rules, load_plugins, rule, rule_info, rules_for, run_tool
 from covenant.sinks import reports
 from covenant.sources import catalogs, declared, files, protocols
@@ -332,6 +332,28 @@ def test_config(tmp_path):
             config.contained_path(str(tmp_path), bad)
 
 
+def test_live_catalogues(spark):
+    make = spark.createDataFrame
+    tables = {
+        "sys.procedures": make([(1, 9, "Get", 0), (2, 9, "Own", 1)], "object_id int, schema_id int, name string, is_ms_shipped int"),
+        "sys.schemas": make([(9, "dbo")], "schema_id int, name string"),
+        "sys.parameters": make([(1, 1, "@id", 5, -1, 0, 0, True), (2, 1, "@x", 5, 4, 0, 0, False)], "object_id int, parameter_id int, name string, user_type_id int, max_length int, precision int, scale int, is_output boolean"),
+        "sys.types": make([(5, "nvarchar")], "user_type_id int, name string"),
+        "all_arguments": make([("APP", "PKG", "GET", "P_ID", 1, 1, "IN/OUT", "NUMBER", None, None, None, 22, None, None), ("APP", "PKG", "GET", None, 0, 0, "OUT", "NUMBER", None, None, None, 22, None, None)], "owner string, package_name string, object_name string, argument_name string, position int, sequence int, in_out string, data_type string, type_owner string, type_name string, type_subname string, data_length int, subprogram_id int, overload string"),
+        "all_tab_columns": make([("APP", "B", "ID", "NUMBER", 22, 0, 10, 0, "N", None, 1), ("APP", "A", "N", "VARCHAR2", 40, 10, None, None, "Y", "C", 1), ("OTHER", "C", "X", "DATE", 7, 0, None, None, "Y", None, 1)], "owner string, table_name string, column_name string, data_type string, data_length int, char_length int, data_precision int, data_scale int, nullable string, char_used string, column_id int"),
+        "information_schema.columns": make([("app", "t", "c", "varchar", 4294967295, "YES", 1)], "table_schema string, table_name string, column_name string, data_type string, character_maximum_length long, is_nullable string, ordinal_position int"),
+    }
+    assert [tuple(r) for r in live.parameters("SqlServer", tables.__getitem__).collect()] == [("dbo.Get", 1, "@id", "nvarchar", "InputOutput", None)]
+    assert [tuple(r) for r in live.parameters("oracle", tables.__getitem__, "app", "pkg").collect()] == [("PKG.GET", 1, "P_ID", "NUMBER", "InputOutput", 22)]
+    got = live.columns("oracle", tables.__getitem__, "app").orderBy("table_ord").collect()
+    assert [(r.table_name, r.table_ord, r.char_length, r.is_nullable) for r in got] == [("A", 0, 10, True), ("B", 1, 0, False)]
+    row = live.columns("mysql", tables.__getitem__, "APP").first()
+    assert (row.table_name, row.max_length, row.is_nullable) == ("t", None, True)
+    for bad in (("odd", None), ("oracle", None)):
+        with pytest.raises(ValueError):
+            live.columns(bad[0], tables.__getitem__, bad[1])
+
+
 def test_declared_contracts(spark):
     @declared.expected_column("Id", "ID", "int", nullable=False)
     @declared.expected_column("Name", max_length=50)
