@@ -202,7 +202,7 @@ query("schema_hash", f"SELECT upper(sha256(string_agg(canonical, '|' ORDER BY ta
 query("schema_drift_diff", "SELECT * FROM (SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, CASE WHEN a.table_name IS NULL THEN 'added' WHEN b.table_name IS NULL THEN 'removed' WHEN a.data_type IS DISTINCT FROM b.data_type OR a.max_length IS DISTINCT FROM b.max_length OR a.is_nullable IS DISTINCT FROM b.is_nullable THEN 'changed' END AS change FROM $snapshot a FULL JOIN $later_snapshot b ON a.table_name = b.table_name AND a.column_name = b.column_name) WHERE change IS NOT NULL", "snapshot", "later_snapshot")(engine.drift)
 _LEVEL = "CASE severity WHEN 'Error' THEN 'error' WHEN 'Warning' THEN 'warning' WHEN 'Info' THEN 'note' ELSE 'none' END"
 _SAFE = "CASE WHEN (starts_with(message, 'eyJ') AND length(message) > 20) OR " + " OR ".join(_has(w, "message") for w in C.SARIF_SENSITIVE) + " THEN '[REDACTED]' ELSE message END"
-query("sarif_rules_groupby", f"SELECT rule_id, string_split({_SAFE}, ':')[1] AS name, {_SAFE} AS description, {_LEVEL} AS level FROM (SELECT rule_id, arg_min(message, ord) AS message, arg_min(severity, ord) AS severity FROM $findings GROUP BY rule_id)", "findings")(engine.sarif_rules)
+query("sarif_rules_groupby", f"SELECT rule_id, string_split({_SAFE}, ':')[1] AS name, {_SAFE} AS description, {_LEVEL} AS level FROM (SELECT rule_id, arg_min(message, struct_pack(ord, message, severity)) AS message, arg_min(severity, struct_pack(ord, message, severity)) AS severity FROM $findings GROUP BY rule_id)", "findings")(engine.sarif_rules)
 query("sarif_results", f"SELECT ord, rule_id AS rule, {_LEVEL} AS level, CASE WHEN (starts_with(message, 'eyJ') AND length(message) > 20) OR " + " OR ".join(_has(w, "message") for w in C.SARIF_SENSITIVE) + " THEN '[REDACTED]' ELSE message END AS message FROM $findings", "findings")(engine.sarif_results)
 query("evidence_order", "WITH s AS (SELECT ord, rule_id, lower(severity) AS severity, CASE WHEN " + " OR ".join(_has(w, "message") for w in C.EVIDENCE_SENSITIVE) + " THEN '[REDACTED]' ELSE message END AS message FROM $findings) SELECT *, row_number() OVER (ORDER BY rule_id, severity, message, ord) AS place FROM s", "findings")(engine.evidence)
 query("redact_pairs", r"SELECT target, sha256(regexp_replace(source, '(?i)(password|pwd|token|secret|api[_-]?key)(\s*[=:]\s*)[^\s;,]+', '\1\2[REDACTED]', 'g')) AS shown FROM $sources", "sources")(lambda s: s.select("target", F.sha2(text.redact_pairs(F.col("source")), 256).alias("shown")))
