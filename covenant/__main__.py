@@ -74,6 +74,10 @@ def _as_rules(properties: DataFrame) -> DataFrame:
 
 def validate(spark: SparkSession, args: argparse.Namespace, config: Config) -> int:
     found_tables = tables(spark, args, config)
+    if args.format == "contracts" and args.output:
+        parameters = found_tables.get("procedure_parameters", found_tables.get("manual_parameters"))
+        reports.write_contracts(args.output, config.provider or "oracle", found_tables.get("properties"), parameters, found_tables.get("columns"))
+        return 0
     if args.format in ("contracts", "typescript"):
         make, column = (reports.contract_export, "json") if args.format == "contracts" else (reports.typescript, "source")
         _write(args.output, [r[column] for r in make(found_tables["properties"]).orderBy("entity").toLocalIterator()])

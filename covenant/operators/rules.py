@@ -337,8 +337,10 @@ def call_sites(sources: DataFrame, marker: str = "covenant:") -> DataFrame:
     """(target, ord, method, kind, sql_text) of calls in C# ``sources(target, source)`` that hand SQL over.
 
     A call counts if its first argument is a text with a word of SQL, or if its name is a query's or a command's of a mapper.
-    A line comment before the statement that holds ``marker`` says that the call is known, and it is passed over.
+    A line comment before the statement that holds ``marker`` says that the call is known, and it is passed over; so are
+    files whose namespace or first type has the attribute ``SkipContractCheck``.
     """
+    sources = sources.where(~F.coalesce(F.col("source").rlike(r"(?s)\A[^{]*\[SkipContractCheck(Attribute)?(\(|\])"), F.lit(False)))
     group = lambda k: F.regexp_extract_all("source", F.lit(_CALL), F.lit(k))
     rows = sources.select("target", F.posexplode(F.arrays_zip(group(1).alias("note"), group(2).alias("method"), group(3).alias("sql"))).alias("ord", "x"))
     rows = rows.select("target", "ord", F.col("x.note").alias("note"), F.col("x.method").alias("method"), call_kind(F.col("x.method")).alias("kind"), F.coalesce("x.sql", F.lit("")).alias("sql_text"))

@@ -142,5 +142,23 @@ def contract_export(properties: DataFrame) -> DataFrame:
     return properties.groupBy("entity").agg(fields.alias("properties")).select("entity", F.to_json(F.struct("entity", "properties")).alias("json"))
 
 
+def write_contracts(path: str, provider: str, properties: DataFrame | None = None, parameters: DataFrame | None = None, columns: DataFrame | None = None) -> None:
+    """The contracts' document: entities by name, procedures by name with their parameters in order, tables by name with their columns in order. What isn't given is an empty list."""
+
+    def grouped(rows: DataFrame | None, key: str, items: str, place: str, fields: dict[str, str]) -> Iterator[str]:
+        if rows is None:
+            return iter(())
+        one = F.struct(place, F.struct(*(F.col(c).alias(n) for n, c in fields.items() if c in rows.columns)).alias("x"))
+        listed = F.transform(F.array_sort(F.collect_list(one)), lambda v: v["x"])
+        return lines(rows.groupBy(F.col(key).alias("name")).agg(listed.alias(items)).orderBy("name").select(F.to_json(F.struct("name", items)).alias("value")))
+
+    lists = {
+        "entities": grouped(properties, "entity", "properties", "name", {"name": "name", "columnName": "column_name", "type": "clr_type", "isNullable": "is_nullable", "maxLength": "max_length"}),
+        "storedProcedures": grouped(parameters, "procedure_name", "parameters", "ord", {"name": "name", "type": "data_type", "direction": "direction", "maxLength": "max_length"}),
+        "tables": grouped(columns, "table_name", "columns", "col_ord", {"name": "column_name", "type": "data_type", "isNullable": "is_nullable", "maxLength": "max_length"}),
+    }
+    write_document(path, {"provider": provider}, lists)
+
+
 def lines(df: DataFrame) -> Iterator[str]:
     return (r.value for r in df.toLocalIterator(prefetchPartitions=True))

@@ -293,6 +293,8 @@ def test_call_sites(spark):
     source = 'var a = db.FromSqlRaw("SELECT * FROM t");\n// covenant: known\nconn.Query<T>("x");\nlist.Select(q);\nconn.ExecuteScalar(sql);\ndb.ExecuteSqlRaw("nothing");\n'
     got = rules.call_sites(spark.createDataFrame([(1, source)], "target long, source string")).orderBy("ord").collect()
     assert [(r.method, r.sql_text) for r in got] == [("FromSqlRaw", "SELECT * FROM t"), ("ExecuteScalar", "")]
+    skipped = "using X;\n[SkipContractCheck(\"known\")]\nclass A { void F() { " + source + " } }"
+    assert rules.call_sites(spark.createDataFrame([(1, skipped)], "target long, source string")).count() == 0
 
 
 def test_protocol_and_breaker(spark):
@@ -403,6 +405,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["baseline", *common, "--baseline", str(tmp_path / "base.json")]) == 0
     assert json.loads((tmp_path / "base.json").read_text())["Schema"][0]["Name"] == "PEOPLE"
     assert main(["validate", *common, "--baseline", str(tmp_path / "base.json")]) == 0
+    assert main(["validate", *common, "--format", "contracts", "--output", str(out)]) == 0
+    document = json.loads(out.read_text())
+    assert document["entities"][0]["properties"][0]["maxLength"] == 50 and document["tables"][0]["name"] == "PEOPLE" and document["storedProcedures"] == []
     assert main(["validate", *common, "--format", "typescript", "--output", str(out)]) == 0 and "interface Person" in out.read_text()
     snap = str(tmp_path / "snap.json")
     assert main(["snapshot", "refresh", "--schema", str(schema), "--snapshot", snap]) == 0
