@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from covenant.__main__ import main
@@ -267,6 +268,12 @@ def test_named_rules_need_their_tables(spark, columns):
     assert result.tool == "lint" and result.seconds >= 0
 
 
+def test_numbers_through_very_many_ranges(spark):
+    rows = spark.range(400_000).select((F.col("id") % 7).alias("a"), F.xxhash64("id").cast("string").alias("b"), "id")
+    places = engine.numbered(rows, "a", "b", "id", parts=700).withColumn("true", F.row_number().over(Window.orderBy("a", "b", "id")))
+    assert tuple(places.agg(F.count("*"), F.count_if(F.col("place") != F.col("true"))).first()) == (400_000, 0)
+
+
 def test_evidence_counts_through_all(spark):
     rows = [(k, "DG001" if k % 3 else "DG002", "same" if k < 60 else f"m{k % 7}", "Error" if k % 2 else "Odd") for k in range(200)]
     found = spark.createDataFrame(rows, "ord long, rule_id string, message string, severity string")
