@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,11 +46,55 @@ def _joined(key: Column, parts: Column, between: str) -> Column:
 def finding_hash(found: DataFrame, *by: str) -> DataFrame:
     """The first 16 hex digits of the SHA-256 of all ``rule:message``, by rule and then message, for each group of ``by`` (one contract, one run).
 
-    The digest covers one text, which a task puts together: a group's findings are bounded by what a string holds (2 GB).
+    The digest of a whole run is taken of its lines in order as they pass, whatever their number: ranges of the order are sorted apart, and one task,
+    which holds a few pieces of text, reads them one after the other. A contract's digest covers one text, which must fit into a string (2 GB).
     Baselines of version 1 carry the same hash.
     """
     line = F.concat_ws(":", "rule_id", "message")
-    return found.groupBy(*by).agg(F.substring(text.sha256_upper(_joined(F.struct("rule_id", "message"), line, "|")), 1, 16).alias("finding_hash"))
+    if by:
+        return found.groupBy(*by).agg(F.substring(text.sha256_upper(_joined(F.struct("rule_id", "message"), line, "|")), 1, 16).alias("finding_hash"))
+    lines = found.select("rule_id", "message", line.alias("line")).sort("rule_id", "message", "line").select("line")
+    pieces = lines.mapInArrow(_pieces, "part int, place int, piece binary")
+    digest = pieces.repartition(1).sortWithinPartitions("part", "place").mapInArrow(_digest, "digest string").agg(F.max("digest"))
+    return digest.select(F.coalesce(F.substring("max(digest)", 1, 16), F.substring(text.sha256_upper(F.lit("")), 1, 16)).alias("finding_hash"))
+
+
+#: Bytes in a piece of a digest's text; the last line goes beyond it.
+PIECE = 64 << 10
+
+
+def _pieces(batches):
+    """(part, place, piece): a sorted partition's lines, each with a ``|`` before it, put together to some ``PIECE`` bytes."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["part", "place", "piece"])
+
+    for batch in batches:
+        for line in batch.column(0).cast(pa.large_binary()).to_pylist():
+            held += (b"|", line)
+            size += 1 + len(line)
+            if size >= PIECE:
+                yield out()
+                place, held, size = place + 1, [], 0
+    if held:
+        yield out()
+
+
+def _digest(batches):
+    """The SHA-256 of all pieces in order, without the first ``|``; no row without pieces."""
+    import pyarrow as pa
+
+    whole, first = hashlib.sha256(), 1
+    for batch in batches:
+        for piece in batch.column(2):
+            whole.update(memoryview(piece.as_buffer())[first:])
+            first = 0
+    if not first:
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest().upper()])], names=["digest"])
 
 
 def table_hash(columns: DataFrame) -> DataFrame:

@@ -113,6 +113,19 @@ def test_hashes(spark):
     assert engine.finding_hash(found).first()[0] == hashlib.sha256(b"DG1:a|DG1:b|DG10:a").hexdigest().upper()[:16]
 
 
+def test_run_hash_in_pieces(spark):
+    """Over several ranges and pieces, with repeats, nulls, no rows; no operator puts all lines together."""
+    lines = sorted(((f"DG{k % 7}", f"{'é' * (k % 50)}{k // 3}") for k in range(30_000)), key=lambda r: [x.encode() for x in r])
+    found = spark.createDataFrame(lines[::-1], "rule_id string, message string").repartition(9)
+    hashed = engine.finding_hash(found)
+    assert [tuple(r) for r in hashed.collect()] == [(hashlib.sha256("|".join(map(":".join, lines)).encode()).hexdigest().upper()[:16],)]
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
+    odd = spark.createDataFrame([("A", None), (None, "m"), ("A", "x"), ("A", "x")], found.schema)
+    for rows, text_of in ((odd, b"m|A|A:x|A:x"), (odd.where("false"), b"")):
+        assert engine.finding_hash(rows).first()[0] == hashlib.sha256(text_of).hexdigest().upper()[:16]
+
+
 ECI = [("stable", 10, 5, 1, 7, 0, True, 9.85, 4), ("critical", 50000, 1, 200, 730, 4, False, 100.0, 1), ("tensor", 4320, 1, 48, 90, 1, False, 78.06, 1), ("raster", 1850, 1, 29, 90, 0, False, 68.59, 2), ("spatial", 620, 1, 11, 90, 0, True, 40.19, 3)]
 
 
