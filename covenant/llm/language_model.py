@@ -37,7 +37,9 @@ DIMENSIONS, NOISE, DRAWS, SHARING, ROUNDS, STEPS, PULL = 32, 10, 1024, 64, 3, 1,
 #: Pairs in a row of the two tables, and targets that are normalised over at once.
 ROW_PAIRS, BLOCK = 1 << 18, 4096
 #: Distinct pairs that a task adds up before it sends them.
-HELD_PAIRS = 3_000_000
+HELD_PAIRS = 1_500_000
+#: Bytes of text that a pass works on at once; its arrays are some 15 times as large.
+SLICE = 1 << 20
 END = ""  # no word is empty
 HELD_WORDS = 200_000
 
@@ -52,7 +54,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             words = Words(batch.column(0), lower=True)
             for w, n in zip(words.vocab.to_pylist(), np.bincount(words.codes, minlength=len(words.vocab)).tolist(), strict=True):
                 held[w] = held.get(w, 0) + n
@@ -138,7 +140,7 @@ def count_pairs(texts: DataFrame, table: Table) -> DataFrame:
             for k in range(0, len(pairs), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + (1 << 16)]), pa.array(n[k : k + (1 << 16)])], names=["pair", "n"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             words = Words(batch.column(0), lower=True)
             before, tokens, _ = sequence(words, shared.value.look(words.vocab_hashes())[1])
             held.append(np.unique(before * size + tokens, return_counts=True))
@@ -370,7 +372,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     def run(batches):
         held, task, made = shared.value, TaskContext.get().partitionId(), 0
         stop = int(held.table.counts[held.table.numbers == Table.STOP].sum())
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             words = Words(batch.column(1), lower=True)
             count, number = held.table.look(words.vocab_hashes())
             before, after, starts = sequence(words, number)

@@ -190,6 +190,31 @@ def test_sampled_model_is_normalised(spark):
     assert np.allclose(np.exp(context[:700] @ target.T - sums[:, None]).sum(1), 1, atol=1e-3)
 
 
+def test_scoring_a_large_batch_takes_little_memory(spark, monkeypatch):
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 140)]) for _ in range(6000)]
+    table = language_model.Table.of([("", 6000), *((w, 9) for w in words[:3000].tolist())], 400)
+    vectors = rng.normal(size=(table.size, 5)).astype(np.float32)
+    model = language_model.Model(table, vectors, vectors, np.zeros(table.size), 10**6, 5001, 100, 50)
+    docs = MagicMock()
+    docs.sparkSession.sparkContext.broadcast.return_value.value = model
+    monkeypatch.setattr(language_model, "_prepared", lambda x: x)
+    monkeypatch.setattr(language_model, "materialised", lambda x, name: x)
+    monkeypatch.setattr(language_model, "TaskContext", MagicMock(**{"get.return_value.partitionId.return_value": 0}))
+    language_model.score(docs, model, MagicMock())
+    run = docs.mapInArrow.call_args[0][0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts), pa.array([False] * 6000)], names=["doc_id", "text", "held_out"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 6000 and peak < 30e6, peak
+
+
 def test_climb_finds_the_greatest_value():
     rng = np.random.default_rng(1)
     given, up, down = rng.normal(size=(200, 3)), rng.random(200) * 9, rng.random(200) * 9
