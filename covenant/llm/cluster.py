@@ -89,19 +89,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A key is hot from this share of all rows on; fewer than ``HOT`` keys can be, so their rows of a table can be broadcast.
+#: A key is hot from this share of all rows on; fewer than ``HOT`` keys can be, so they can come to the driver and their rows of a table can be broadcast.
 HOT = 10_000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows.join(table, key)`` for ``table(key, ..., held)`` of one row to a key that ``held`` of ``rows`` have at most; without ``held``.
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows.join(table, key)`` for ``table(key, ..., held)`` of one row to a key that ``held`` of ``rows`` have at most; without ``held``. Beside it ``table``, written, from which it is read.
 
     ``total`` is the number of rows, or more. Rows of hot keys, which hold over a ``HOT``-th of it, stay where they
-    are and get the table's rows by broadcast; only the others are shuffled.
+    are and get the table's rows by broadcast; only the others are shuffled. A filter, not a join, tells them apart.
     """
-    hot = F.broadcast(table.where(F.col("held") * HOT > total))
-    rest = table.where(F.col("held") * HOT <= total)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key)).drop("held")
+    table = materialised(table, "looked-up")
+    hot = F.col("held") * HOT > total
+    keys = [r[0] for r in table.where(hot).select(key).collect()]
+    if not keys:
+        return rows.join(table, key).drop("held"), table
+    among = F.col(key).isin(keys)
+    return rows.where(among).join(F.broadcast(table.where(hot)), key).unionByName(rows.where(~among).join(table.where(~hot), key)).drop("held"), table
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:

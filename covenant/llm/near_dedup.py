@@ -144,7 +144,9 @@ def candidate_links(reps: DataFrame, bands: int) -> DataFrame:
     found, written = None, []
     for meeting in range(MEETINGS + 1):
         hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("held")).where("held > 1")
-        met = materialised(lookup(members, hubs, "key", total).where("rep <> hub"), "met")
+        joined, hubs = lookup(members, hubs, "key", total)
+        met = materialised(joined.where("rep <> hub"), "met")
+        discard(hubs)
         pairs = met.select("hub", "rep").distinct()
         if meeting < MEETINGS:
             sized = pairs.join(bits.select("rep", F.col("bits").alias("v_bits")), "rep").join(bits.select(F.col("rep").alias("hub"), F.col("bits").alias("u_bits")), "hub")
@@ -272,7 +274,8 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     members = grouped.unionAll(grouped.select(F.col("root").alias("node"), "root").distinct())
     weighed = members.join(reps.select(F.col("rep").alias("node"), "copies"), "node")
     hubs = weighed.groupBy("root").agg(F.max_by("node", F.struct("copies", -F.col("node"))).alias("hub"), F.count("*").alias("held"))
-    pairs = lookup(weighed, hubs, "root", 2 * reps.count()).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    joined, hubs = lookup(weighed, hubs, "root", 2 * reps.count())
+    pairs = joined.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     wanted = texts.join(members.select(F.col("node").alias("rep")), "rep", "left_semi")
     wanted = materialised(wanted, "group-texts")
     tried = materialised(compare(pairs, wanted, width, extra=True), "tried")
@@ -282,7 +285,7 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     # Members of groups that aren't whole yet: shingles beyond the hub's, and how many of them another member has too.
     marked = tried.withColumn("mark", F.xxhash64("n_u", "only_v", "only_u"))
     unfinished = tried.groupBy("u").agg(F.count("*").alias("held"), F.every(alike).alias("whole")).where("not whole").drop("whole")
-    unfinished = lookup(marked, unfinished, "u", tried.count())
+    unfinished, unwhole = lookup(marked, unfinished, "u", tried.count())
     beyond = unfinished.select("u", "v", F.explode("only_v").alias("h"))
     shared = beyond.groupBy("u", "h").agg(F.count("*").alias("n")).where("n > 1").select("u", "h")
     with_others = beyond.join(shared, ["u", "h"]).groupBy("u", "v").agg(F.count("*").alias("others"))
@@ -291,10 +294,10 @@ def confirmed_links(links: DataFrame, reps: DataFrame, texts: DataFrame, width:
     # Alone, a member can't reach more than its own shingles that the hub or another member has.
     alive = bound.where(100 * (F.col("common") + F.col("others")) >= percent * F.col("n"))
     still = alive.groupBy("hub").agg(F.count("*").alias("held"), F.every("linked").alias("whole")).where("not whole").drop("whole")
-    alive = lookup(alive, still, "hub", bound.count())
+    alive, still = lookup(alive, still, "hub", bound.count())
     differences = marked.select(F.col("u").alias("hub"), F.col("v").alias("node"), "mark", F.explode(F.concat("only_v", "only_u")).alias("h"))
     listed = materialised(_listed(alive, differences, percent), "listed")
-    found, read = good.select("u", "v"), [grouped, wanted, tried, bound, listed]
+    found, read = good.select("u", "v"), [grouped, hubs, wanted, tried, unwhole, bound, still, listed]
     keys = listed.groupBy("hub", "h").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("loose"))
     rows, pairs = keys.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("all").cast("double") * F.col("loose")), F.lit(0.0))).first()
     apart = listed.withColumn("part", F.col("node"))

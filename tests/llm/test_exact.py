@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from covenant.llm import bitpack, chat, components, near_dedup, packing, rules, substrings, token_output, tokens, words
+from covenant.llm import bitpack, chat, cluster, components, near_dedup, packing, rules, substrings, token_output, tokens, words
 from tests.llm import fixtures as fx
 
 ROWS = fx.corpus()
@@ -391,3 +392,15 @@ def test_bands_follow_the_threshold():
         bands, rows = near_dedup.banding(percent)
         assert bands * rows <= len(near_dedup._A) and (1 - (percent / 100) ** rows) ** bands < 1 / 300_000
     assert near_dedup.banding(85) == (40, 8)
+
+
+def test_lookup_of_hot_keys_is_one_row_each(spark):
+    """Rows of hot and other keys, of keys without a row in the table, and of none; hot rows are parted by a filter."""
+    rows = spark.range(60_000).select(F.when(F.col("id") < 40_000, F.col("id") % 2).when(F.col("id") < 59_990, F.col("id")).alias("key"), "id")
+    table = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("held")).where("key <> 50000")
+    for total, hot in ((60_000, True), (10**12, False)):
+        found, _ = cluster.lookup(rows, table, "key", total)
+        assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+        assert ("Union" in found._jdf.queryExecution().executedPlan().toString()) == hot
+        assert found.columns == ["key", "id", "least"]
+        assert tuple(found.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.col("least") != F.when(F.col("id") < 40_000, F.col("key")).otherwise(F.col("id")))).first()) == (59_989, 59_989, 0)
